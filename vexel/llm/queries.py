@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import mixing, quality, secrets, simhash
+from vexel.llm import mixing, packing, quality, secrets, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
     "op4_quality": quality.op4_quality,
+    "op5_tokens": tokencount.op5_tokens,
+    "op6_packing": packing.op6_packing,
     "op7_secrets": secrets.op7_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
