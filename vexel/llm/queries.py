@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import html, mixing, packing, quality, secrets, simhash, tokencount
+from vexel.llm import html, mixing, packing, quality, secrets, simhash, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": html.op1_html,
+    "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality": quality.op4_quality,
     "op5_tokens": tokencount.op5_tokens,
