@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import embeddings, html, mixing, packing, quality, secrets, simhash, tokencount, warc
+from vexel.llm import embeddings, html, lm, mixing, packing, quality, secrets, simhash, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": html.op1_html,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokens": tokencount.op5_tokens,
     "op6_packing": packing.op6_packing,
     "op7_secrets": secrets.op7_secrets,
+    "op8_scores": lm.op8_scores,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_mixing": mixing.op10_mixing,
 }
