@@ -19,6 +19,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: Arrow batches handed to Python are kept below this, whatever the length of texts.
 BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
+_made: list[tuple[str, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -64,14 +65,21 @@ def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, columns stay prunable."""
     spark = df.sparkSession
     at = scratch(spark, label)
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
+    _made.append((spark.sparkContext.applicationId, at))
     return spark.read.schema(df.schema).parquet(at)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """Scratch tables of this application, in the order of writing."""
+    return [at for app, at in _made if app == spark.sparkContext.applicationId]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [x for x in _made if x[1] != path]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -144,8 +144,8 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
     return arrow(sorted_rows, "node long, src long, leaf long, key long, uid long, size long, frac double, up long, left double", each)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """``id, size, source, source_size, target, copies, taken`` for each row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, with_row: bool = False) -> DataFrame:
+    """``id, size, source, source_size, target, copies, taken`` for each row (and ``row``, its columns, if asked for).
 
     A document gets target / source_size copies in expectation: the whole part, and one more by dependent rounding. The
     rows of a source are dealt by hash into leaves of about FAN rows; a leaf pairs its rows until one is fractional, and
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null texts and texts without words have size 0 and are never taken. Null sources are one source, last in order.
     Repeated rows are separate documents. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * with_row)
     rows = table(sizes(rows).drop("text"), "mix-sizes")
     shares = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).select("source", "source_size")))
     n_rows = rows.groupBy("source").agg(F.count("*").alias("__n"))
@@ -166,6 +166,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own = small(plan.select(F.col("source").alias("__source"), "src", "source_size", "target", "rate", "leaves"))
     meant = rows.join(own, rows.source.eqNullSafe(own["__source"])).drop("__source")
     meant = meant.withColumn("key", key).withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("frac", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
+    kept_row = ["row"] * with_row
     meant = table(meant.withColumn("leaf", F.pmod(F.col("key"), F.col("leaves"))).withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
 
     most = plan.agg(F.max("leaves")).first()[0] or 0
@@ -183,9 +184,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ups = settled[0]
     for s in settled[1:]:
         ups = ups.union(s)
-    got = meant.join(ups, "uid", "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
+    got = meant.join(ups.hint("shuffle_hash"), "uid", "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
     got = got.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
-    return got.select("id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return got.select("id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *kept_row)
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix has it: each row as often as it is taken, the others gone."""
+    got = mix(docs, with_row=True, **how)
+    return got.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

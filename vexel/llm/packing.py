@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import arrow, read, running_total, scratch
+from vexel.llm.common import arrow, read, running_total, table
 from vexel.llm.tokencount import tokenizer_path
 
 LENGTH = 2048
@@ -172,10 +172,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     got = arrow(src, "id long, key long, n_tokens long, ids binary", each).withColumn("row", F.monotonically_increasing_id())
-    spark = docs.sparkSession
-    at = scratch(spark, "packing-ids")
-    got.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(got.schema).parquet(at)
+    return table(got, "packing-ids")
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:

@@ -64,9 +64,9 @@ def statistics(n: np.ndarray, chars: np.ndarray, sym: np.ndarray, dup: np.ndarra
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with the base counts and ``x``, the statistic vector."""
-    keep = [c for c in docs.columns if c != text_col]
+def measured(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs``, without its text unless asked for, with the base counts and ``x``, the statistic vector."""
+    keep = [c for c in docs.columns if with_text or c != text_col]
     at = len(keep)
     fields = ", ".join(f"{c} long" for c in BASE)
     src = docs.select(*keep, F.col(text_col).alias("__text"))
@@ -229,8 +229,8 @@ def group_key(lang: str = "lang", source: str = "source"):
     return F.concat(part(lang), F.lit("|"), part(source))
 
 
-def judged(docs: DataFrame, text_col: str = "text", tail: float = TAIL) -> DataFrame:
-    """All columns of ``docs`` but its text, with the base counts, base_failed, distance and kept, a row for each row.
+def judged(docs: DataFrame, text_col: str = "text", tail: float = TAIL, with_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` (its text only if asked for), with the base counts, base_failed, distance and kept, a row for each row.
 
     Estimates are made for each language and source from the rows that pass the base rules; a group without such a row
     has no estimate, and its rows keep the base verdict. Null texts have no words and fail. A group too small to define
@@ -238,7 +238,7 @@ def judged(docs: DataFrame, text_col: str = "text", tail: float = TAIL) -> DataF
     clash with the added ones are replaced.
     """
     docs = docs.drop(*[c for c in (*BASE, "x", "g", "base_failed", "distance", "kept") if c in docs.columns])
-    rows = table(measured(docs.withColumn("g", group_key()), text_col).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "quality")
+    rows = table(measured(docs.withColumn("g", group_key()), text_col, with_text).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "quality")
     models = mcd(rows.where("not base_failed").select("g", "x"))
     known = models.groupBy("g").agg(F.first("model").alias("model"))
     groups = rows.select("g").distinct().join(known, "g", "left")

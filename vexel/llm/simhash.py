@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vexel.llm.common import arrow, components, parts, read, table
 
@@ -166,6 +167,13 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     return few.union(arrow(pairs, "a long, b long", each)).distinct()
 
 
+def rooted(rows: DataFrame, limit: int = 4) -> DataFrame:
+    """``fp, root`` for each distinct ``fp`` of ``rows``: the least fingerprint (as a long) that links reach."""
+    known = rows.select("fp").distinct()
+    tree = components(links(known, limit).select("a", "b"))
+    return known.join(tree, known.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
     """``id, fp, component_id`` per row of ``docs``: groups linked by fingerprints at most ``limit`` bits apart.
 
@@ -174,11 +182,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows stay repeated; an empty table gives an empty result; other columns are not read.
     """
     rows = table(fingerprints(docs, id_col, text_col, width), "simhash")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    tree = components(links(classes.select("fp"), limit).select("a", "b"))
-    rooted = classes.join(tree, classes.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(rooted.join(best, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    classes = rows.groupBy("fp").agg(F.min("id").alias("low")).join(rooted(rows, limit), "fp")
+    best = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.join(classes.join(best, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the least id (of null or equal ids, any one)."""
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
+
+    made = arrow(docs, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]), each)
+    rows = table(made.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    slim = rows.select(F.col("__fp").alias("fp"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("at"))
+    classes = slim.groupBy("fp").agg(F.min("at").alias("at")).join(rooted(slim, limit), "fp")
+    chosen = classes.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("__row"))
+    return rows.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*names)
 
 
 def hex_bits(col: str):
