@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +21,26 @@ LENGTH = 2048
 END = 1
 #: Hashed features of a document, dimensions after projection, bits of the curve in each.
 FEATURES, DIMS, BITS = 512, 4, 12
-#: A process remembers the ids of so many words (and of so many parts of words), at most.
-REMEMBERED = 300_000
+#: A process remembers the ids of so many parts of words, at most; those met seldom go first.
+REMEMBERED = 400_000
 
-#: The vocabulary's own splitting rule, for words of these plain characters only.
-PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-PLAIN = re.compile("[!-~¡-ɏ]*")
-BEYOND = re.compile("[^\x00-ɏ]")
+
+def _of(kinds: str) -> str:
+    """Regular expression class of the characters up to U+024F whose general category begins with one of ``kinds``."""
+    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] in kinds)
+
+
+#: The vocabulary's own splitting rule, for texts of characters up to U+024F without the controls 1C to 1F.
+PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\\t\\n\\x0b\\x0c\\r \x85\xa0{_of('LN')}]+")
+BEYOND = re.compile("[\x1c-\x1f]|[^\x00-ɏ]")
 
 
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file with the normaliser NFC, white space, lower case.
 
-    That vocabulary never joins across white space, so ids are looked up word by word. Only texts without characters past
-    U+024F are lower-cased before the look-up (no combining mark is among those, so that composing gives the same);
-    texts with a special token's first two characters are encoded whole.
+    Texts of characters up to U+024F (no combining mark is among them, so that composing changes nothing) are lower-cased
+    and split by the vocabulary's rule, and each distinct part is encoded once; parts never join. Other texts, and those
+    with a special token's first two characters, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -46,63 +52,66 @@ class Encoder:
         self.tk.no_padding()
         self.size = self.tk.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.at: list[int] = []
-        self.len: list[int] = []
-        self.flat: list[int] = []
-        self.part: dict[str, list[int]] = {}
+        self.keep([], np.zeros(0, np.int64))
+
+    def keep(self, parts: list[str], which: np.ndarray) -> None:
+        """Starts the memory anew with some of its parts."""
+        old = [self.flat[self.at[i] : self.at[i] + self.len[i]] for i in which.tolist()] if len(which) else []
+        self.known: dict[str, int] = {}
+        self.at, self.len, self.flat = array("q"), array("q"), array("H" if self.kind.itemsize == 2 else "I")
+        self.uses = np.zeros(0, np.int64)
+        for p, ids in zip(parts, old, strict=True):
+            self._add(p, ids)
+
+    def _add(self, part: str, ids) -> None:
+        self.known[part] = len(self.at)
+        self.at.append(len(self.flat))
+        self.len.append(len(ids))
+        self.flat.extend(ids)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, new: list[bytes]) -> None:
-        cut, todo = [], set()
-        for w in new:
-            t = w.decode()
-            parts = PART.findall(t.lower()) if PLAIN.fullmatch(t) else [t]
-            cut.append(parts)
-            todo.update(p for p in parts if p not in self.part)
-        names = list(todo)
-        for p, e in zip(names, self.tk.encode_batch(names, add_special_tokens=False), strict=True):
-            self.part[p] = e.ids
-        for w, parts in zip(new, cut, strict=True):
-            ids = [i for p in parts for i in self.part[p]]
-            self.words[w] = len(self.at)
-            self.at.append(len(self.flat))
-            self.len.append(len(ids))
-            self.flat += ids
-
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """UTF-8 texts; a list of arrays of ids, without any end."""
-        if len(self.words) > REMEMBERED or len(self.part) > REMEMBERED:
-            self.clear()
+        if len(self.known) > REMEMBERED:
+            often = np.flatnonzero(self.uses >= 3)
+            often = often if 2 * len(often) <= REMEMBERED else often[np.argsort(-self.uses[often], kind="stable")[: REMEMBERED // 2]]
+            names = list(self.known)
+            self.keep([names[i] for i in often.tolist()], often)
+        get = self.known.get
         cut: list = []
-        new: set[bytes] = set()
+        new: dict[str, None] = {}
         for t in texts:
-            if b"<|" in t:
-                cut.append(t.decode())
+            text = t.decode()
+            if "<|" in text or not text.isascii() and BEYOND.search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                cut.append(text)
                 continue
-            plain = t.isascii() or not BEYOND.search(t.decode())
-            words = (t.lower() if plain else t).split()
-            cut.append(words)
-            new.update(words)
-        new = [w for w in new if w not in self.words]
+            parts = PART.findall(text.lower())
+            found = list(map(get, parts))
+            if None in found:
+                new.update((p, None) for p, i in zip(parts, found, strict=True) if i is None)
+                found = parts
+            cut.append(found)
         if new:
-            self._learn(new)
+            names = list(new)
+            for p, e in zip(names, self.tk.encode_batch(names, add_special_tokens=False), strict=True):
+                self._add(p, e.ids)
         at, ln, flat = np.array(self.at, np.int64), np.array(self.len, np.int64), np.array(self.flat, self.kind)
-        out, get = [], self.words.__getitem__
-        for words in cut:
-            if isinstance(words, str):
-                out.append(self.whole(words))
+        out, must = [], self.known.__getitem__
+        used = np.zeros(len(at), np.int64)
+        for found in cut:
+            if isinstance(found, str):
+                out.append(self.whole(found))
                 continue
-            i = np.fromiter(map(get, words), np.int64, len(words))
+            i = np.array(list(map(must, found)) if found and isinstance(found[0], str) else found, np.int64)
+            np.add.at(used, i, 1)
             n = ln[i]
             end = np.cumsum(n)
             total = int(end[-1]) if len(end) else 0
             out.append(flat[np.repeat(at[i] - (end - n), n) + np.arange(total)])
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         return out
 
 
