@@ -38,6 +38,11 @@ def bucket(word: Column, dims: int) -> Column:
     return (h % dims).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class HashingEmbedder:
     """Counts of words by the bucket of their FNV-1a hash, divided by the Euclidean norm (zero vector: left as it is)."""
 
@@ -46,9 +51,13 @@ class HashingEmbedder:
 
     def embed(self, text: Column) -> Column:
         buckets = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: bucket(w, self.dims))
-        zero = F.array_repeat(F.lit(0).cast("long"), self.dims)
-        # counts by one pass: the array of counts is rebuilt from the sorted buckets, not once a word
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("long"))
-        counts = F.when(F.size(buckets) > 0, counts).otherwise(zero)
-        length = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + c * c).cast("double"))
-        return F.transform(counts, lambda c: F.when(length == 0, F.lit(0.0)).otherwise(c / length).cast("float"))
+        places = F.sequence(F.lit(0), F.lit(self.dims - 1)) if self.dims else F.array().cast("array<int>")
+
+        def counts(b: Column) -> Column:
+            return F.transform(places, lambda i: F.size(F.filter(b, lambda x: x == i)).cast("long"))
+
+        def scaled(c: Column) -> Column:
+            squares = F.aggregate(c, F.lit(0).cast("long"), lambda s, n: s + n * n)
+            return let(F.sqrt(squares.cast("double")), lambda r: F.transform(c, lambda n: F.when(r == 0, F.lit(0.0)).otherwise(n / r).cast("float")))
+
+        return let(buckets, lambda b: let(counts(b), scaled))
