@@ -6,7 +6,6 @@ import os
 import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,8 @@ LENGTH = 2048
 END = 1
 #: Hashed features of a document, dimensions after projection, bits of the curve in each.
 FEATURES, DIMS, BITS = 512, 4, 12
-#: A process remembers the ids of so many parts of words, at most; those met seldom go first.
-REMEMBERED = 400_000
+#: A process remembers the ids of so many parts of words met lately, and as many met before those.
+REMEMBERED = 250_000
 
 
 def _of(kinds: str) -> str:
@@ -52,67 +51,51 @@ class Encoder:
         self.tk.no_padding()
         self.size = self.tk.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.keep([], np.zeros(0, np.int64))
-
-    def keep(self, parts: list[str], which: np.ndarray) -> None:
-        """Starts the memory anew with some of its parts."""
-        old = [self.flat[self.at[i] : self.at[i] + self.len[i]] for i in which.tolist()] if len(which) else []
-        self.known: dict[str, int] = {}
-        self.at, self.len, self.flat = array("q"), array("q"), array("H" if self.kind.itemsize == 2 else "I")
-        self.uses = np.zeros(0, np.int64)
-        for p, ids in zip(parts, old, strict=True):
-            self._add(p, ids)
-
-    def _add(self, part: str, ids) -> None:
-        self.known[part] = len(self.at)
-        self.at.append(len(self.flat))
-        self.len.append(len(ids))
-        self.flat.extend(ids)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        names = (self.tk.id_to_token(i) or "" for i in range(self.size))
+        self.last = np.array([x.endswith("</w>") for x in names])  # ids that end a part
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def learn(self, parts: set[str]) -> None:
+        """Remembers the ids, as bytes, of parts. Many are encoded as one text and told apart by their last ids; should
+        that not give as many as there are parts, each is encoded alone."""
+        new = []
+        for p in parts:
+            got = self.before.get(p)
+            if got is None:
+                new.append(p)
+            else:
+                self.known[p] = got
+        for a in range(0, len(new), 4000):
+            own = new[a : a + 4000]
+            ids = self.whole(" ".join(own))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                blob, w = ids.tobytes(), self.kind.itemsize
+                at = [0, *(ends * w).tolist()]
+                self.known.update(zip(own, map(blob.__getitem__, map(slice, at, at[1:])), strict=False))
+            else:
+                self.known.update((p, self.whole(p).tobytes()) for p in own)
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """UTF-8 texts; a list of arrays of ids, without any end."""
         if len(self.known) > REMEMBERED:
-            often = np.flatnonzero(self.uses >= 3)
-            often = often if 2 * len(often) <= REMEMBERED else often[np.argsort(-self.uses[often], kind="stable")[: REMEMBERED // 2]]
-            names = list(self.known)
-            self.keep([names[i] for i in often.tolist()], often)
-        get = self.known.get
-        cut: list = []
-        new: dict[str, None] = {}
+            self.before, self.known = self.known, {}
+        cut, new = [], set()
         for t in texts:
             text = t.decode()
-            if "<|" in text or not text.isascii() and BEYOND.search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            if "<|" in text or BEYOND.search(text):
                 cut.append(text)
                 continue
             parts = PART.findall(text.lower())
-            found = list(map(get, parts))
-            if None in found:
-                new.update((p, None) for p, i in zip(parts, found, strict=True) if i is None)
-                found = parts
-            cut.append(found)
-        if new:
-            names = list(new)
-            for p, e in zip(names, self.tk.encode_batch(names, add_special_tokens=False), strict=True):
-                self._add(p, e.ids)
-        at, ln, flat = np.array(self.at, np.int64), np.array(self.len, np.int64), np.array(self.flat, self.kind)
-        out, must = [], self.known.__getitem__
-        used = np.zeros(len(at), np.int64)
-        for found in cut:
-            if isinstance(found, str):
-                out.append(self.whole(found))
-                continue
-            i = np.array(list(map(must, found)) if found and isinstance(found[0], str) else found, np.int64)
-            np.add.at(used, i, 1)
-            n = ln[i]
-            end = np.cumsum(n)
-            total = int(end[-1]) if len(end) else 0
-            out.append(flat[np.repeat(at[i] - (end - n), n) + np.arange(total)])
-        used[: len(self.uses)] += self.uses
-        self.uses = used
-        return out
+            new |= set(parts).difference(self.known)
+            cut.append(parts)
+        self.learn(new)
+        get = self.known.__getitem__
+        return [self.whole(x) if isinstance(x, str) else np.frombuffer(b"".join(map(get, x)), self.kind) for x in cut]
 
 
 _encoders: dict[str, Encoder] = {}
