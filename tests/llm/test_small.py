@@ -103,6 +103,15 @@ def test_links_over_dense_groups(spark, monkeypatch, limit):
     assert got == {fps[i]: fps[low[i]] for i in range(len(fps))}
 
 
+def test_keep_one_checks_similarity(spark):
+    """Links at up to 20 bits, but only texts with 0.8 of their shingles in common are one group."""
+    long = prose(300, 1).split()
+    near, apart = long[:150] + ["new"] + long[151:], long[:150] + prose(150, 2).split()
+    rows = [(1, " ".join(long), "en", "s"), (2, " ".join(near), "en", "s"), (3, " ".join(apart), "en", "s"), (4, " ".join(long), "en", "s")]
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), width=5, limit=20, least=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_quality(docs, none):
     got = sorted(quality.judged(docs).collect(), key=by(["doc_id", "n_words"]))
     assert len(got) == len(DOCS)
@@ -213,7 +222,7 @@ def test_scores(docs, none):
 def test_tree_sums_to_one(spark):
     rows = [(i * 5, " ".join(np.random.default_rng(i).choice(["the", "of", "le", "la", "zébu", "um"], 60)), "en", "s") for i in range(40)]
     src = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id id", "cast(text as binary) text")
-    tree, _, _ = lm.grow(src, lm.counted(src))
+    tree, _ = lm.grow(src, lm.counted(src))
     every = np.arange(tree.k)
     for ctx in range(len(tree.names)):
         assert (10.0 ** tree.logp(np.full(tree.k, ctx), every)).sum() == pytest.approx(1.0)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import arrow, components, parts, read, table
+from vexel.llm.common import arrow, components, cut, parts, read, table
 
 BITS = 64
 SEED = 42
@@ -89,19 +89,18 @@ def plan(limit: int) -> list[tuple[int, list[tuple[int, int]]]]:
 
 
 def _grow(fps: np.ndarray, tests: list[tuple[np.uint64, int]], limit: int) -> np.ndarray:
-    """For each of the distinct ``fps`` the least one that links reach within this bucket.
+    """For each of the distinct ``fps`` the one that it was first reached from within this bucket (itself: a start).
 
-    Search from one fingerprint after another against those not reached yet: a dense group costs little more than its size.
+    Search from one fingerprint after another against those not reached yet: a dense group costs little more than its
+    size, and what comes out is a spanning forest of the bucket's links.
     """
-    left, root = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+    left, parent = np.arange(len(fps)), fps.view(np.int64).copy()
     while len(left):
         todo, left = [left[0]], left[1:]
-        member = []
         while todo:
             i = todo.pop()
-            member.append(i)
             if not len(left):
-                continue
+                break
             diff = fps[left] ^ fps[i]
             ok = np.arange(len(left))
             for mask, budget in tests:  # cumulative differences along the chain
@@ -111,15 +110,15 @@ def _grow(fps: np.ndarray, tests: list[tuple[np.uint64, int]], limit: int) -> np
             ok = ok[np.bitwise_count(diff[ok]) <= limit]
             if len(ok):
                 todo.extend(left[ok].tolist())
+                parent[left[ok]] = fps.view(np.int64)[i]
                 left = np.delete(left, ok)
-        root[member] = fps.view(np.int64)[member].min()
-    return root
+    return parent
 
 
 def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs of the distinct ``fp`` at ``limit`` or fewer differing bits.
 
-    Output is linear in the bucket entries: within a bucket every fingerprint points at the least it reaches, pairs are
+    Each edge is such a pair. Output is linear in the bucket entries: a bucket gives a spanning forest, its pairs are
     never listed. Buckets above BLOCK entries go to block pairs, each bounded, so any bucket size is exact.
     """
     keys = plan(limit)
@@ -136,10 +135,10 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
             for lo, hi in zip([0, *change], [*change, len(fp)], strict=True):
                 own = np.unique(fp[lo:hi])
-                root = _grow(own.view(np.uint64), tests[int(cols[0][lo])], limit)
-                keep = root != own
+                parent = _grow(own.view(np.uint64), tests[int(cols[0][lo])], limit)
+                keep = parent != own
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(root[keep])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(parent[keep])], ["a", "b"])
 
         def cols_of(bs: list[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray]:
             t = pa.Table.from_batches(bs)
@@ -167,13 +166,34 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     return few.union(arrow(pairs, "a long, b long", each)).distinct()
 
 
-def rooted(rows: DataFrame, limit: int = 4) -> DataFrame:
-    """``fp, root`` for each distinct ``fp`` of ``rows``: the least fingerprint (as a long) that links reach."""
+def rooted(rows: DataFrame, limit: int = 4, sure=None) -> DataFrame:
+    """``fp, root`` for each distinct ``fp`` of ``rows``: the least fingerprint (as a long) that links reach. ``sure``
+    may filter the links."""
     known = rows.select("fp").distinct()
-    tree = components(links(known, limit).select("a", "b"))
+    edges = links(known, limit).select("a", "b")
+    tree = components(sure(cut(edges)) if sure else edges)
     return known.join(tree, known.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct XXH64 of the ``width``-word shingles (of the whole sequence if it is shorter)."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    own = {xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), SEED) for i in range(max(1, len(w) - width + 1))}
+    return np.array(sorted(own), np.uint64).view(np.int64)
+
+
+def similar(edges: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``edges(a, b)`` whose fingerprints' texts, ``texts(fp, text)``, share ``least`` or more of all their shingles."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), width) for t in b.column(1)], pa.list_(pa.int64()))], ["fp", "h"])
+
+    sets = table(arrow(texts.select("fp", "text"), "fp long, h array<long>", each), "simhash-shingles")
+    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
+    return both.where(F.size(F.array_intersect("ha", "hb")) >= least * F.size(F.array_union("ha", "hb"))).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
     """``id, fp, component_id`` per row of ``docs``: groups linked by fingerprints at most ``limit`` bits apart.
 
@@ -187,8 +207,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes.join(best, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the least id (of null or equal ids, any one)."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, least: float | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the least id (of null or equal ids, any one).
+
+    ``least``: links between different fingerprints also need that similarity of the shingle sets, which is computed
+    exactly for each edge of the spanning forests (one text for each fingerprint in them).
+    """
     names, at = docs.columns, docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +223,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     made = arrow(docs, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]), each)
     rows = table(made.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
     slim = rows.select(F.col("__fp").alias("fp"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("at"))
-    classes = slim.groupBy("fp").agg(F.min("at").alias("at")).join(rooted(slim, limit), "fp")
+    lowest = slim.groupBy("fp").agg(F.min("at").alias("at"))
+
+    def sure(edges: DataFrame) -> DataFrame:
+        met = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
+        own = lowest.join(met, "fp").select("fp", F.col("at.row").alias("__row"))
+        return similar(edges, rows.select("__row", F.col(text_col).alias("text")).join(own.hint("shuffle_hash"), "__row"), width, least)
+
+    classes = lowest.join(rooted(slim, limit, sure if least else None), "fp")
     chosen = classes.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("__row"))
     return rows.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*names)
 
