@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import arrow, components, cut, parts, read, table
+from vexel.llm import overlap
+from vexel.llm.common import arrow, components, parts, read, table
 
 BITS = 64
 SEED = 42
@@ -166,34 +167,13 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     return few.union(arrow(pairs, "a long, b long", each)).distinct()
 
 
-def rooted(rows: DataFrame, limit: int = 4, sure=None) -> DataFrame:
-    """``fp, root`` for each distinct ``fp`` of ``rows``: the least fingerprint (as a long) that links reach. ``sure``
-    may filter the links."""
+def rooted(rows: DataFrame, limit: int = 4) -> DataFrame:
+    """``fp, root`` for each distinct ``fp`` of ``rows``: the least fingerprint (as a long) that links reach."""
     known = rows.select("fp").distinct()
-    edges = links(known, limit).select("a", "b")
-    tree = components(sure(cut(edges)) if sure else edges)
+    tree = components(links(known, limit).select("a", "b"))
     return known.join(tree, known.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct XXH64 of the ``width``-word shingles (of the whole sequence if it is shorter)."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    own = {xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), SEED) for i in range(max(1, len(w) - width + 1))}
-    return np.array(sorted(own), np.uint64).view(np.int64)
-
-
-def similar(edges: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The ``edges(a, b)`` whose fingerprints' texts, ``texts(fp, text)``, share ``least`` or more of all their shingles."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), width) for t in b.column(1)], pa.list_(pa.int64()))], ["fp", "h"])
-
-    sets = table(arrow(texts.select("fp", "text"), "fp long, h array<long>", each), "simhash-shingles")
-    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
-    return both.where(F.size(F.array_intersect("ha", "hb")) >= least * F.size(F.array_union("ha", "hb"))).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
     """``id, fp, component_id`` per row of ``docs``: groups linked by fingerprints at most ``limit`` bits apart.
 
@@ -210,27 +190,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, least: float | None = None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the least id (of null or equal ids, any one).
 
-    ``least``: links between different fingerprints also need that similarity of the shingle sets, which is computed
-    exactly for each edge of the spanning forests (one text for each fingerprint in them).
+    ``least``: groups are then those of all pairs of texts with that similarity of their shingle sets, found exactly (see
+    ``overlap``) at any distance of the fingerprints, so that ``limit`` has no part in it.
     """
-    names, at = docs.columns, docs.columns.index(text_col)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(at)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
-
-    made = arrow(docs, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]), each)
-    rows = table(made.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    slim = rows.select(F.col("__fp").alias("fp"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("at"))
-    lowest = slim.groupBy("fp").agg(F.min("at").alias("at"))
-
-    def sure(edges: DataFrame) -> DataFrame:
-        met = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
-        own = lowest.join(met, "fp").select("fp", F.col("at.row").alias("__row"))
-        return similar(edges, rows.select("__row", F.col(text_col).alias("text")).join(own.hint("shuffle_hash"), "__row"), width, least)
-
-    classes = lowest.join(rooted(slim, limit, sure if least else None), "fp")
+    names = docs.columns
+    if least:
+        rows, classes = overlap.classes(docs, id_col, text_col, width, least)
+    else:
+        at = names.index(text_col)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fp = np.array([fingerprint(t.as_py(), width) for t in b.column(at)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, "__fp"])
+
+        made = arrow(docs, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]), each)
+        rows = table(made.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+        slim = rows.select(F.col("__fp").alias("fp"), overlap.place(id_col))
+        classes = slim.groupBy("fp").agg(F.min("at").alias("at")).join(rooted(slim, limit), "fp")
     chosen = classes.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("__row"))
     return rows.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*names)
 
