@@ -68,3 +68,25 @@ def test_empty_and_short(spark):
     rows = [(3, None), (2, ""), (5, "a b c"), (4, "A  b c"), (6, "a b"), (7, "a b c d e f"), (8, "a b c d e")]
     got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), width=5, least=0.8)
     assert sorted(r.doc_id for r in got.collect()) == [2, 4, 6, 7, 8]
+
+
+def test_links_missing_from_a_forest(spark):
+    """A ~ B holds a group together though the least, C, is similar to A only; C and A meet in the same buckets as B."""
+    r = np.random.default_rng(5)
+    base = list(r.choice(VOCAB, 200))
+    c, b = changed(base[:100], r, 2) + base[100:], base[:100] + changed(base[100:], r, 3)
+    rows = [(1, " ".join(c)), (2, " ".join(b)), (3, " ".join(base))]
+    s = [grams(t) for _, t in rows]
+    assert jaccard(s[0], s[2]) >= 0.8 and jaccard(s[1], s[2]) >= 0.8 > jaccard(s[0], s[1])
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA).coalesce(1), width=5, least=0.8)
+    assert [x.doc_id for x in got.collect()] == [1]
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    """Repeated words decide the fingerprint; the texts share few of their shingles, and both stay."""
+    r = np.random.default_rng(6)
+    again = " ".join(["over and over once more"] * 300)
+    rows = [(i, again + " " + " ".join(r.choice(VOCAB, 40))) for i in (1, 2)]
+    assert far(rows[0][1], rows[1][1]) == 0 and jaccard(grams(rows[0][1]), grams(rows[1][1])) < 0.8
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), width=5, least=0.8)
+    assert sorted(x.doc_id for x in got.collect()) == [1, 2]
