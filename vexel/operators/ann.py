@@ -1,10 +1,10 @@
-"""Approximate search: rows partitioned by cluster, the nearest clusters probed, survivors ranked exactly."""
+"""Inverted-file search: rows partitioned by cluster, the nearest clusters probed, then all that may hold a nearer row."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +19,8 @@ class IvfIndex:
     Cosine clusters unit vectors. For the dot product no cluster bounds the distance: use the exact plan.
     """
 
-    def __init__(self, table: DataFrame, centres: np.ndarray, config: Config):
-        self.table, self.centres, self.config = table, centres, config
+    def __init__(self, table: DataFrame, centres: np.ndarray, radii: np.ndarray, config: Config):
+        self.table, self.centres, self.radii, self.config = table, centres, radii, config
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, config: Config | None = None, clusters: int = 16, rounds: int = 10) -> IvfIndex:
@@ -33,23 +33,46 @@ class IvfIndex:
             v = F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n))
         ready = rows.withColumn("__f", array_to_vector(F.transform(v, lambda x: x.cast("double"))))
         model = KMeans(k=clusters, seed=config.seed, maxIter=rounds, featuresCol="__f", predictionCol="cluster").fit(ready)
-        model.transform(ready).drop("__f").repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
-        return cls(rows.sparkSession.read.parquet(path), np.array(model.clusterCenters()), config)
+        dealt, centres, spark = model.transform(ready), np.array(model.clusterCenters()), rows.sparkSession
+        dealt.drop("__f").repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
+        at = spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "cluster int, centre array<double>")
+        squares = F.zip_with(vector_to_array("__f"), "centre", lambda x, y: (x - y) * (x - y))
+        far = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+        radii = np.zeros(len(centres))
+        for r in dealt.join(F.broadcast(at), "cluster").groupBy("cluster").agg(F.max(far).alias("r")).collect():
+            radii[r.cluster] = r.r
+        return cls(spark.read.parquet(path), centres, radii, config)
 
-    def probes(self, queries: DataFrame, nprobe: int) -> dict[int, list]:
-        """Clusters to probe and the queries that probe them, from the (few) centres."""
+    def probes(self, queries: DataFrame, nprobe: int, worst: dict | None = None) -> dict[int, list]:
+        """Clusters to probe and the queries that probe them, from the (few) centres.
+
+        ``worst``: distances of the k-th hits so far; then all clusters whose rows are not surely farther (the triangle
+        bound, with room for single-precision rounding) are added, and every cluster where a query has no k-th hit.
+        """
         by: dict[int, list] = {}
+        scale = 2 if self.config.metric == COSINE else 1
         for r in queries.select("qid", "vector").collect():
             q = np.array(r.vector, float)
             if self.config.metric == COSINE and (n := np.sqrt(q @ q)):
                 q = q / n
-            for c in np.argsort(((self.centres - q) ** 2).sum(axis=1), kind="stable")[:nprobe].tolist():
+            d = np.sqrt(((self.centres - q) ** 2).sum(axis=1))
+            probed = set(np.argsort(d, kind="stable")[:nprobe].tolist())
+            if worst is not None:
+                kth = scale * worst.get(r.qid, np.inf)
+                room = np.sqrt(max(kth, 0) * 1.0001 + (1e-4 if scale == 2 else 0))
+                probed |= set(np.flatnonzero(~(d - self.radii - 1e-6 * (d + self.radii) > room)).tolist())
+            for c in sorted(probed):
                 by.setdefault(c, []).append(r.qid)
         return by
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 4) -> DataFrame:
-        """``qid, id, seq, distance, rank`` among the rows of each query's nearest clusters. Only probed clusters are read."""
-        by = self.probes(queries, nprobe)
+        """``qid, id, seq, distance, rank`` of the nearest rows: ``nprobe`` clusters give the k-th distance, and with it
+        all clusters that may hold a nearer row are probed, so the result is exact. Only probed clusters are read."""
+        found = self._probed(queries, self.probes(queries, nprobe), k)
+        worst = {r.qid: r.d for r in found.where(F.col("rank") == k).select("qid", F.col("distance").alias("d")).collect()}
+        return self._probed(queries, self.probes(queries, nprobe, worst), k)
+
+    def _probed(self, queries: DataFrame, by: dict[int, list], k: int) -> DataFrame:
         spark = queries.sparkSession
         kind = queries.schema["qid"].dataType.simpleString()
         pairs = spark.createDataFrame([(q, c) for c, qs in by.items() for q in qs], f"qid {kind}, cluster int")
