@@ -1,3 +1,4 @@
+import itertools
 import json
 
 import numpy as np
@@ -7,10 +8,11 @@ from pyspark.sql import functions as F
 from vexel.config import Config, parse_metric, seed_from_number
 from vexel.errors import BadFormatError, DimensionMismatchError, SnapshotError, VersionMismatchError
 from vexel.functions.distance import cosine_distance, distance, dot_distance, l2_squared, vector_literal
-from vexel.functions.embedding import HashingEmbedder, bucket
+from vexel.functions.embedding import HashingEmbedder, ModelEmbedder, bucket, tokens
 from vexel.operators import search
 from vexel.sources.snapshot import Collection, Files, safe_name
 from vexel.store import TextStore, VectorStore
+from vexel.streaming.fold import SnapshotFold
 
 
 def splitmix(seed):
@@ -119,3 +121,88 @@ def test_text(spark):
     hit = t.query("the cat sat on the mat", 1)[0]
     assert hit["id"] == "auto-0" and hit["score"] > 0.99 and hit["text"] == "the cat sat on the mat"
     assert t.remove("auto-0") and t.size() == 2
+
+
+def test_hashing_embedder_equals_columns(spark):
+    texts = ["the cat sat on the mat", "", None, "A  a\u00a0b\u3000c\x1cd", "\U0001f600 é É İ", " lead trail "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    words = rows.select("i", F.explode(tokens(F.col("t"))).alias("w")).select("i", bucket(F.col("w"), 32).alias("b")).collect()
+    for r in rows.select("i", HashingEmbedder().embed(F.col("t")).alias("v")).collect():
+        n = np.bincount([w.b for w in words if w.i == r.i], minlength=32).astype(float)
+        assert np.allclose(r.v, n / (np.sqrt((n * n).sum()) or 1), atol=1e-7)
+
+
+def test_model_embedder(spark):
+    def load():
+        calls = []
+
+        def model(texts):
+            assert len(texts) <= 3
+            calls.append(len(texts))
+            return [[len(t), len(calls) > 0] for t in texts]
+
+        return model
+
+    e = ModelEmbedder(load, 2, batch=3)
+    rows = spark.createDataFrame([("a" * i,) for i in range(20)] + [(None,)], "t string")
+    assert sorted(tuple(r.v) for r in rows.select(e.embed(F.col("t")).alias("v")).collect()) == sorted([(float(i), 1.0) for i in range(20)] + [(0.0, 1.0)])
+    t = TextStore.create(spark, e)
+    assert t.insert("four") == "auto-0" and t.query("four", 1)[0]["id"] == "auto-0"
+
+
+LOG = [(1, "insert", "a"), (2, "insert", "b"), (3, "clear", None), (4, "insert", "a"), (5, "remove", "a")]
+
+
+def fold_rows(spark, at, batches, every):
+    fold = SnapshotFold(spark, str(at), "c", 2, every=every)
+    for i, own in enumerate(batches):
+        rows = [(s, op, k, [float(s), 0.0] if op == "insert" else None, None) for s, op, k in own]
+        for _ in range(1 + (i == 1)):  # a replay changes nothing
+            fold(spark.createDataFrame(rows, "seq long, op string, id string, vector array<float>, text string"), i)
+    return fold
+
+
+@pytest.mark.parametrize("every", [1, 2])
+def test_stream_fold_in_any_order(spark, tmp_path, every):
+    orders = list(itertools.permutations([*LOG, (6, "insert", "b")]))[every::240]
+    for n, order in enumerate(orders):
+        fold = fold_rows(spark, tmp_path / str(n), [order[:2], order[2:3], order[3:]], every)
+        assert [(r.id, r.seq) for r in fold.rows().collect()] == [("b", 6)], order
+        fold.publish()
+        assert [(r.id, r.seq) for r in fold.rows().collect()] == [("b", 6)] and fold.collection.load()[1].next_seq == 7
+
+
+def test_late_insert_stays_removed(spark, tmp_path):
+    fold = fold_rows(spark, tmp_path, [[(5, "remove", "a")], [(1, "insert", "a"), (2, "insert", "b")], [(3, "clear", None)], [(2, "insert", "c")]], 1)
+    assert fold.rows().count() == 0
+
+
+def test_lease_of_a_dead_writer(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "x")
+    lease = c.acquire(seconds=0.5)
+    with pytest.raises(TimeoutError):
+        c.acquire(timeout=1.5)  # renewed meanwhile
+    lease.stop()
+    other = c.acquire(timeout=10)
+    assert other.held() and not lease.held()
+    lease.release()
+    assert other.held()
+    other.release()
+
+
+def test_open_texts(spark, tmp_path):
+    t = TextStore.open(spark, str(tmp_path), "notes", HashingEmbedder())
+    t.insert("alpha one")
+    t.insert("beta two")
+    other = TextStore.open(spark, str(tmp_path), "notes", HashingEmbedder(), timeout=0.3)
+    assert t.store.persistent and not other.store.persistent and other.size() == 0
+    t.close()
+    again = TextStore.open(spark, str(tmp_path), "notes", HashingEmbedder())
+    assert again.size() == 2 and again.insert("gamma three") == "auto-2"
+    again.close()
+
+
+def test_batch_of_no_queries(spark):
+    rows = spark.createDataFrame([("a", 0, [1.0])], "id string, seq long, vector array<float>")
+    none = spark.createDataFrame([], "qid string, vector array<float>")
+    assert search.knn_batch_arrow(rows, none, 3).dtypes[0] == ("qid", "string") and search.knn_batch_arrow(rows, none, 3).count() == 0

@@ -1,9 +1,11 @@
-"""Text embedding: the seam for any model, and a hashing embedder made of columns."""
-
-from __future__ import annotations
+"""Text embedding: the seam for any model, an adapter for pretrained models, and a hashing embedder."""
 
+import re
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,26 +40,70 @@ def bucket(word: Column, dims: int) -> Column:
     return (h % dims).cast("int")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _bucket_of(word: str, dims: int) -> int:
+    """As ``bucket``, of one word."""
+    h, units = FNV_OFFSET, memoryview(word.encode("utf-16-le", "surrogatepass")).cast("H")
+    for c in units:
+        h = (h ^ c) * FNV_PRIME & MASK32
+    return h % dims
 
 
 class HashingEmbedder:
-    """Counts of words by the bucket of their FNV-1a hash, divided by the Euclidean norm (zero vector: left as it is)."""
+    """Counts of words by the bucket of their FNV-1a hash, divided by the Euclidean norm (zero vector: left as it is).
+
+    An Arrow UDF: a process hashes each distinct word once (up to a bound, then it starts anew) and counts by array.
+    """
+
+    REMEMBERED = 500_000
 
     def __init__(self, dims: int = 32):
         self.dims = dims
 
     def embed(self, text: Column) -> Column:
-        buckets = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: bucket(w, self.dims))
-        places = F.sequence(F.lit(0), F.lit(self.dims - 1)) if self.dims else F.array().cast("array<int>")
+        dims, space, most, hashed = self.dims, re.compile(f"[{SPACES}]+"), self.REMEMBERED, _bucket_of
+
+        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known: dict[str, int] = {}
+            for texts in batches:
+                if len(known) > most:
+                    known.clear()
+                out = []
+                for t in texts:
+                    words = [w for w in space.split(t) if w] if dims else []
+                    for w in words:
+                        if w not in known:
+                            known[w] = hashed(w, dims)
+                    n = np.bincount([known[w] for w in words], minlength=dims).astype(float)
+                    norm = np.sqrt((n * n).sum())
+                    out.append((n / norm if norm else n).astype(np.float32))
+                yield pd.Series(out)
 
-        def counts(b: Column) -> Column:
-            return F.transform(places, lambda i: F.size(F.filter(b, lambda x: x == i)).cast("long"))
+        return F.pandas_udf(vectors, "array<float>")(F.lower(F.coalesce(text, F.lit(""))))
 
-        def scaled(c: Column) -> Column:
-            squares = F.aggregate(c, F.lit(0).cast("long"), lambda s, n: s + n * n)
-            return let(F.sqrt(squares.cast("double")), lambda r: F.transform(c, lambda n: F.when(r == 0, F.lit(0.0)).otherwise(n / r).cast("float")))
 
-        return let(buckets, lambda b: let(counts(b), scaled))
+class ModelEmbedder:
+    """Any model behind the seam: ``load()`` is called once in a Python worker and gives a function from a list of texts
+    to their vectors, which is then called for at most ``batch`` texts at a time. Null texts are embedded as empty.
+
+    ``load`` is sent to the executors, so it should import and open the model itself (from a path that they can read).
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list]], dims: int, batch: int = 64):
+        self.load, self.dims, self.batch = load, dims, batch
+
+    def embed(self, text: Column) -> Column:
+        load, dims, size = self.load, self.dims, self.batch
+
+        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = None
+            for texts in batches:
+                model = model or load()
+                own, out = texts.tolist(), []
+                for a in range(0, len(own), size):
+                    got = np.asarray(model(own[a : a + size]), np.float32)
+                    if got.shape != (len(own[a : a + size]), dims):
+                        raise ValueError(f"the model gave vectors of shape {got.shape}, not of length {dims}")
+                    out += list(got)
+                yield pd.Series(out)
+
+        return F.pandas_udf(vectors, "array<float>")(F.coalesce(text, F.lit("")))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.config import COSINE, DOT, Config, parse_metric
-from vexel.functions.distance import norm
-from vexel.operators.search import knn_batch
+from vexel.functions.distance import distance, norm
+from vexel.operators.search import knn_batch, ranked
 
 
 class IvfIndex:
@@ -19,8 +22,8 @@ class IvfIndex:
     Cosine clusters unit vectors. For the dot product no cluster bounds the distance: use the exact plan.
     """
 
-    def __init__(self, table: DataFrame, centres: np.ndarray, radii: np.ndarray, config: Config):
-        self.table, self.centres, self.radii, self.config = table, centres, radii, config
+    def __init__(self, table: DataFrame, centres: np.ndarray, radii: np.ndarray, sizes: np.ndarray, config: Config):
+        self.table, self.centres, self.radii, self.sizes, self.config = table, centres, radii, sizes, config
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, config: Config | None = None, clusters: int = 16, rounds: int = 10) -> IvfIndex:
@@ -38,51 +41,57 @@ class IvfIndex:
         at = spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "cluster int, centre array<double>")
         squares = F.zip_with(vector_to_array("__f"), "centre", lambda x, y: (x - y) * (x - y))
         far = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
-        radii = np.zeros(len(centres))
-        for r in dealt.join(F.broadcast(at), "cluster").groupBy("cluster").agg(F.max(far).alias("r")).collect():
-            radii[r.cluster] = r.r
-        return cls(spark.read.parquet(path), centres, radii, config)
+        radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+        for r in dealt.join(F.broadcast(at), "cluster").groupBy("cluster").agg(F.max(far).alias("r"), F.count("*").alias("n")).collect():
+            radii[r.cluster], sizes[r.cluster] = r.r, r.n
+        return cls(spark.read.parquet(path), centres, radii, sizes, config)
 
-    def probes(self, queries: DataFrame, nprobe: int, worst: dict | None = None) -> dict[int, list]:
-        """Clusters to probe and the queries that probe them, from the (few) centres.
+    def _asked(self, queries: DataFrame, least: int, bounded: bool) -> DataFrame:
+        """``qid, q, cluster``: the nearest clusters that hold ``least`` rows; or, with the distance ``kth`` of each
+        query's k-th hit, all clusters whose rows are not surely farther (triangle bound, with room for the rounding of
+        single precision), and every cluster where there is no k-th hit."""
+        centres, radii, sizes, cosine = self.centres, self.radii, self.sizes, self.config.metric == COSINE
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                q = np.array(b.column(1).to_pylist(), float)
+                if cosine:
+                    n = np.sqrt((q * q).sum(axis=1, keepdims=True))
+                    q = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
+                d = np.sqrt(((q[:, None, :] - centres[None]) ** 2).sum(axis=2))
+                if bounded:
+                    kth = np.array([np.inf if x is None else x for x in b.column(2).to_pylist()], float) * (2 if cosine else 1)
+                    room = np.sqrt(np.maximum(kth, 0) * 1.0001 + (1e-4 if cosine else 0))
+                    take = ~(d - radii - 1e-6 * (d + radii) > room[:, None])
+                else:
+                    order = np.argsort(d, axis=1, kind="stable")
+                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    take = np.zeros(d.shape, bool)
+                    np.put_along_axis(take, order, before < least, axis=1)
+                i, c = np.nonzero(take)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(c.astype(np.int32))], ["qid", "q", "cluster"])
 
-        ``worst``: distances of the k-th hits so far; then all clusters whose rows are not surely farther (the triangle
-        bound, with room for single-precision rounding) are added, and every cluster where a query has no k-th hit.
-        """
-        by: dict[int, list] = {}
-        scale = 2 if self.config.metric == COSINE else 1
-        for r in queries.select("qid", "vector").collect():
-            q = np.array(r.vector, float)
-            if self.config.metric == COSINE and (n := np.sqrt(q @ q)):
-                q = q / n
-            d = np.sqrt(((self.centres - q) ** 2).sum(axis=1))
-            probed = set(np.argsort(d, kind="stable")[:nprobe].tolist())
-            if worst is not None:
-                kth = scale * worst.get(r.qid, np.inf)
-                room = np.sqrt(max(kth, 0) * 1.0001 + (1e-4 if scale == 2 else 0))
-                probed |= set(np.flatnonzero(~(d - self.radii - 1e-6 * (d + self.radii) > room)).tolist())
-            for c in sorted(probed):
-                by.setdefault(c, []).append(r.qid)
-        return by
-
-    def search(self, queries: DataFrame, k: int, nprobe: int = 4) -> DataFrame:
-        """``qid, id, seq, distance, rank`` of the nearest rows: ``nprobe`` clusters give the k-th distance, and with it
-        all clusters that may hold a nearer row are probed, so the result is exact. Only probed clusters are read."""
-        found = self._probed(queries, self.probes(queries, nprobe), k)
-        worst = {r.qid: r.d for r in found.where(F.col("rank") == k).select("qid", F.col("distance").alias("d")).collect()}
-        return self._probed(queries, self.probes(queries, nprobe, worst), k)
-
-    def _probed(self, queries: DataFrame, by: dict[int, list], k: int) -> DataFrame:
-        spark = queries.sparkSession
         kind = queries.schema["qid"].dataType.simpleString()
-        pairs = spark.createDataFrame([(q, c) for c, qs in by.items() for q in qs], f"qid {kind}, cluster int")
-        asked = queries.join(F.broadcast(pairs), "qid")
-        rows = self.table.where(F.col("cluster").isin(list(by) or [-1]))
-        from vexel.functions.distance import distance
-        from vexel.operators.search import _ranked
-
-        met = rows.join(F.broadcast(asked.select("qid", "cluster", F.col("vector").alias("q"))), "cluster")
-        return _ranked(met.select("qid", "id", "seq", distance(self.config.metric, F.col("q"), F.col("vector")).alias("distance")), k)
+        return queries.select("qid", "vector", *(["kth"] if bounded else [])).mapInArrow(each, f"qid {kind}, q array<float>, cluster int")
+
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
+        """``qid, id, seq, distance, rank`` of the nearest rows, for ``queries(qid, vector)`` with distinct ``qid``.
+
+        The nearest clusters with ``ef_search`` rows together (k at least) give the k-th distance, and with it all
+        clusters that may hold a nearer row are probed, so the result is exact; a larger ``ef_search`` makes the bound
+        closer, a smaller one the first pass cheaper. ``nprobe`` asks for about as many clusters of mean size instead.
+        Queries stay distributed; each meets the clusters' directories in a join on the cluster.
+        """
+        least = max(k, self.config.ef_search) if nprobe is None else max(1, int(nprobe * self.sizes.mean()))
+        found = self._probed(self._asked(queries, least, False), k)
+        kth = found.where(F.col("rank") == k).select("qid", F.col("distance").cast("double").alias("kth"))
+        return self._probed(self._asked(queries.join(kth, "qid", "left"), least, True), k)
+
+    def _probed(self, asked: DataFrame, k: int) -> DataFrame:
+        met = self.table.join(asked, "cluster")
+        return ranked(met.select("qid", "id", "seq", distance(self.config.metric, F.col("q"), F.col("vector")).alias("distance")), k)
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
         return knn_batch(self.table.select("id", "seq", "vector"), queries, k, self.config.metric)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.errors import DimensionMismatchError
+from vexel.sources.folders import shared_folder
 
 LOG = "seq long, op string, id string, vector array<float>, text string"
 INSERT, REMOVE, CLEAR = "insert", "remove", "clear"
@@ -34,6 +35,13 @@ def live(log: DataFrame) -> DataFrame:
     return log.where(F.col("op") == INSERT).join(winners, "seq", "left_semi").select("id", "seq", "vector", *(["text"] if "text" in log.columns else []))
 
 
+def last_operations(log: DataFrame) -> DataFrame:
+    """Of a log what later folds can need: the last operation on each id since the last clear, and that clear."""
+    top = latest(log).select("seq")
+    clear = log.where(F.col("op") == CLEAR).agg(F.max("seq").alias("seq")).where("seq is not null")
+    return log.join(top.union(clear), "seq", "left_semi")
+
+
 def live_count(log: DataFrame) -> DataFrame:
     return latest(log).where("inserted").agg(F.count("*").alias("live")).withColumn("is_empty", F.col("live") == 0)
 
@@ -53,11 +61,9 @@ def contains(log: DataFrame, probes: DataFrame) -> DataFrame:
 def remove_results(log: DataFrame) -> DataFrame:
     """For each remove whether it removed something: the id's operation before it, since the clear before it, inserts.
 
-    The number of clears before a row comes from the clears alone (few, joined by range), not from a window over the log.
+    How many clears lie before a row comes from range partitions of the log and their totals.
     """
-    clears = log.where(F.col("op") == CLEAR).agg(F.sort_array(F.collect_list("seq")).alias("__clears"))
-    epoch = F.size(F.filter("__clears", lambda c: c < F.col("seq")))
-    rows = log.where(F.col("op") != CLEAR).select("seq", "op", "id").crossJoin(F.broadcast(clears)).withColumn("__e", epoch).drop("__clears")
+    rows = running(log.select("seq", "op", "id"), "seq", F.when(F.col("op") == CLEAR, 1).otherwise(0), "__e").where(F.col("op") != CLEAR)
     before = F.lag("op").over(Window.partitionBy("id", "__e").orderBy("seq"))
     return rows.withColumn("removed", F.coalesce(before == INSERT, F.lit(False))).where(F.col("op") == REMOVE).select("seq", "id", "removed")
 
@@ -89,22 +95,29 @@ def first_requests(rows: DataFrame, req_id: Column | str = "req_id") -> DataFram
     return keyed.drop("__req").join(first.select("seq"), "seq", "left_semi")
 
 
-def numbered(rows: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
-    """Dense numbers from ``start`` in the order of ``order``: range partitions and their counts, no one-task window."""
+def running(rows: DataFrame, order: str, value: Column, out: str, start: int = 0) -> DataFrame:
+    """Adds ``out``: ``start`` and the sum of ``value`` over the rows before this one in ``order``.
+
+    Rows are dealt into range partitions and checkpointed, so that the partitions stay as they are; a partition's total
+    (as many numbers as there are partitions) is carried over to those behind it. No window sees more than a partition.
+    """
     spark = rows.sparkSession
+    shared_folder(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.stat.approxQuantile(order, [i / n for i in range(1, n)], 0.01) if n > 1 else []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + F.when(F.col(order) > b, 1).otherwise(0)
-    dealt = rows.withColumn("__p", part)
-    counts = {r["__p"]: r["n"] for r in dealt.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    at, before = start, F.lit(start).cast("long")
-    for p in sorted(counts):
-        before = F.when(F.col("__p") == p, F.lit(at).cast("long")).otherwise(before)
-        at += counts[p]
-    w = Window.partitionBy("__p").orderBy(order)
-    return dealt.withColumn(out, before + F.row_number().over(w) - 1).drop("__p")
+    dealt = rows.withColumn("__v", value.cast("long")).repartitionByRange(n, order).withColumn("__p", F.spark_partition_id()).checkpoint()
+    at, before = start, []
+    for r in sorted(dealt.groupBy("__p").agg(F.sum("__v").alias("v")).collect(), key=lambda r: r["__p"]):
+        before.append((r["__p"], at))
+        at += r["v"]
+    totals = spark.createDataFrame(before, "__p int, __b long")
+    w = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("__v").over(w), F.lit(0))
+    return dealt.withColumn("__i", inside).join(F.broadcast(totals), "__p").withColumn(out, F.col("__b") + F.col("__i")).drop("__p", "__b", "__i", "__v")
+
+
+def numbered(rows: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
+    """Dense numbers from ``start`` in the order of ``order``."""
+    return running(rows, order, F.lit(1), out, start)
 
 
 def compact(log: DataFrame) -> DataFrame:

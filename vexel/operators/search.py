@@ -37,7 +37,7 @@ def knn(rows: DataFrame, query: list[float], k: int, metric: str = COSINE, dims:
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "seq")))
 
 
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy("distance", "seq")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -63,7 +63,7 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = COSINE)
     for block in _blocks(queries):
         q = block.select("qid", F.col("vector").alias("q"), *([norm(F.col("vector")).alias("nq")] if cos else []))
         d = distance(metric, F.col("q"), F.col("vector"), *((F.col("nq"), F.col("nv")) if cos else ()))
-        got = _ranked(base.crossJoin(F.broadcast(q)).select("qid", "id", "seq", d.alias("distance")), k)
+        got = ranked(base.crossJoin(F.broadcast(q)).select("qid", "id", "seq", d.alias("distance")), k)
         out = got if out is None else out.union(got)
     return out
 
@@ -80,7 +80,7 @@ def knn_batch_arrow(rows: DataFrame, queries: DataFrame, k: int, metric: str = C
     for block in _blocks(queries):
         local = block.select("qid", "vector").toPandas()
         if not len(local) or k <= 0:
-            got = spark.createDataFrame([], "qid long, id string, seq long, distance float, rank int")
+            got = spark.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, id string, seq long, distance float, rank int")
             out = got if out is None else out.union(got)
             continue
         sent = spark.sparkContext.broadcast((local.qid.to_numpy(), np.stack(local.vector.to_numpy()).astype(float)))
@@ -113,7 +113,7 @@ def knn_batch_arrow(rows: DataFrame, queries: DataFrame, k: int, metric: str = C
         kind = block.schema["qid"].dataType.simpleString()
         some = rows.select("id", "seq", "vector").mapInArrow(near, f"qid {kind}, id string, seq long, vector array<float>")
         exact = some.join(F.broadcast(block.select("qid", F.col("vector").alias("q"))), "qid")
-        got = _ranked(exact.select("qid", "id", "seq", distance(metric, F.col("q"), F.col("vector")).alias("distance")), k)
+        got = ranked(exact.select("qid", "id", "seq", distance(metric, F.col("q"), F.col("vector")).alias("distance")), k)
         out = got if out is None else out.union(got)
     return out
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,10 @@ from vexel.functions import distance as dist
 from vexel.functions.embedding import HashingEmbedder, bucket, tokens
 from vexel.operators import ann, search
 from vexel.operators import log as ops
+from vexel.sources.folders import new_folder
 from vexel.sources.snapshot import read_snapshot, write_snapshot
 from vexel.store import ingest, next_auto, with_auto_ids
+from vexel.streaming.fold import SnapshotFold, dedupe_stream
 
 K = 10
 EMBED = HashingEmbedder()
@@ -28,8 +29,9 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
 
 
-def query_vectors(spark: SparkSession, d: str, n: int) -> DataFrame:
-    return _table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 20."""
+    return _table(spark, d, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 def first_vector(spark: SparkSession, d: str) -> list[float]:
@@ -53,7 +55,7 @@ def _wide(c: str = "distance"):
 
 def _pairwise(metric: str):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        queries = query_vectors(spark, d, 5).select("qid", F.col("vector").alias("q"))
+        queries = query_vectors(spark, d).select("qid", F.col("vector").alias("q"))
         pairs = vectors(spark, d).crossJoin(F.broadcast(queries))
         return pairs.select("qid", "id", dist.distance(metric, F.col("q"), F.col("vector")).cast("double").alias("distance"))
 
@@ -67,7 +69,7 @@ def score_cosine(spark: SparkSession, d: str) -> DataFrame:
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     dist.register_sql(spark)
     vectors(spark, d).createOrReplaceTempView("vexel_vectors")
-    query_vectors(spark, d, 3).createOrReplaceTempView("vexel_queries")
+    query_vectors(spark, d).createOrReplaceTempView("vexel_queries")
     return spark.sql("SELECT qid, id, CAST(vdot(q.vector, v.vector) AS DOUBLE) AS dot, CAST(vl2sq(q.vector, v.vector) AS DOUBLE) AS l2, CAST(vcosine(q.vector, v.vector) AS DOUBLE) AS cosine FROM vexel_vectors v CROSS JOIN vexel_queries q")
 
 
@@ -83,11 +85,11 @@ def brute_force_top1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn_batch(vectors(spark, d), query_vectors(spark, d, 10), K).select("qid", "rank", "id", _wide())
+    return search.knn_batch(vectors(spark, d), query_vectors(spark, d), K).select("qid", "rank", "id", _wide())
 
 
 def knn_batch_arrow(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn_batch_arrow(vectors(spark, d), query_vectors(spark, d, 10), K).select("qid", "rank", "id", _wide())
+    return search.knn_batch_arrow(vectors(spark, d), query_vectors(spark, d), K).select("qid", "rank", "id", _wide())
 
 
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -181,13 +183,8 @@ def text_query(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("rank", "id", "text", dist.score(F.col("distance")).alias("score"))
 
 
-def _folder(spark: SparkSession) -> str:
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return tempfile.mkdtemp() if at == tempfile.gettempdir() else f"{at}/vexel-{spark.sparkContext.applicationId}-{id(object())}"
-
-
 def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = new_folder(spark)
     write_snapshot(ops.live(event_log(spark, d)), at, 64, Config(), 0)
     rows, _ = read_snapshot(spark, at)
     return rows.select("id", "seq", dist.dot(F.col("vector"), F.col("vector")).cast("double").alias("norm2"))
@@ -195,29 +192,40 @@ def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     """The log as files read by Structured Streaming, a few at a time."""
-    from vexel.streaming.fold import SnapshotFold
-
-    at = _folder(spark)
+    at = new_folder(spark)
     log = event_log(spark, d).withColumn("text", F.lit(None).cast("string"))
     log.repartitionByRange(3, "seq").write.parquet(f"{at}/log")
     fold = SnapshotFold(spark, at, "events", 64)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
     fold.start(stream, f"{at}/checkpoint").awaitTermination()
+    fold.publish()
     return fold.rows().select("id", "seq")
 
 
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Request ids of the event stream, retries dropped within a watermark longer than the stream."""
+    at, events = new_folder(spark), _table(spark, d, "events")
+    e = events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("req_id"))
+    e.repartitionByRange(3, "ts").write.parquet(f"{at}/requests")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/requests")
+    w = dedupe_stream(stream, "3650 days").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
+    w.trigger(availableNow=True).start(f"{at}/once").awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{at}/once").select("req_id")
+
+
 def _index(spark: SparkSession, d: str) -> ann.IvfIndex:
-    return ann.IvfIndex.build(vectors(spark, d), f"{_folder(spark)}/ivf", clusters=16, rounds=5)
+    return ann.IvfIndex.build(vectors(spark, d), f"{new_folder(spark)}/ivf", clusters=16, rounds=5)
 
 
 def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).search(query_vectors(spark, d, 10), K, 4).select("qid", "rank", "id", _wide())
+    return _index(spark, d).search(query_vectors(spark, d), K).select("qid", "rank", "id", _wide())
 
 
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    q = _table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x).alias("vector"))
-    index = _index(spark, d)
-    return search.recall(index.search(q, 2, 4).where("cast(qid as string) <> id").withColumn("rank", F.lit(1)), index.exact(q, 2).where("cast(qid as string) <> id").withColumn("rank", F.lit(1)))
+    """Share of the queries whose nearest other row is the true one."""
+    q, index = query_vectors(spark, d), _index(spark, d)
+    first = lambda hits: hits.where("cast(qid as string) <> id").groupBy("qid").agg(F.min_by("id", "rank").alias("id")).withColumn("rank", F.lit(1))
+    return search.recall(first(index.search(q, 2)), first(index.exact(q, 2)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -250,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_query": text_query,
     "snapshot_roundtrip": snapshot_roundtrip,
     "stream_fold": stream_fold,
+    "stream_dedupe": stream_dedupe,
     "ann_ivf": ann_ivf,
     "ann_recall": ann_recall,
 }
@@ -285,7 +294,7 @@ def _distance(metric: str, a: str, b: str) -> str:
 
 
 def _pair_sql(metric: str) -> str:
-    return f"SELECT q.vec_id AS qid, CAST(v.vec_id AS VARCHAR) AS id, CAST({_distance(metric, 'q.embedding', 'v.embedding')} AS DOUBLE) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 5"
+    return f"SELECT q.vec_id AS qid, CAST(v.vec_id AS VARCHAR) AS id, CAST({_distance(metric, 'q.embedding', 'v.embedding')} AS DOUBLE) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0"
 
 
 def _top(metric: str, rows: str, cols: str = "rank, id, distance") -> str:
@@ -312,7 +321,7 @@ _BATCH = f"""
 SELECT qid, rank, id, distance FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, seq) AS rank FROM (
     SELECT q.vec_id AS qid, v.id, v.seq, CAST({_distance("cosine", "q.embedding", "v.vector")} AS DOUBLE) AS distance
-    FROM ({_VECTORS}) v, embeddings q WHERE q.vec_id < 10)) WHERE rank <= {K}"""
+    FROM ({_VECTORS}) v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= {K}"""
 
 _SPLIT = r"string_split_regex(lower(text), '[\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+')"
 _WORDS = f"SELECT doc_id, unnest({_SPLIT}) AS word FROM documents"
@@ -331,7 +340,7 @@ ORACLE_SQL: dict[str, str] = {
     "distance_dot": _pair_sql("dot"),
     "distance_l2": _pair_sql("l2"),
     "score_cosine": f"SELECT qid, id, 1.0::DOUBLE - distance AS score FROM ({_pair_sql('cosine')})",
-    "sql_functions": f"SELECT q.vec_id AS qid, CAST(v.vec_id AS VARCHAR) AS id, CAST({_dot('q.embedding', 'v.embedding')} AS DOUBLE) AS dot, CAST({_l2('q.embedding', 'v.embedding')} AS DOUBLE) AS l2, CAST({_distance('cosine', 'q.embedding', 'v.embedding')} AS DOUBLE) AS cosine FROM embeddings v, embeddings q WHERE q.vec_id < 3",
+    "sql_functions": f"SELECT q.vec_id AS qid, CAST(v.vec_id AS VARCHAR) AS id, CAST({_dot('q.embedding', 'v.embedding')} AS DOUBLE) AS dot, CAST({_l2('q.embedding', 'v.embedding')} AS DOUBLE) AS l2, CAST({_distance('cosine', 'q.embedding', 'v.embedding')} AS DOUBLE) AS cosine FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0",
     "knn_cosine": _top("cosine", _VECTORS),
     "knn_dot": _top("dot", _VECTORS),
     "knn_l2": _top("l2", _VECTORS),
@@ -358,5 +367,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(d.doc_id AS VARCHAR) AS id, d.doc_id AS seq, d.text, CAST({_distance("cosine", "q.vector", "e.vector")} AS DOUBLE) AS distance
         FROM ({_EMBEDDED}) e JOIN documents d USING (doc_id), (SELECT vector FROM ({_EMBEDDED}) WHERE doc_id = 0) q)) WHERE rank <= 5""",
     "snapshot_roundtrip": f"SELECT id, seq, CAST({_dot('vector', 'vector')} AS DOUBLE) AS norm2 FROM ({_live_sql(_log_sql())})",
+    "ann_ivf": _BATCH,
+    "ann_recall": "SELECT CAST(1 AS DOUBLE) AS recall, count(*) AS queries FROM embeddings WHERE vec_id % 20 = 0",
+    "stream_dedupe": "SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || event_type AS req_id FROM events",
     "stream_fold": f"SELECT id, seq FROM ({_live_sql(_log_sql())})",
 }

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.config import Config
-from vexel.errors import DimensionMismatchError
+from vexel.errors import DimensionMismatchError, SnapshotError
 from vexel.functions.distance import score
 from vexel.functions.embedding import Embedder
 from vexel.operators import log as ops
 from vexel.operators import search
-from vexel.sources.snapshot import Collection, read_snapshot, write_snapshot
+from vexel.sources.folders import shared_folder
+from vexel.sources.snapshot import Collection, Lease, read_snapshot, write_snapshot
 
 AUTO = re.compile(r"^auto-(\d+)$")
 #: Request ids whose results are remembered, oldest first out.
@@ -32,7 +33,7 @@ class VectorStore:
         self._rows: list[tuple] = []
         self._next = 0
         self._collection: Collection | None = None
-        self._lease: str | None = None
+        self._lease: Lease | None = None
         self._dirty = False
 
     @classmethod
@@ -103,9 +104,10 @@ class VectorStore:
 
     def compact(self) -> None:
         """Rewrites the log as its live rows, renumbered in insertion order."""
+        shared_folder(self.spark)
         kept = ops.compact(self.log()).select("seq", "op", "id", "vector", "text")
         n = len(self)
-        self._base, self._rows, self._next = kept.checkpoint() if self.spark.sparkContext.getCheckpointDir() else kept, [], n
+        self._base, self._rows, self._next = kept.checkpoint(), [], n
         self._dirty = True
 
     def contains(self, id: str) -> bool:
@@ -149,19 +151,26 @@ class VectorStore:
         self._next, self._dirty = next_seq, False
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, name: str, dims: int, config: Config | None = None, persist: bool = True, timeout: float = 30.0) -> VectorStore:
+    def open(cls, spark: SparkSession, root: str, name: str, dims: int, config: Config | None = None, persist: bool = True, timeout: float = 30.0, fallback: bool = False) -> VectorStore:
         """The named collection: its published snapshot, or an empty one; as its only writer until ``close``.
 
-        ``persist=False`` keeps everything in the session.
+        ``persist=False`` keeps everything in the session; so does ``fallback`` where another writer holds the
+        collection beyond ``timeout`` (``persistent`` tells).
         """
         got = cls(spark, dims, config)
         if persist:
-            got._collection = Collection(spark, root, name)
-            got._lease = got._collection.acquire(timeout)
+            collection = Collection(spark, root, name)
+            try:
+                got._lease = collection.acquire(timeout)
+            except TimeoutError:
+                if not fallback:
+                    raise
+                return got
+            got._collection = collection
             try:
                 found = got._collection.load()
             except Exception:
-                got._collection.release(got._lease)
+                got._lease.release()
                 raise
             if found:
                 rows, m = found
@@ -169,10 +178,16 @@ class VectorStore:
                 got._restore(rows, m.next_seq)
         return got
 
+    @property
+    def persistent(self) -> bool:
+        return self._collection is not None
+
     def flush(self) -> bool:
-        """Publishes a snapshot if anything changed."""
+        """Publishes a snapshot if anything changed; SnapshotError if another writer has taken the collection over."""
         if self._collection is None or not self._dirty:
             return False
+        if self._lease is None or not self._lease.held():
+            raise SnapshotError("this store no longer holds the collection")
         self._collection.publish(self.live(), self._dims, self._config, self._next)
         self._restore(*(lambda r: (r[0], r[1].next_seq))(self._collection.load()))
         self._rows = []
@@ -181,7 +196,7 @@ class VectorStore:
     def close(self) -> None:
         self.flush()
         if self._collection is not None and self._lease is not None:
-            self._collection.release(self._lease)
+            self._lease.release()
             self._lease = None
 
 
@@ -199,6 +214,11 @@ class TextStore:
     def create(cls, spark: SparkSession, embedder: Embedder, config: Config | None = None) -> TextStore:
         return cls(VectorStore(spark, embedder.dims, config), embedder)
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, name: str, embedder: Embedder, config: Config | None = None, persist: bool = True, timeout: float = 30.0, fallback: bool = True) -> TextStore:
+        """The named collection with its texts, in one call; in the session only where another writer keeps it."""
+        return cls(VectorStore.open(spark, root, name, embedder.dims, config, persist, timeout, fallback), embedder)
+
     def _embed(self, text: str) -> list[float]:
         row = self.store.spark.createDataFrame([(text,)], "text string").select(self.embedder.embed(F.col("text")).alias("v")).first()
         return list(row.v)

@@ -10,37 +10,75 @@ from vexel.config import Config
 from vexel.operators import log as ops
 from vexel.sources.snapshot import Collection
 
+COLUMNS = ("seq", "op", "id", "vector", "text")
+#: Time between two writes of a running stream, and batches after which their deltas become a snapshot.
+THROTTLE, EVERY = "250 milliseconds", 16
+
 
 class SnapshotFold:
-    """``foreachBatch`` sink: published rows and a batch's operations make the next snapshot.
+    """``foreachBatch`` sink: each batch is written as a delta (last operation on each id, last clear); now and then
+    all deltas and the published snapshot make the next snapshot.
 
-    A batch may be replayed after a failure; the manifest lists the batches it holds, so a replay changes nothing.
+    Rows may arrive in any order, within a batch and across batches: what is kept of the past is the last operation on
+    each id, removes too, with its ``seq``, and the last clear's ``seq``; so whatever the order the greatest ``seq``
+    decides. A batch that is replayed after a failure overwrites its own delta, or is skipped if a snapshot holds it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, dims: int, config: Config | None = None):
-        self.collection, self.dims, self.config, self.spark = Collection(spark, root, name), dims, config or Config(), spark
+    def __init__(self, spark: SparkSession, root: str, name: str, dims: int, config: Config | None = None, every: int = EVERY):
+        self.collection, self.dims, self.config, self.spark, self.every = Collection(spark, root, name), dims, config or Config(), spark, every
+
+    def _deltas(self, after: int) -> dict[int, str]:
+        at = f"{self.collection.path}/deltas"
+        return {int(n): f"{at}/{n}" for n in self.collection.files.names(at) if n.isdigit() and int(n) > after}
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         found = self.collection.load()
-        if found and batch_id in found[1].batches:
+        if found and batch_id <= found[1].upto:
             return
-        log = ops.quarantine(batch.where(F.col("op") == ops.INSERT), self.dims)[0].unionByName(batch.where(F.col("op") != ops.INSERT))
-        done, top = [], -1
+        valid = ops.quarantine(batch.where(F.col("op") == ops.INSERT), self.dims)[0]
+        log = valid.unionByName(batch.where(F.col("op") != ops.INSERT)).select(*COLUMNS)
+        ops.last_operations(log).write.mode("overwrite").parquet(f"{self.collection.path}/deltas/{batch_id:012d}")
+        if len(self._deltas(found[1].upto if found else -1)) >= self.every:
+            self.publish()
+
+    def _log(self) -> tuple[DataFrame, int, int, list[str]]:
+        """The kept operations of the snapshot and of later deltas; the next seq, the last batch, the deltas."""
+        found = self.collection.load()
+        log, top, upto = self.spark.createDataFrame([], ops.LOG), -1, -1
         if found:
             rows, m = found
-            log = log.unionByName(rows.select("seq", F.lit(ops.INSERT).alias("op"), "id", "vector", "text"))
-            done, top = m.batches, m.next_seq - 1
-        top = max(top, log.agg(F.max("seq")).first()[0] if not log.isEmpty() else -1)
-        self.collection.publish(ops.live(log), self.dims, self.config, top + 1, [*done, batch_id][-1000:])
+            top, upto = m.next_seq - 1, m.upto
+            log = rows.select("seq", F.lit(ops.INSERT).alias("op"), "id", "vector", "text")
+            gone = self.collection.removed().select("seq", F.lit(ops.REMOVE).alias("op"), "id")
+            log = log.unionByName(gone, allowMissingColumns=True)
+            if m.clear >= 0:
+                log = log.unionByName(self.spark.createDataFrame([(m.clear, ops.CLEAR)], "seq long, op string"), allowMissingColumns=True)
+        new = self._deltas(upto)
+        if new:
+            log = log.unionByName(self.spark.read.schema(ops.LOG).parquet(*new.values()))
+        return log, top + 1, max([upto, *new]), list(new.values())
+
+    def publish(self) -> None:
+        """Makes the deltas since the last snapshot a part of the next one. Deltas go after the pointer has moved."""
+        log, start, upto, deltas = self._log()
+        last, clear = log.agg(F.max("seq"), F.max(F.when(F.col("op") == ops.CLEAR, F.col("seq")))).first()
+        gone = ops.latest(log).where("not inserted").select("id", "seq")
+        self.collection.publish(ops.live(log), self.dims, self.config, max(start, -1 if last is None else last + 1), gone, -1 if clear is None else clear, upto)
+        for d in deltas:
+            self.collection.files.delete(d)
 
     def start(self, stream: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-        """Runs over what is available, or every ``interval`` (the write throttle)."""
-        w = stream.select("seq", "op", "id", "vector", "text").writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
+        """Runs over what is available."""
+        w = stream.select(*COLUMNS).writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
+    def follow(self, stream: DataFrame, checkpoint: str, interval: str = THROTTLE) -> StreamingQuery:
+        """Runs on; ``interval`` is the least time between two writes."""
+        return self.start(stream, checkpoint, interval)
+
     def rows(self) -> DataFrame:
-        found = self.collection.load()
-        return found[0] if found else self.spark.createDataFrame([], "id string, seq long, vector array<float>, text string")
+        """Live rows: the published snapshot with the deltas since."""
+        return ops.live(self._log()[0])
 
 
 def dedupe_stream(requests: DataFrame, delay: str, time_col: str = "ts") -> DataFrame:
