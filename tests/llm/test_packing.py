@@ -21,6 +21,20 @@ def test_encoder_equals_library():
         assert [x.tolist() for x in e.encode([(t or "").encode() for t in TEXTS])] == [library(t) for t in TEXTS]
 
 
+def test_every_letter_of_the_fast_path():
+    e = packing.encoder(PATH)
+    chars = [chr(i) for i in range(1, 0x250)]
+    texts = chars + [f"{c}ala fish" for c in chars] + [f"ma{c}o m{c}{c}x, {c}5" for c in chars]
+    assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == library_of(texts)
+
+
+def library_of(texts):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(PATH)
+    return [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_hilbert_is_a_curve():
     grid = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     key = packing.hilbert(grid, bits=3)

@@ -29,7 +29,7 @@ def _of(kinds: str) -> str:
     return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] in kinds)
 
 
-#: The vocabulary's own splitting rule, for texts of characters up to U+024F without the controls 1C to 1F.
+#: The vocabulary's own splitting rule, for lower-cased texts of characters up to U+024F without the controls 1C to 1F.
 PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\\t\\n\\x0b\\x0c\\r \x85\xa0{_of('LN')}]+")
 BEYOND = re.compile("[\x1c-\x1f]|[^\x00-ɏ]")
 
@@ -87,10 +87,12 @@ class Encoder:
         cut, new = [], set()
         for t in texts:
             text = t.decode()
-            if "<|" in text or BEYOND.search(text):
+            low = text.lower()
+            # some capitals up to U+024F have small letters beyond it
+            if "<|" in text or BEYOND.search(text) or not low.isascii() and BEYOND.search(low):
                 cut.append(text)
                 continue
-            parts = PART.findall(text.lower())
+            parts = PART.findall(low)
             new |= set(parts).difference(self.known)
             cut.append(parts)
         self.learn(new)
