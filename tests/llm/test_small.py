@@ -200,6 +200,20 @@ def test_mixing(spark, docs, none):
     assert mixing.mixed(docs).columns == docs.columns and mixing.mix(none).count() == 0
 
 
+def test_odds_of_dependent_rounding():
+    """Over many seeds each row is taken as often as its fraction says, and the words are kept but for one row."""
+    size, frac = np.array([90, 70, 70, 50, 40, 30, 20, 10, 9, 5]), np.full(10, 0.3)
+    n, taken = 6000, np.zeros(10)
+    for seed in range(n):
+        up, at, p = mixing.pivot(size, frac, np.arange(10), seed)
+        rest = size[at] * p if at >= 0 else 0.0
+        assert (size * up).sum() + rest == pytest.approx((size * frac).sum())
+        if at >= 0:
+            up[at] = mixing._coin(at, 1, seed=seed) < p
+        taken += up
+    assert np.abs(taken / n - 0.3).max() < 0.025
+
+
 def test_scores(docs, none):
     got = {(r.id, r.n_tokens): r for r in lm.score(docs).collect()}
     train, c = [], Counter()

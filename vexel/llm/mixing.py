@@ -54,11 +54,11 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     return weighed.select("source", "source_size", F.least(cap * F.col("source_size"), F.col("__w") * F.lit(level)).alias("target"))
 
 
-def _coin(*key: int) -> float:
-    return xxhash.xxh64_intdigest(b"".join(int(k & (1 << 64) - 1).to_bytes(8, "little") for k in key), SEED) / 2.0**64
+def _coin(*key: int, seed: int = SEED) -> float:
+    return xxhash.xxh64_intdigest(b"".join(int(k & (1 << 64) - 1).to_bytes(8, "little") for k in key), seed) / 2.0**64
 
 
-def pivot(size: np.ndarray, frac: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, int, float]:
+def pivot(size: np.ndarray, frac: np.ndarray, ids: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, int, float]:
     """Rounds ``frac`` in [0, 1) in order (large rows first leaves a small one at the end), keeping sum(size * frac) as long as two are fractional.
 
     Returns the copies (0 or 1) by row, the place of the one row left fractional (-1: none) and its fraction. Each pair
@@ -79,7 +79,7 @@ def pivot(size: np.ndarray, frac: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
         t = int(size[at])
         up = min((1 - p) * t, q * s)  # words that can move to `at`
         down = min(p * t, (1 - q) * s)
-        if _coin(int(ids[at]), int(ids[i])) < down / (up + down):
+        if _coin(int(ids[at]), int(ids[i]), seed=seed) < down / (up + down):
             p, q = p + up / t, q - up / s
         else:
             p, q = p - down / t, q + down / s
@@ -91,16 +91,6 @@ def pivot(size: np.ndarray, frac: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     return out, at, p
 
 
-def settle(size: np.ndarray, frac: np.ndarray, up: np.ndarray) -> None:
-    """After the root's coin: flips, largest first, rows whose flip brings the words nearer to what was meant."""
-    off = float((size * (up - frac)).sum())
-    for i in np.argsort(-size, kind="stable"):
-        s = int(size[i])
-        if 0 < frac[i] < 1 and s > 0 and abs(off + (s if not up[i] else -s)) < abs(off):
-            off += s if not up[i] else -s
-            up[i] = 1 - up[i]
-
-
 def _groups(node: np.ndarray) -> Iterator[tuple[int, int]]:
     change = np.flatnonzero(node[1:] != node[:-1]) + 1
     return zip([0, *change.tolist()], [*change.tolist(), len(node)], strict=True)
@@ -123,7 +113,6 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
                 if at >= 0:
                     if last:
                         up[lo + at] = int(_coin(int(key[lo + at]), 1) < p)
-                        settle(size[lo:hi], frac[lo:hi], up[lo:hi])
                     else:
                         left[lo + at] = p
             t = t.append_column("up", pa.array(up)).append_column("left", pa.array(left))
@@ -149,8 +138,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A document gets target / source_size copies in expectation: the whole part, and one more by dependent rounding. The
     rows of a source are dealt by hash into leaves of about FAN rows; a leaf pairs its rows until one is fractional, and
-    leaves' residuals meet FAN at a time in the next level. So a source's words are met but for the coin of
-    its last residual, which the root node then offsets with its other rows; no task holds a source, and the order of rows doesn't matter: coins are hashes of ids.
+    leaves' residuals meet FAN at a time in the next level. So a source's words differ from its target by less than
+    the size of one document, that of its last residual, which a last coin decides; every document is taken with exactly
+    its odds. No task holds a source, and the order of rows doesn't matter: coins are hashes of ids.
     Null texts and texts without words have size 0 and are never taken. Null sources are one source, last in order.
     Repeated rows are separate documents. An empty table gives an empty result.
     """
@@ -190,11 +180,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix has it: each row as often as it is taken, the others gone."""
+    """``docs`` as the mix has it: each row as often as it is taken, the others gone.
+
+    Rows with nulls in any column, repeated rows and rows equal in id are taken each by itself; texts without a word are
+    never taken; an empty table stays empty. All columns stay, whatever their names.
+    """
     got = mix(docs, with_row=True, **how)
     return got.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` (and source, copies) for every row of ``documents``, as ``mix`` has it."""
     got = mix(read(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
