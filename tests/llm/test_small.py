@@ -209,7 +209,7 @@ def test_odds_of_dependent_rounding():
         rest = size[at] * p if at >= 0 else 0.0
         assert (size * up).sum() + rest == pytest.approx((size * frac).sum())
         if at >= 0:
-            up[at] = mixing._coin(at, 1, seed=seed) < p
+            up[at] = mixing._coin(at, 0, 0, seed=seed) < p
         taken += up
     assert np.abs(taken / n - 0.3).max() < 0.025
 

@@ -112,7 +112,7 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
                 up[lo:hi] = got
                 if at >= 0:
                     if last:
-                        up[lo + at] = int(_coin(int(key[lo + at]), 1) < p)
+                        up[lo + at] = int(_coin(int(key[lo + at]), 0, 0) < p)
                     else:
                         left[lo + at] = p
             t = t.append_column("up", pa.array(up)).append_column("left", pa.array(left))
