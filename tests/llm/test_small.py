@@ -233,15 +233,6 @@ def test_scores(docs, none):
     assert lm.score(none).count() == 0
 
 
-def test_tree_sums_to_one(spark):
-    rows = [(i * 5, " ".join(np.random.default_rng(i).choice(["the", "of", "le", "la", "zébu", "um"], 60)), "en", "s") for i in range(40)]
-    src = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id id", "cast(text as binary) text")
-    tree, _ = lm.grow(src, lm.counted(src))
-    every = np.arange(tree.k)
-    for ctx in range(len(tree.names)):
-        assert (10.0 ** tree.logp(np.full(tree.k, ctx), every)).sum() == pytest.approx(1.0)
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><a href="/">Home</a></header><nav><ul><li><a href=1>One</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <!-- no --><div class="sidebar">Side</div><article><h1>Head &amp; line</h1><p>First <b>para</b>graph&nbsp;%d.<br>More<p>Second   one

@@ -1,36 +1,68 @@
-"""Language-model scoring with a probabilistic suffix tree, beside a unigram baseline."""
+"""Language-model scoring with a probabilistic suffix tree over words, beside a unigram baseline."""
 
 from __future__ import annotations
 
 import math
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import arrow, read, table
-
-#: Before a text's first token, and its last token; neither byte occurs in UTF-8.
-START, END = b"\xff", b"\xfe"
-#: Contexts are suffixes, of up to so many bytes, of the token before (with the space before that token).
-DEPTH = 8
-#: A context is a candidate from this share of all tokens on: at most DEPTH / LEAST of them, whatever the corpus.
-LEAST = 5e-5
-#: A context keeps successors from this share of all tokens on (and TWICE times at least), so that all keep at most
-#: DEPTH / SUCCESSOR.
-SUCCESSOR, TWICE = 2e-6, 3
-#: Nats by which a context must tell all its successors, left out one at a time, better than its own suffix does.
-GAIN = 12.0
-#: Tokens of this share or more are symbols of their own; the others are told by classes, the longest of their endings
-#: (CLASS bytes at most) that has CLASS_LEAST of all tokens or more.
-COMMON, CLASS, CLASS_LEAST = 5e-6, 3, 5e-5
-#: Counts of tokens of this share or more go to every task (1 / SENT of them at most); others meet theirs in a join.
-SENT = 1e-6
-HELD = 300_000
+from vexel.llm.common import arrow, discard, made, read, table
+
+#: Contexts are suffixes of the running text of one word, two words, and so on up to so many.
+DEPTH = 4
+#: A context is a candidate if it occurs so often, and one of its successors if it follows so often: absolute numbers,
+#: the same for every corpus, so that contexts and successors grow with the input.
+LEAST, TWICE = 48, 2
+#: Divergence tests, in nats of the training text: what a successor, and what a context with all its successors, must
+#: tell better than the context's own suffix does, each occurrence being told by the others.
+SUCCESSOR_GAIN, GAIN = 1.0, 12.0
+#: Tables up to these numbers of rows go to every task (8 to 16 bytes a row); the rest of a larger one is joined.
+HOT_CONTEXTS, HOT_ENTRIES, HOT_WORDS, SMALL = 4_000_000, 4_000_000, 1_000_000, 200_000
+HELD = 400_000
+
+# Spark's xxhash64 of longs (XXH64), so that tasks and columns give equal keys.
+SEED = 42
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def word_key(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+#: Before a text's first word, and its last token; neither byte occurs in UTF-8.
+START, END = np.uint64(word_key(b"\xff")), np.uint64(word_key(b"\xfe"))
+
+
+def signed(x: np.uint64) -> int:
+    return int(np.array(x, np.uint64).view(np.int64))
+
+
+def _one(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = (seed + P5 + np.uint64(8)) ^ (turn(x * P2, 31) * P1)
+    h = turn(h, 27) * P1 + P4
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What ``F.xxhash64(h, w)`` gives: the key of a context ``h`` with a further word, and of a successor of ``h``."""
+    return _one(w, _one(h, np.full(len(h), SEED, np.uint64)))
+
+
+def contexts(before: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, key and existence of the context of each token, for all lengths. ``before``: the word before each token."""
+    h = key(np.zeros(len(before), np.uint64), before)
+    for k in range(1, DEPTH + 1):
+        if k > 1:
+            h = key(np.concatenate((h[:1], h[:-1])), before)
+        yield k, h, pos >= k - 1
 
 
 def held_out(id_col: str):
@@ -38,329 +70,274 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def split(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+class Keys(dict):
+    """Keys of words, each hashed once as long as it is remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = word_key(word)
+        return got
 
-def longest(s: bytes, known: dict[bytes, int], most: int) -> int:
-    for k in range(min(most, len(s)), 0, -1):
-        i = known.get(s[-k:])
-        if i is not None:
-            return i
-    return 0
 
+def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, held, toks, row``: each text's words as 8-byte keys; a written table."""
 
-class Tree:
-    """Symbols, classes, contexts and their smoothed distributions; all arrays are bounded by shares of the corpus.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Keys()
+        for b in batches:
+            if len(keys) > HELD:
+                keys.clear()
+            out = []
+            for t in b.column(1):
+                words = (t.as_py() or b"").lower().split()
+                out.append(np.fromiter(map(keys.__getitem__, words), "<u8", len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "toks"])
 
-    Symbol ids: classes first (0 is the class of any ending), then common tokens, then the end. Context ids: 0 is the
-    root. ``up``: the longest retained proper suffix. Probabilities are log10.
-    """
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    got = arrow(src, "id long, toks binary", each)
+    return table(got.select("id", held_out("id").alias("held"), "toks", F.monotonically_increasing_id().alias("row")), "lm-tokens")
 
-    def __init__(self, common: dict[bytes, int], classes: list[bytes], contexts: dict[bytes, int], mass: np.ndarray, floor: float):
-        self.classes = {c: i + 1 for i, c in enumerate(classes)}
-        first = len(classes) + 1
-        self.symbols = {w: first + i for i, w in enumerate(common)}
-        self.end = first + len(common)
-        self.k, self.first = self.end + 1, first
-        self.contexts = {c: i + 1 for i, c in enumerate(contexts)}
-        self.names = [b"", *contexts]
-        self.total = np.array([0, *contexts.values()], float)  # tokens after each context, kept as successors or not
-        self.floor, self.mass = floor, mass
-        self.root = np.log10(mass / mass.sum())
-        # what a token of a class adds besides its own base probability
-        self.within = np.zeros(self.k)
-        self.within[:first] = -np.log10(mass[:first])
-        self.entry = (np.zeros(0, np.int64), np.zeros(0))
-        n = len(self.names)
-        self.up, self.back, self.state = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
-
-    def parent(self, i: int) -> int:
-        return self.contexts.get(self.names[i][1:], 0)
-
-    def codes(self, word: bytes) -> tuple[int, int]:
-        """(symbol of the token, candidate context that it makes for the next token)."""
-        s = self.symbols.get(word)
-        return longest(word, self.classes, CLASS) if s is None else s, longest(b" " + word, self.contexts, DEPTH)
-
-    def keep(self, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> None:
-        """Builds the distributions of the retained contexts, shorter ones first. A context's suffix weighs as much as the
-        number of kept successors (Witten-Bell) and all tokens whose successors are not kept."""
-        kept = set(np.unique(ctx).tolist()) - {0}
-        for i in sorted(range(1, len(self.names)), key=lambda i: len(self.names[i])):
-            p = self.parent(i)
-            self.state[i] = i if i in kept else self.state[p]
-            self.up[i] = self.state[p]
-        key = ctx * self.k + sym
-        order = np.argsort(key)
-        key, n, ctx, sym = key[order], n[order].astype(float), ctx[order], sym[order]
-        total, kinds = self.total, np.bincount(ctx, minlength=len(self.names))
-        rest = kinds + total - np.bincount(ctx, n, len(self.names))  # weight of the suffix's distribution
-        on = kinds > 0
-        self.back[on] = np.log10(rest[on] / (total[on] + kinds[on]))
-        depth = np.array([len(x) for x in self.names])[ctx]
-        value = np.zeros(len(key))
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(depth == d)
-            if len(at):
-                lower = 10.0 ** self.logp(self.up[ctx[at]], sym[at])
-                value[at] = np.log10((n[at] + rest[ctx[at]] * lower) / (total[ctx[at]] + kinds[ctx[at]]))
-                done = depth <= d
-                self.entry = (key[done], value[done])
-
-    def logp(self, ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | longest retained suffix of the context), backing off along suffixes."""
-        out, todo, at = np.zeros(len(ctx)), np.arange(len(ctx)), self.state[ctx]
-        keys, values = self.entry
-        while len(todo):
-            root = at == 0
-            out[todo[root]] += self.root[sym[todo[root]]]
-            todo, at = todo[~root], at[~root]
-            if not len(todo):
-                break
-            w = at * self.k + sym[todo]
-            i = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-            hit = keys[i] == w
-            out[todo[hit]] += values[i[hit]]
-            out[todo[~hit]] += self.back[at[~hit]]
-            todo, at = todo[~hit], self.up[at[~hit]]
-        return out
-
-
-class Coder(dict):
-    """Tokens to ids, remembered up to a bound: symbol, candidate context and log10 base share (see ``counts``) by token."""
-
-    def __init__(self, tree: Tree, counts: dict[bytes, int] | None = None):
-        super().__init__()
-        self.tree, self.counts = tree, counts or {}
-        self.start = longest(b" " + START, tree.contexts, DEPTH)
-        self.sym, self.ctx, self.base = array("q"), array("q"), array("d")
 
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self.sym)
-        sym, ctx = self.tree.codes(word)
-        c = self.counts.get(word)
-        self.sym.append(sym)
-        self.ctx.append(ctx)
-        self.base.append(math.log10((c + 0.5) / self.tree.floor) if c else math.nan)
-        return i
-
-    def batch(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens of all texts, an end after each: symbols, contexts, base shares (nan: not known here; of the
-        end too), and where texts begin."""
-        if len(self) > HELD:
-            self.clear()
-            self.sym, self.ctx, self.base = array("q"), array("q"), array("d")
-        flat = [i for w in texts for i in (*map(self.__getitem__, w), -1)]
-        i = np.array(flat, np.int64)
-        end = i < 0
-        sym, ctx, base = np.array(self.sym, np.int64), np.array(self.ctx, np.int64), np.array(self.base)
-        if not len(sym):
-            sym, ctx, base = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, math.nan)
-        s, c, b = np.where(end, self.tree.end, sym[i]), ctx[i], np.where(end, math.nan, base[i])
-        at = np.concatenate(([0], np.flatnonzero(end)[:-1] + 1))
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[at] = self.start
-        return s, before, b, at
-
-
-def counted(train: DataFrame) -> DataFrame:
-    """``word, n``: training counts of the tokens; the end is the null word."""
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of a batch's texts, an end after each: the token, the word before, the place; and where texts begin."""
+    texts = [np.frombuffer(t.as_py(), "<u8") for t in column]
+    n = np.array([len(t) + 1 for t in texts])
+    at = np.cumsum(n) - n
+    sym, before = np.full(n.sum(), END), np.full(n.sum(), START)
+    for t, a in zip(texts, at.tolist(), strict=True):
+        sym[a : a + len(t)] = t
+        before[a + 1 : a + 1 + len(t)] = t
+    return sym, before, np.arange(len(sym)) - np.repeat(at, n), at
+
+
+def summed(df: DataFrame, names: list[str], of) -> DataFrame:
+    """Counts of what ``of(column)`` gives for each batch: arrays, one a name. Added up in the task as far as HELD * 4
+    different ones, then by an aggregate."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        texts = 0
+        kind = np.dtype([(c, np.int64) for c in names])
+        have, num = np.zeros(0, kind), np.zeros(0, np.int64)
 
         def out() -> Iterator[pa.RecordBatch]:
-            own = list(words.items())
-            for a in range(0, len(own), 20_000):
-                w, n = zip(*own[a : a + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in w], pa.string()), pa.array(n, pa.int64())], ["word", "n"])
-            words.clear()
+            for a in range(0, len(have), 100_000):
+                part = have[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[c])) for c in names), pa.array(num[a : a + 100_000])], [*names, "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                texts += 1
-                words.update(split(t))
-            if len(words) > HELD:
+            if not b.num_rows:
+                continue
+            cols = [c.view(np.int64) for c in of(b.column(0))]
+            new = np.empty(len(cols[0]) + len(have), kind)
+            for c, x in zip(names, cols, strict=True):
+                new[c] = np.concatenate((have[c], x))
+            weight = np.concatenate((num, np.ones(len(cols[0]), np.int64)))
+            order = np.lexsort([new[c] for c in reversed(names)])
+            new, weight = new[order], weight[order]
+            first = np.concatenate(([True], np.any([new[c][1:] != new[c][:-1] for c in names], axis=0))) if len(new) else np.zeros(0, bool)
+            have = new[first]
+            num = np.add.reduceat(weight, np.flatnonzero(first)) if len(new) else weight
+            if len(have) > 4 * HELD:
                 yield from out()
+                have, num = np.zeros(0, kind), np.zeros(0, np.int64)
         yield from out()
-        if texts:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([texts], pa.int64())], ["word", "n"])
 
-    return arrow(train.select("text"), "word string, n long", each).groupBy("word").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{c} long" for c in [*names, "n"])
+    return arrow(df.select("toks"), schema, each).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def endings(words: DataFrame, most: int, least: float, prefix: bytes = b"") -> dict[bytes, int]:
-    """Endings (1 to ``most`` bytes) of the tokens, ``prefix`` put before, that ``least`` tokens or more have; their counts."""
-    w = F.concat(F.lit(bytearray(prefix)), F.col("word").cast("binary")) if prefix else F.col("word").cast("binary")
-    whole = words.select(F.when(F.octet_length(w) > most, F.substring(w, -most, most)).otherwise(w).alias("e"), "n").groupBy("e").agg(F.sum("n").alias("n"))
-    cut = whole.select(F.explode(F.sequence(F.lit(1), F.octet_length("e"))).alias("k"), "e", "n").select(F.expr("substring(e, -k, k)").alias("e"), "n")
-    return dict(sorted((bytes(r.e), r.n) for r in cut.groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()))
+def meet(rows: DataFrame, other: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+    """A join with ``other``, whose ``n`` rows go to every task if they are few."""
+    return rows.join(F.broadcast(other) if n <= SMALL else other, on, how)
 
 
-def grow(train: DataFrame, words: DataFrame) -> tuple[Tree, int]:
-    """The tree and the number of training tokens: aggregates over the whole corpus."""
-    spark = train.sparkSession
-    n_all, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = words.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = words.where("word is not null")
-    often = max(1.0, COMMON * n_all)
-    common = {r.word.encode(): r.n for r in known.where(F.col("n") >= often).orderBy("word").collect()}
-    rare = known.where(F.col("n") < often)
-    classes = list(endings(rare, CLASS, max(1.0, CLASS_LEAST * n_all)))
-    contexts = endings(known, DEPTH, max(2.0, LEAST * n_all), b" ")
-    if ends:
-        contexts[START] = ends
-    floor = n_all + 0.5 * (v + 1)
-    index = {c: i + 1 for i, c in enumerate(classes)}
+class Found:
+    """Sorted keys with a value each."""
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[longest(w, index, CLASS)] += 2 * n + 1  # twice (count + 0.5), in whole numbers
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()))], ["c", "m"])
-
-    mass = np.full(len(classes) + 1, 0.5)  # each class has room for one token never seen
-    for r in arrow(rare.select(F.col("word").cast("binary"), "n"), "c long, m long", by_class).groupBy("c").agg(F.sum("m").alias("m")).collect():
-        mass[r.c] += r.m / 2
-    mass = np.concatenate((mass, np.array(list(common.values()), float) + 0.5, [ends + 0.5])) / floor
-    tree = Tree(common, classes, contexts, mass, floor)
-    sent = spark.sparkContext.broadcast(tree)
-    k = tree.k
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of (candidate context, symbol), each token under its longest candidate."""
-        coder = Coder(sent.value)
-        key, num = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float64)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(num[a : a + 100_000])], ["w", "n"])
+    def get(self, asked: np.ndarray) -> np.ndarray:
+        """Values, nan where there is none."""
+        if not len(self.keys) or not len(asked):
+            return np.full(len(asked), np.nan)
+        own, inv = np.unique(asked, return_inverse=True)
+        i = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return np.where(self.keys[i] == own, self.values[i], np.nan)[inv]
 
-        for b in batches:
-            own = [split(t) for t in b.column(0).to_pylist()]
-            if not own:
-                continue
-            sym, ctx, _, _ = coder.batch(own)
-            new = ctx * k + sym
-            got, n = np.unique(new, return_counts=True)
-            key, inv = np.unique(np.concatenate((key, got)), return_inverse=True)
-            num = np.bincount(inv, np.concatenate((num, n)), minlength=len(key)).astype(np.int64)
-            if len(key) > 4 * HELD:
-                yield from out()
-                key, num = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield from out()
 
-    ways = [[] for _ in tree.names]
-    for i in range(1, len(tree.names)):
-        j = i
-        while j:
-            ways[i].append(j)
-            j = tree.parent(j)
-    chains = spark.sparkContext.broadcast(ways)
+def _local(df: DataFrame, value: str) -> Found:
+    """``df(k, value)``, whose number of rows was checked."""
+    got = df.select("k", F.col(value).cast("double").alias("v")).toPandas()
+    return Found(got.k.to_numpy(np.int64).view(np.uint64), got.v.to_numpy(np.float64))
 
-    def lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each count under its context and all suffixes of it; the root's are known already."""
-        for b in batches:
-            w, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            c, s = w // k, w % k
-            lists = [chains.value[i] for i in c.tolist()]
-            times = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.array([j for x in lists for j in x], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(s, times)), pa.array(np.repeat(n, times))], ["c", "s", "n"])
-
-    once = arrow(train.select("text"), "w long, n long", pairs).groupBy("w").agg(F.sum("n").alias("n"))
-    e = arrow(once, "c long, s long, n long", lifted).groupBy("c", "s").agg(F.sum("n").alias("n"))
-    e = table(e.where(F.col("n") >= max(TWICE, SUCCESSOR * n_all)), "suffix-entries")
-    pdf = e.toPandas()
-    ctx, sym, n = (pdf[x].to_numpy(np.int64) for x in ("c", "s", "n"))
-    # divergence of each context from its suffix: every occurrence told by the others (so that what occurs once counts
-    # against a context), smoothed as in use, against its suffix's share; tokens without a kept successor pay the back-off
-    total, kinds = tree.total, np.bincount(ctx, minlength=len(tree.names))
-    lost = np.maximum(total - np.bincount(ctx, n, len(tree.names)), 0)
-    up = np.array([tree.parent(i) for i in range(len(tree.names))], np.int64)
-    gain = np.zeros(len(tree.names))
-    if len(ctx):
-        key = ctx * k + sym
-        order = np.argsort(key)
-        skey, sn = key[order], n[order]
-        below = up[ctx]
-        w = below * k + sym
-        i = np.minimum(np.searchsorted(skey, w), len(skey) - 1)
-        lower = np.where(below == 0, mass[sym] / mass.sum(), sn[i] / np.maximum(total[below], 1))
-        told = (n - 1 + (kinds + lost)[ctx] * lower) / (total[ctx] - 1 + kinds[ctx])
-        gain = np.bincount(ctx, n * np.log(told / lower), len(tree.names))
-        gain += lost * np.log(np.where(kinds > 0, (kinds + lost) / np.maximum(total + kinds, 1), 1.0))
-    good = gain[ctx] >= GAIN
-    tree.keep(ctx[good], sym[good], n[good])
-    return tree, int(n_all)
+
+def threshold(df: DataFrame, by: str, most: int, weight=None) -> int:
+    """The least power of two such that the rows with ``by`` at or above it weigh ``most`` together at most."""
+    level = F.floor(F.log2(F.col(by))).cast("int").alias("b")
+    t, total = 62, 0
+    for r in sorted(df.groupBy(level).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n")).collect(), key=lambda r: -r.b):
+        total += r.n
+        if total > most:
+            break
+        t = r.b
+    return 1 << t
+
+
+class Tree:
+    """Tables of the retained contexts ``k, h, n, back`` and their kept successors ``k, h, w, n, d``; log10.
+
+    A token costs its baseline share and, for each context of it that is retained, ``d`` if the token is a kept
+    successor there, else ``back``: d is what the smoothed share differs from that of the context's suffix.
+    """
+
+    def __init__(self, contexts: DataFrame | None, entries: DataFrame | None, floor: float):
+        self.contexts, self.entries, self.floor = contexts, entries, floor
+
+
+def grow(tokens: DataFrame, words: DataFrame) -> tuple[Tree, int]:
+    """The tree and the number of training tokens. Level by level: the contexts of k + 1 words that occur LEAST times
+    are among the successors counted for those of k words, so each level counts successors of its candidates only."""
+    spark, train = tokens.sparkSession, tokens.where("not held")
+    n_all, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    floor = n_all + 0.5 * (v + 1)
+    share = words.select("w", ((F.col("n") + 0.5) / F.lit(floor)).cast("float").alias("low"))
+    one = words.where((F.col("n") >= LEAST) & (F.col("w") != signed(END))).select("w", "n")
+    texts = words.where(F.col("w") == signed(END)).where(F.col("n") >= LEAST).select(F.lit(signed(START)).alias("w"), "n")
+    root = F.lit(0).cast("long")
+    cands = one.union(texts).select(F.xxhash64(root, "w").alias("h"), F.lit(None).cast("long").alias("up"), F.col("n").alias("total"))
+    kept, told, before = [], [], None
+    for k in range(1, DEPTH + 1):
+        cands = table(cands, f"lm-candidates{k}")
+        n_cands = cands.count()
+        if not n_cands:
+            break
+        hot = None
+        if n_cands <= HOT_CONTEXTS:
+            hot = spark.sparkContext.broadcast(np.sort(cands.select("h").toPandas().h.to_numpy(np.int64).view(np.uint64)))
+
+        def successors(column: pa.Array, k: int = k, hot=hot) -> list[np.ndarray]:
+            sym, before, pos, _ = flat(column)
+            h, there = next((h, ok) for j, h, ok in contexts(before, pos) if j == k)
+            h, sym = h[there], sym[there]
+            if hot is not None:  # else the join below drops those of no candidate
+                own, inv = np.unique(h, return_inverse=True)
+                ok = (hot.value[np.minimum(np.searchsorted(hot.value, own), len(hot.value) - 1)] == own)[inv]
+                h, sym = h[ok], sym[ok]
+            return [h, sym]
+
+        counts = summed(train, ["h", "w"], successors).where(F.col("n") >= TWICE)
+        e = meet(counts, cands, ["h"], n_cands)
+        low = e.join(share, "w") if before is None else e.join(before, ["up", "w"])
+        raw = table(low.select("h", "up", "total", "w", "n", "low"), f"lm-counts{k}")
+        # total, the kinds of successors (those seen once are total less the others), and both tests
+        kinds = raw.groupBy("h").agg((F.first("total") - F.sum("n") + F.count("*")).alias("kinds"))
+        e = meet(raw, kinds, ["h"], n_cands)
+        gain = lambda rest: F.col("n") * F.log((F.col("n") - 1 + rest * F.col("low")) / ((F.col("total") - 1 + F.col("kinds")) * F.col("low")))
+        good = e.where(gain(F.col("kinds")) >= SUCCESSOR_GAIN)
+        rest = F.col("kinds") + F.col("total") - F.col("sure")
+        mass = good.groupBy("h").agg(F.first("total").alias("t"), F.first("kinds").alias("c"), F.sum("n").alias("sure"))
+        lost = F.col("t") - F.col("sure")
+        mass = mass.select("h", "sure", "c", "t", (lost * F.log((F.col("c") + lost) / (F.col("t") + F.col("c")))).alias("cost"))
+        gains = meet(good, mass, ["h"], n_cands).groupBy("h").agg((F.sum(gain(rest)) + F.first("cost")).alias("gain"))
+        top = mass.join(gains.where(F.col("gain") >= GAIN).select("h"), "h", "left_semi")
+        top = table(top.select("h", "sure", "c", "t"), f"lm-contexts{k}")
+        kept.append(top.select(F.col("h").alias("k"), "h", F.col("t").alias("n"), F.log10((F.col("c") + F.col("t") - F.col("sure")) / (F.col("t") + F.col("c"))).alias("back")))
+        e = meet(e, top.select("h", "sure"), ["h"], n_cands, "left").withColumn("rest", rest)
+        on = F.col("sure").isNotNull()
+        sure = on & (gain(F.col("kinds")) >= SUCCESSOR_GAIN)
+        p = (F.when(sure, F.col("n")).otherwise(0) + F.col("rest") * F.col("low")) / (F.col("total") + F.col("kinds"))
+        e = e.select("h", "up", "w", "n", sure.alias("sure"), F.when(on, p).otherwise(F.col("low")).cast("float").alias("p"), F.log10(p / F.col("low")).alias("d"))
+        done = table(e, f"lm-successors{k}")
+        discard(spark, made(spark)[-3])  # the raw counts; contexts and successors stand behind them
+        told.append(done.where("sure").select(F.xxhash64("h", "w").alias("k"), "h", "w", "n", "d"))
+        before = done.select(F.col("h").alias("up"), "w", F.col("p").alias("low"))
+        longer = done.where((F.col("n") >= LEAST) & (F.col("w") != signed(END)))
+        shorter = F.xxhash64(root, "w") if k == 1 else F.xxhash64("up", "w")
+        cands = longer.select(F.xxhash64("h", "w").alias("h"), shorter.alias("up"), F.col("n").alias("total"))
+    union = lambda dfs: None if not dfs else dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
+    return Tree(union(kept), union(told), floor), int(n_all)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row; all log10.
 
-    The tree's contexts are endings of the text before a token, of variable length, retained where their successors
+    The tree's contexts are suffixes of the words before a token, of variable length, retained where their successors
     diverge from those of their suffix; a token is scored in the longest retained one, smoothed with its suffixes, the
-    last of which is the baseline. Tokens that are not common are told by the class of their ending, and within it by
-    their baseline shares; each class has room for one unseen token, as the baseline has for one. Null or empty texts are
-    the end alone. Without training rows, all counts are 0. Common tokens and the tree, bounded by shares of the corpus,
-    go to every task; the other tokens meet their counts in a join, by token. Repeated rows are separate rows.
+    last of which is the baseline. Words are told apart by 64-bit hashes (two of a billion words are equal with a
+    probability of 3 in 100). Null or empty texts are the end alone, wordless ones too. Null ids are training rows,
+    repeated rows are separate rows; an empty table gives an empty result; without training rows all counts are 0 and
+    all scores 0. Other columns are not read. The most frequent words, contexts and successors go to every task, as far
+    as HOT_WORDS, HOT_CONTEXTS and HOT_ENTRIES reach; all others meet their tokens in joins.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    train = src.where(~held_out("id"))
-    words = table(counted(train), "lm-words")
-    tree, n_all = grow(train, words)
+    tokens = tokenised(docs, id_col, text_col)
+    words = table(summed(tokens.where("not held"), ["w"], lambda c: [flat(c)[0]]), "lm-words")
+    tree, n_all = grow(tokens, words)
     floor = tree.floor
-    ends = float(tree.mass[tree.end] * floor - 0.5)
-    sure = max(1.0, SENT * n_all)
-    counts = {r.word.encode(): r.n for r in words.where(F.col("word").isNotNull() & (F.col("n") >= sure)).toLocalIterator()}
-    sent = spark.sparkContext.broadcast((tree, counts))
-    del counts
+    share = F.log10((F.col("n") + 0.5) / F.lit(floor))
+    sure = threshold(words, "n", HOT_WORDS)
+    hot_words = _local(words.where(F.col("n") >= sure).select(F.col("w").alias("k"), share.alias("v")), "v")
+    hot_contexts = hot_entries = Found(np.zeros(0, np.uint64), np.zeros(0))
+    cold = False
+    if tree.contexts is not None:
+        size = tree.entries.groupBy("h").agg(F.count("*").alias("m"))
+        ready = table(tree.contexts.join(size, "h"), "lm-tree")
+        t = max(threshold(ready, "n", HOT_ENTRIES, F.col("m")), threshold(ready, "n", HOT_CONTEXTS))
+        hot = ready.where(F.col("n") >= t)
+        hot_contexts = _local(hot, "back")
+        hot_entries = _local(meet(tree.entries, hot.select("h"), ["h"], len(hot_contexts.keys), "left_semi"), "d")
+        rare = ready.where(F.col("n") < t).select("h", "back")
+        cold = rare.limit(1).count() > 0
+    sent = spark.sparkContext.broadcast((hot_words, hot_contexts, hot_entries))
+    del hot_words, hot_contexts, hot_entries
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, counts = sent.value
-        coder, k = Coder(tree, counts), tree.k
-        end = math.log10((ends + 0.5) / floor)
+        words, contexts_, entries = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            own = [split(t) for t in b.column(1).to_pylist()]
-            sym, ctx, base, at = coder.batch(own)
-            uniq, inv = np.unique(ctx * k + sym, return_inverse=True)
-            total = np.add.reduceat((tree.logp(uniq // k, uniq % k) + tree.within[uniq % k])[inv], at)
-            # of the tokens of a class, the base share that is known here; the join adds the others'
+            sym, before, pos, at = flat(b.column(1))
+            base = words.get(sym)
             known = ~np.isnan(base)
-            base = np.where(known, base, 0.0)
-            total += np.add.reduceat(np.where(sym < tree.first, base, 0.0), at)
-            told, number = np.add.reduceat(base, at) + end, np.add.reduceat(known.astype(np.int64), at) + (ends > 0)
-            rare = []
-            for w, a in zip(own, at.tolist(), strict=True):
-                rare.append(Counter([w[j] for j in np.flatnonzero(~known[a : a + len(w)]).tolist()]))
-            words = pa.array([[x.decode() for x in r] for r in rare], pa.list_(pa.string()))
-            times = pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) + 1 for w in own], pa.int64()), pa.array(number), pa.array(told), pa.array(total), words, times], ["id", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
-
-    made = arrow(src, "id long, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<long>", each)
-    rows = table(made.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("word"), F.col("t.times").alias("times"))
-    known = words.where("word is not null").select("word", "n")
-    met = (
-        rare.join(known, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"),
-            F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(floor))).alias("b"),
-        )
-    )
+            told = np.where(known, base, 0.0)
+            more = told.copy()
+            asked = []
+            for _, h, there in contexts(before, pos):
+                back = contexts_.get(h)
+                i = np.flatnonzero(there & ~np.isnan(back))
+                d = entries.get(key(h[i], sym[i]))
+                more[i] += np.where(np.isnan(d), back[i], d)
+                if cold:
+                    asked.append((h, there & np.isnan(back)))
+            ends = np.append(at[1:], len(sym))
+            lists = lambda pick, x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(pick.astype(np.int64), at)))).astype(np.int32)), pa.array(x[pick].view(np.int64)))
+            cols = [b.column(0), pa.array(ends - at), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(told, at)), pa.array(np.add.reduceat(more, at)), lists(~known, sym)]
+            if cold:
+                pick, own, what = (np.stack(x, axis=1).ravel() for x in (([m for _, m in asked]), ([h for h, _ in asked]), ([sym] * len(asked))))
+                first = at * len(asked)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(pick.astype(np.int64), first)))).astype(np.int32))
+                cols += [pa.ListArray.from_arrays(offsets, pa.array(x[pick].view(np.int64))) for x in (own, what)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["row", "n_tokens", "n_known", "base_score", "score", "rare", *["h", "w"] * cold]
+    schema = "row long, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", h array<long>, w array<long>" * cold
+    rows = table(arrow(tokens.select("row", "toks"), schema, each), "lm-rows")
+    asked = rows.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
+    own = F.coalesce("n", F.lit(0))
+    met = asked.join(words, "w", "left").groupBy("row").agg(F.sum(F.when(own > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((own + 0.5) / F.lit(floor))).alias("b"))
+    parts = ["row", "n_tokens", "n_known", "base_score", "score"]
+    got = rows.select(*parts).join(met, "row", "left").withColumn("c", F.lit(0.0))
+    if cold:
+        pairs = rows.select("row", F.explode(F.arrays_zip("h", "w")).alias("x")).select("row", "x.h", "x.w")
+        pairs = pairs.join(rare, "h").join(tree.entries.select("h", "w", "d"), ["h", "w"], "left")
+        found = pairs.groupBy("row").agg(F.sum(F.coalesce("d", "back")).alias("c"))
+        got = got.drop("c").join(found, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    got = rows.select("row", "id", "n_tokens", "n_known", "base_score", "score").join(met, "row", "left")
-    return got.select("id", held_out("id").alias("held_out"), "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("b")).alias("score"))
+    got = tokens.select("row", "id", F.col("held").alias("held_out")).join(got, "row")
+    return got.select("id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("b") + zero("c")).alias("score"))
 
 
 def op8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``documents``, as ``score``
+    has it for nulls, empty texts, repeated rows and empty tables."""
     return score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
