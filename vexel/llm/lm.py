@@ -24,6 +24,8 @@ SUCCESSOR_GAIN, GAIN = 1.0, 12.0
 #: Tables up to these numbers of rows go to every task (8 to 16 bytes a row); the rest of a larger one is joined.
 HOT_CONTEXTS, HOT_ENTRIES, HOT_WORDS, SMALL = 4_000_000, 4_000_000, 1_000_000, 200_000
 HELD = 400_000
+#: In place of a back-off (never above 0).
+MARK = 1.0
 
 # Spark's xxhash64 of longs (XXH64), so that tasks and columns give equal keys.
 SEED = 42
@@ -154,7 +156,7 @@ class Found:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float64)
+        self.keys, self.values = keys[order], values[order]
 
     def get(self, asked: np.ndarray) -> np.ndarray:
         """Values, nan where there is none."""
@@ -162,13 +164,13 @@ class Found:
             return np.full(len(asked), np.nan)
         own, inv = np.unique(asked, return_inverse=True)
         i = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        return np.where(self.keys[i] == own, self.values[i], np.nan)[inv]
+        return np.where(self.keys[i] == own, self.values[i], np.nan).astype(np.float64)[inv]
 
 
 def _local(df: DataFrame, value: str) -> Found:
     """``df(k, value)``, whose number of rows was checked."""
-    got = df.select("k", F.col(value).cast("double").alias("v")).toPandas()
-    return Found(got.k.to_numpy(np.int64).view(np.uint64), got.v.to_numpy(np.float64))
+    got = df.select("k", F.col(value).cast("float").alias("v")).toArrow()
+    return Found(got["k"].to_numpy().view(np.uint64), got["v"].to_numpy())
 
 
 def threshold(df: DataFrame, by: str, most: int, weight=None) -> int:
@@ -213,7 +215,7 @@ def grow(tokens: DataFrame, words: DataFrame) -> tuple[Tree, int]:
             break
         hot = None
         if n_cands <= HOT_CONTEXTS:
-            hot = spark.sparkContext.broadcast(np.sort(cands.select("h").toPandas().h.to_numpy(np.int64).view(np.uint64)))
+            hot = spark.sparkContext.broadcast(np.sort(cands.select("h").toArrow()["h"].to_numpy().view(np.uint64)))
 
         def successors(column: pa.Array, k: int = k, hot=hot) -> list[np.ndarray]:
             sym, before, pos, _ = flat(column)
@@ -274,20 +276,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     words = table(summed(tokens.where("not held"), ["w"], lambda c: [flat(c)[0]]), "lm-words")
     tree, n_all = grow(tokens, words)
     floor = tree.floor
-    share = F.log10((F.col("n") + 0.5) / F.lit(floor))
     sure = threshold(words, "n", HOT_WORDS)
-    hot_words = _local(words.where(F.col("n") >= sure).select(F.col("w").alias("k"), share.alias("v")), "v")
+    got = words.where(F.col("n") >= sure).toArrow()
+    hot_words = Found(got["w"].to_numpy().view(np.uint64), np.log10((got["n"].to_numpy() + 0.5) / floor))
+    del got
     hot_contexts = hot_entries = Found(np.zeros(0, np.uint64), np.zeros(0))
-    cold = False
+    cold = beyond = False
     if tree.contexts is not None:
         size = tree.entries.groupBy("h").agg(F.count("*").alias("m"))
         ready = table(tree.contexts.join(size, "h"), "lm-tree")
-        t = max(threshold(ready, "n", HOT_ENTRIES, F.col("m")), threshold(ready, "n", HOT_CONTEXTS))
-        hot = ready.where(F.col("n") >= t)
-        hot_contexts = _local(hot, "back")
-        hot_entries = _local(meet(tree.entries, hot.select("h"), ["h"], len(hot_contexts.keys), "left_semi"), "d")
+        t, least = threshold(ready, "n", HOT_ENTRIES, F.col("m")), threshold(ready, "n", HOT_CONTEXTS)
+        t = max(t, least)
+        # contexts whose successors are not all in the tasks are marked there; those with fewer than `least` not even that
+        hot_contexts = _local(ready.where(F.col("n") >= least).withColumn("v", F.when(F.col("n") >= t, F.col("back")).otherwise(MARK)), "v")
+        hot = ready.where(F.col("n") >= t).select("h")
+        hot_entries = _local(meet(tree.entries, hot, ["h"], len(hot_contexts.keys), "left_semi"), "d")
         rare = ready.where(F.col("n") < t).select("h", "back")
-        cold = rare.limit(1).count() > 0
+        cold, beyond = rare.limit(1).count() > 0, ready.where(F.col("n") < least).limit(1).count() > 0
     sent = spark.sparkContext.broadcast((hot_words, hot_contexts, hot_entries))
     del hot_words, hot_contexts, hot_entries
 
@@ -304,11 +309,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             asked = []
             for _, h, there in contexts(before, pos):
                 back = contexts_.get(h)
-                i = np.flatnonzero(there & ~np.isnan(back))
+                i = np.flatnonzero(there & (back <= 0))
                 d = entries.get(key(h[i], sym[i]))
                 more[i] += np.where(np.isnan(d), back[i], d)
                 if cold:
-                    asked.append((h, there & np.isnan(back)))
+                    asked.append((h, there & ((back == MARK) | beyond & np.isnan(back))))
             ends = np.append(at[1:], len(sym))
             lists = lambda pick, x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(pick.astype(np.int64), at)))).astype(np.int32)), pa.array(x[pick].view(np.int64)))
             cols = [b.column(0), pa.array(ends - at), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(told, at)), pa.array(np.add.reduceat(more, at)), lists(~known, sym)]
