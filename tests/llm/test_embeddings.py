@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from vexel.llm import embeddings
 
@@ -24,9 +25,11 @@ def brute(rows, least=0.98):
 SCHEMA = "vec_id long, embedding array<float>, label int, component_id string, v int"
 
 
-def test_equals_brute_force_over_cells_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "CELL", 40)
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
+@pytest.mark.parametrize(("cell", "full", "children"), [(40, 60, 3), (2000, 50, 64), (2000, 8192, 64)])
+def test_equals_brute_force_over_cells_and_blocks(spark, monkeypatch, cell, full, children):
+    """Cells split several times, cells that no split makes smaller and whose blocks are compared, and whole labels."""
+    for name, value in (("CELL", cell), ("FULL", full), ("CHILDREN", children)):
+        monkeypatch.setattr(embeddings, name, value)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((120, 8))
     rows = []

@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import arrow, components, cut, parts, read, table
+from vexel.llm.common import arrow, components, cut, read, table
 
 LEAST = 0.98
-#: Vectors a cell should hold; vectors in a block (a unit of comparison); sample rows that fit k-means, at most.
-CELL, BLOCK, SAMPLE = 2000, 256, 20_000
+#: Vectors a cell should hold, and vectors above which a cell is split again (or, where that is of no use, cut into
+#: blocks); children of a cell, and sample rows that fit them, at most.
+CELL, FULL, CHILDREN, SAMPLE = 2000, 8192, 64, 20_000
 ROUNDS, SEED = 6, 3
-#: Cells at most (the centroids are what is sent to tasks: cells x dimensions doubles).
-CELLS = 4096
 #: Slack for rounding in the border test; only adds comparisons.
 SLACK = 1e-6
 
@@ -51,82 +51,119 @@ def fit(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> n
     return c
 
 
-def cells_for(n: int) -> int:
-    return int(min(CELLS, max(1, round(n / CELL))))
+def centroids(big: DataFrame, least_hash: DataFrame) -> DataFrame:
+    """``cell, centres``: spherical k-means of each cell, fitted on about SAMPLE of its rows, those with small hashes."""
 
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.frombuffer(v) for v in pdf.sort_values(["h", "cls"]).x])
+        k = int(min(CHILDREN, max(2, round(pdf.m.iloc[0] / CELL)), len(x)))
+        return pd.DataFrame({"cell": [pdf.cell.iloc[0]], "centres": [fit(x, k).tobytes()], "k": [k]})
+
+    chosen = big.join(least_hash, "cell").where(F.col("h") < F.col("most"))
+    return chosen.select("cell", "cls", "x", "h", "m").groupBy("cell").applyInPandas(each, "cell string, centres binary, k int")
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST) -> DataFrame:
-    """``id, n_links, component_id, kept`` for each row; exact for every pair of equal, non-null labels.
 
-    k-means is fitted per label on a bounded sample (SAMPLE rows with the least hashes); all vectors are indexed. A
-    vector x of cell a is also entered in cell c if x is within r of the hyperplane between their centroids, r being the
-    chord of the threshold: for any linked y of cell c, |x - y| <= r, so x then meets y there. Cells are cut into blocks
-    of BLOCK rows, block pairs are compared by matrix products in as many tasks, and what leaves a task is link counts and
-    a spanning forest, never the pairs. Vectors that are null, zero, or hold null or non-finite components, and rows with
-    a null label, have no links. Vectors of different length don't link. Repeated ids are separate rows. n_links counts
-    other rows. kept: the id is its component's least.
+def split(rows: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
+    """Rows of split cells, each entered in all children whose border it is near; ``home`` gets the child that it is in.
+
+    A row whose home is another cell counts as at home in the child it is nearest to, for the next split; its real home
+    stays. Two linked rows x, y of a cell meet in x's child: y is within ``reach`` of the border of y's and x's child.
     """
-    spark = vectors.sparkSession
-    rows = table(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    cls = classes(rows).withColumn("g", F.concat_ws("/", F.size("v").cast("string"), "label"))
-    sizes = {r.g: r.n for r in cls.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(1000).collect()}
-    budget = CELLS
-    centroids: dict[str, np.ndarray] = {}
-    for g, n in sizes.items():  # the largest 1000 labels get cells of their own; the rest have one cell a label
-        k = min(cells_for(n), budget)
-        if k < 2:
-            continue
-        got = cls.where(F.col("g") == g).select("v", F.xxhash64("v").alias("h"), "cls").orderBy("h", "cls").limit(min(SAMPLE, 40 * k)).select("v").collect()
-        centroids[g] = fit(unit(np.array([r.v for r in got])), k)
-        budget -= k
-    sent = spark.sparkContext.broadcast(centroids)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            g = np.array(b.column(1).to_pylist(), object)
-            for name in dict.fromkeys(g.tolist()):
-                at = np.flatnonzero(g == name)
-                ids, copies = np.asarray(b.column(0))[at], np.asarray(b.column(3))[at]
-                x = unit(np.array([b.column(2)[int(i)].as_py() for i in at]))
-                c = sent.value.get(name)
-                blobs = [r.tobytes() for r in x]
-                if c is None:
-                    out += [(int(i), name, 0, 0, int(n), v) for i, n, v in zip(ids, copies, blobs, strict=True)]
-                    continue
+            cells, homes = np.array(b.column(1).to_pylist(), object), b.column(2).to_pylist()
+            for name in dict.fromkeys(cells.tolist()):
+                at = np.flatnonzero(cells == name)
+                c = np.frombuffer(b.column(5)[int(at[0])].as_py()).reshape(b.column(6)[int(at[0])].as_py(), -1)
+                x = np.stack([np.frombuffer(b.column(4)[int(i)].as_py()) for i in at])
                 s = x @ c.T
-                home = s.argmax(axis=1)
+                best = s.argmax(axis=1)
                 apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-18))
-                margin = (s[np.arange(len(x)), home][:, None] - s) / apart[home]
-                for i, j in zip(*np.nonzero((margin <= reach) | (np.arange(len(c)) == home[:, None])), strict=True):
-                    out.append((int(ids[i]), name, int(j), int(home[i]), int(copies[i]), blobs[i]))
-            for a in range(0, len(out), 4096):
-                cols = list(zip(*out[a : a + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["cls", "g", "cell", "home", "n", "x"])
-
-    placed = arrow(cls.select("cls", "g", "v", "n"), "cls long, g string, cell int, home int, n long, x binary", assign)
-    placed = table(placed, "vector-cells")
-    counts = placed.groupBy("g", "cell").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    blocks = placed.join(counts, ["g", "cell"]).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    packed = blocks.groupBy("g", "cell", "i").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("cls", "home", "n", "x")).alias("rows"))
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row holds one pair of blocks. A pair of vectors counts in the cell that is the lesser of their homes."""
+                margin = (s[np.arange(len(x)), best][:, None] - s) / apart[best]
+                i, j = np.nonzero((margin <= reach) | (np.arange(len(c)) == best[:, None]))
+                take = pa.array(at[i])
+                # child names of one length, so that a parent's name order is its children's
+                cell = [f"{name}.{k:02d}" for k in j.tolist()]
+                home = [f"{name}.{best[r]:02d}" if homes[at[r]] == name else homes[at[r]] for r in i.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(cell, pa.string()), pa.array(home, pa.string()), b.column(3).take(take), b.column(4).take(take)], ["cls", "cell", "home", "n", "x"])
+
+    met = rows.join(centres, "cell").select("cls", "cell", "home", "n", "x", "centres", "k")
+    return arrow(met, PLACED, each)
+
+
+PLACED = "cls long, cell string, home string, n long, x binary"
+
+
+def placed(cls: DataFrame, reach: float) -> DataFrame:
+    """Every class in its cells (``PLACED``): labels are cells at first, and cells above FULL rows are split by k-means,
+    again and again, as long as a split makes them smaller (it cannot where most vectors are within the borders)."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.to_pylist():
-                got = _compare(t["cell"], t["a"], t["b"], least)
-                if got is not None:
-                    yield got
-
-    lhs = packed.select("g", "cell", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), "i", F.col("rows").alias("a"))
-    rhs = packed.select("g", "cell", F.col("i").alias("j"), F.col("rows").alias("b"))
-    pairs = lhs.join(rhs, ["g", "cell", "j"]).select("cell", "a", F.when(F.col("i") != F.col("j"), F.col("b")).alias("b"))
-    found = table(arrow(pairs.repartition(parts(spark)), "cls long, links long, root long", compare), "vector-links")
+            blobs = [unit(np.array(v.as_py())[None])[0].tobytes() for v in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(1), b.column(3), pa.array(blobs, pa.binary())], ["cls", "cell", "home", "n", "x"])
+
+    rows = table(arrow(cls.select("cls", "g", "v", "n"), PLACED, start), "vector-cells")
+    done, depth, parents = [], 0, None
+    while True:
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("m"))
+        if parents is not None:  # a child nearly as large as its parent stays whole
+            sizes = sizes.withColumn("up", F.expr("substring(cell, 1, length(cell) - 3)")).join(parents, "up", "left").withColumn("stay", F.col("m") > 0.8 * F.col("was")).drop("up", "was")
+        else:
+            sizes = sizes.withColumn("stay", F.lit(False))
+        sizes = table(sizes, "vector-sizes")
+        full = sizes.where(f"m > {FULL} and not coalesce(stay, false)").select("cell", "m")
+        if not full.limit(1).count():
+            return rows if not done else _union([*done, rows])
+        done.append(rows.join(full, "cell", "left_anti").select("cls", "cell", "home", "n", "x"))
+        big = rows.join(full, "cell").withColumn("h", F.xxhash64("x", F.lit(depth)))
+        least = full.select("cell", (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("m"))).alias("most"))
+        centres = cut(centroids(big, least))
+        # hot cells are split by the join; their rows are dealt anew afterwards
+        rows = table(split(rows.join(full.select("cell"), "cell", "left_semi"), centres, reach), f"vector-cells{depth}")
+        parents, depth = full.select(F.col("cell").alias("up"), F.col("m").alias("was")), depth + 1
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST) -> DataFrame:
+    """``id, n_links, component_id, kept`` for each row; exact for every pair of equal, non-null labels.
+
+    Labels are cells; cells above FULL vectors are split by k-means, fitted on a bounded sample of each (about SAMPLE
+    rows with small hashes); all vectors are indexed. A vector of one cell is also entered in a cell whose border is
+    within r, the chord of the threshold: whatever is linked to it there is no farther, so the two meet. A cell is one
+    task's work, by matrix products in blocks; only a cell that no split makes smaller is dealt in pairs of blocks. What
+    leaves a task is link counts and a spanning forest, never the pairs. Vectors that are null, zero, or hold null or
+    non-finite components, and rows with a null label, have no links. Vectors of different length don't link. Repeated
+    ids are separate rows. n_links counts other rows. kept: the id is its component's least. An empty table gives an
+    empty result; other columns are not read.
+    """
+    rows = table(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    cls = classes(rows).withColumn("g", F.concat_ws("/", F.size("v").cast("string"), F.length("label").cast("string"), "label"))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
+    cells = placed(cls, reach)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("m"))
+    blocks = cells.join(sizes, "cell").withColumn("b", F.ceil(F.col("m") / FULL).cast("int")).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("b")).cast("int"))
+    one = blocks.where("b = 1").select("cell", "cls", "home", "n", "x", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "i")
+    j = blocks.where("b > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    more = j.select("cell", "cls", "home", "n", "x", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
+
+    def compare(t: pa.Table) -> pa.Table:
+        """One cell, or one pair of a cell's blocks. A pair of vectors counts in the cell that is the lesser of their homes."""
+        return _compare(t.column("cell")[0].as_py(), t, least)
+
+    found = table(one.unionByName(more).groupBy("cell", "lo", "hi").applyInArrow(compare, "cls long, links long, root long"), "vector-links")
     tree = components(found.where("root <> cls").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    known = cls.join(links, "cls", "left").join(tree, cls.cls == tree.node, "left").select("cls", "label", "v", "low", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
+    known = cls.select("cls", "low", "n").join(links, "cls", "left").join(tree, F.col("cls") == tree.node, "left").select("cls", "low", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
     best = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = known.join(best, "root").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
+    known = known.join(best, "root").select("cls", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id").join(cls.select("cls", F.col("label").alias("l"), F.col("v").alias("w")), "cls")
     got = _attach(rows, known)
     n = F.coalesce("n_links", F.lit(0))
     comp = F.coalesce("component_id", "id")
@@ -141,42 +178,52 @@ def _attach(rows: DataFrame, known: DataFrame) -> DataFrame:
     return own.join(k, (own.label == k.l) & (own.h == k.hh) & (own.w == k.u), "left").select("id", "n_links", "component_id")
 
 
-def _compare(cell: int, left: list[dict], right: list[dict] | None, least: float) -> pa.RecordBatch | None:
-    same = right is None
-
-    def get(h: list[dict]) -> tuple:
-        return np.array([r["cls"] for r in h], np.int64), np.array([r["home"] for r in h]), np.array([r["n"] for r in h], np.int64), np.stack([np.frombuffer(r["x"]) for r in h])
-
-    (ia, ha, na, xa), (ib, hb, nb, xb) = a, b = get(left), get(left if same else right)
-    del a, b
-    s = xa @ xb.T
-    hit = s >= least
-    for i, j in np.argwhere(np.abs(s - least) < 1e-12):  # at the threshold the plain sum of products decides
-        hit[i, j] = float((xa[i] * xb[j]).sum()) >= least
-    hit &= np.minimum(ha[:, None], hb[None, :]) == cell
-    if same:
-        np.fill_diagonal(hit, False)
-        ids, links, full = ia, hit @ na, hit
-    else:
-        ids, links = np.concatenate((ia, ib)), np.concatenate((hit @ nb, na @ hit))
-        full = np.block([[np.zeros((len(ia), len(ia)), bool), hit], [hit.T, np.zeros((len(ib), len(ib)), bool)]])
-    linked = np.flatnonzero(links > 0)
-    if not len(linked):
-        return None
-    root, left_over = ids.copy(), set(linked.tolist())
-    while left_over:  # breadth first, on rows of the link matrix
-        start = min(left_over)
-        reached = np.zeros(len(ids), bool)
-        new = reached.copy()
-        new[start] = True
-        while new.any():
-            reached |= new
-            new = full[new].any(axis=0) & ~reached
-        members = np.flatnonzero(reached)
-        root[members] = ids[members].min()
-        left_over -= set(members.tolist())
-    return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(links[linked].astype(np.int64)), pa.array(root[linked])], ["cls", "links", "root"])
+def _compare(cell: str, t: pa.Table, least: float, step: int = 512) -> pa.Table:
+    """``cls, links, root`` of those linked. Rows of blocks lo and hi (both ends of ``t``'s pair): pairs across, or all
+    where the blocks are one. Vectors are taken ``step`` at a time against all, and their links then forgotten."""
+    t = t.sort_by("cls")
+    ids, home, n, i = (t.column(c).to_numpy() for c in ("cls", "home", "n", "i"))
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    x = np.frombuffer(b"".join(t.column("x").to_pylist())).reshape(len(ids), -1)
+    names, code = np.unique(home.astype(str), return_inverse=True)
+    here = np.searchsorted(names, cell)
+    own = here < len(names) and names[here] == cell
+    links, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    left = np.flatnonzero(i == lo)
+    right = left if lo == hi else np.flatnonzero(i == hi)
+    for at in range(0, len(left) if own else 0, step):
+        some = left[at : at + step]
+        s = x[some] @ x[right].T
+        hit = s >= least
+        for p, q in np.argwhere(np.abs(s - least) < 1e-12):  # at the threshold the plain sum of products decides
+            hit[p, q] = float((x[some[p]] * x[right[q]]).sum()) >= least
+        hit &= np.minimum(code[some][:, None], code[right][None, :]) == here
+        p, q = np.nonzero(hit)
+        p, q = some[p], right[q]
+        p, q = p[p != q], q[p != q]
+        np.add.at(links, p, n[q])
+        if lo != hi:
+            np.add.at(links, q, n[p])
+        low = _joined(low, p, q)
+    on = links > 0
+    return pa.table({"cls": pa.array(ids[on]), "links": pa.array(links[on]), "root": pa.array(ids[low][on])})
+
+
+def _joined(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each reaches, by links ``a, b`` beside those that gave ``low``; by pointer jumping."""
+    own = np.arange(len(low))
+    a, b = np.concatenate((a, own)), np.concatenate((b, low))
+    while True:
+        was, m = low, np.minimum(low[a], low[b])
+        low = low.copy()
+        for side in (a, b):
+            np.minimum.at(low, was[side], m)
+            np.minimum.at(low, side, m)
+        low = low[low]
+        if (low == was).all():
+            return low
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings``; what ``near_duplicates`` says of nulls holds."""
     return near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
