@@ -21,4 +21,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Base32 of a SHA-1: five hexadecimal digits are four of base 32 (RFC 4648).
+_SHA1 = "upper(sha1(coalesce(html, '')))"
+_HEX = f"list_reduce([CAST(strpos('0123456789ABCDEF', d) - 1 AS BIGINT) FOR d IN string_split(substr({_SHA1}, CAST(1 + 5 * g AS BIGINT), 5), '')], lambda a, b: a * 16 + b)"
+_BASE32 = f"array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ({_HEX} // p) % 32 AS BIGINT), 1) FOR p IN [32768, 1024, 32, 1]], '') FOR g IN range(8)], '')"
+_CLEAN = "label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p""",
+    "op9_embeddings": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE {_CLEAN}),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, low.component_id, e.vec_id = low.component_id AS kept
+FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+}
