@@ -257,6 +257,23 @@ def test_html_template_without_names(spark):
         assert r.text == f"{prose(4, i)} {prose(40, i + 50)} {prose(30, i + 90)}"
 
 
+def test_index_reads_only_its_range(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    rows = [(i, f"http://h{i % 7}.org/{i // 14}", f"page {i}") for i in range(150)]
+    root = scratch(spark, "test-warc-range")
+    caps = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), root).cache()
+    n = warc.write_index(caps, root).count()
+    keys = sorted((r.surt, r.page_id) for r in caps.collect())
+    for low, high in ((keys[70], keys[75]), (keys[0], keys[0]), (keys[-1], keys[-1])):
+        index = warc.Index(root, low, high)
+        assert len(index.first) < n / 2
+        for key in keys[keys.index(low) : keys.index(high) + 1]:
+            got = [warc.parse_record(zlib.decompress(index.range(*at), 31))["page_id"] for at in index.captures(key)]
+            assert got == [key[1]]
+        index.close()
+    assert warc.look_up(caps.selectExpr("surt", "page_id id"), root).count() == 150
+
+
 def test_warc(spark):
     rows = [(1, "http://a.b/c", "x"), (1, "http://a.b/c", "x"), (2, None, "x"), (None, "u r\nl", "y"), (None, None, "y"), (3, "https://Z.com:443?q=é", None), (4, "", ""), (5, "http://q", "zé")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -268,6 +285,8 @@ def test_warc(spark):
     assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest) for r in got) == sorted((i is None, i or 0, len((h or "").encode()), sha(h or "")) for i, _, h in rows)
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == sorted([("1", "response", "None"), ("1", "revisit", "1"), ("2", "revisit", "1"), ("None", "response", "None"), ("None", "revisit", "None"), ("3", "response", "None"), ("4", "revisit", "3"), ("5", "response", "None")])
     assert warc.surt("http://User@WWW.Ex.org:80/P?q=1#f") == "org,ex,www)/P?q=1"
+    missing = spark.createDataFrame([("no,such)/", 1), (None, 1), ("", 9)], "surt string, id long")
+    assert warc.look_up(missing, root).count() == 0
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     root = scratch(spark, "test-warc-empty")
     caps = warc.write_archives(empty, root)

@@ -165,13 +165,15 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     return table(arrow(ready, CAPTURES, each), "captures")
 
 
-DIRECTORY = "surt string, id long, file string, offset long, length long"
+DIRECTORY = "surt string, id long, last string, file string, offset long, length long"
 
 
 def write_index(captures: DataFrame, root: str) -> DataFrame:
     """Sorts captures by (key, id) into compressed blocks of BLOCK_LINES lines under ``root``; returns the directory.
 
-    The directory has one row a block: its first key and where it is. Range partitions by key and id bound every task.
+    The directory has one row a block: its first key, its last one's host part, and where it is; its files are sorted, so
+    that a reader of a range of keys skips the others by their footers. Range partitions by key and id bound every task.
+    Null urls have the empty key, null ids come first; equal captures stay. An empty table gives an empty directory.
     """
     c = captures.select("surt", F.coalesce("page_id", F.lit(NULL_ID)).alias("id"), "file", "offset", "length")
     ready = c.repartitionByRange(parts(captures.sparkSession), "surt", "id", "file", "offset").sortWithinPartitions("surt", "id", "file", "offset")
@@ -182,7 +184,7 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
         def flush() -> None:
             data = gz("\n".join("\t".join(map(str, x)) for x in lines).encode())
             name, at = out.write(data, ARCHIVE_BYTES)
-            found.append((lines[0][0], lines[0][1], name, at, len(data)))
+            found.append((lines[0][0], lines[0][1], lines[-1][0], name, at, len(data)))
             lines.clear()
 
         for b in batches:
@@ -194,7 +196,7 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
             flush()
         out.close()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["surt", "id", "file", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["surt", "id", "last", "file", "offset", "length"])
 
     at = f"{root}/directory"
     arrow(ready, DIRECTORY, each).sortWithinPartitions("surt", "id").write.parquet(at)
@@ -209,12 +211,10 @@ class Index:
         import pyarrow.dataset as ds
 
         self.fs, self.base = storage(root)
-        # only the directory's part for these keys, and the block before it, which may hold the first
+        # only the blocks that may hold these keys: files and row groups of others are skipped by their statistics
         rows = ds.dataset(f"{self.base}/directory", filesystem=self.fs, format="parquet", exclude_invalid_files=False)
-        own = rows.to_table(filter=pc.field("surt") <= high[0])
+        own = rows.to_table(filter=(pc.field("surt") <= high[0]) & (pc.field("last") >= low[0]))
         self.first = sorted(zip(*(own.column(c).to_pylist() for c in ("surt", "id", "file", "offset", "length")), strict=True))
-        lo = max(0, bisect.bisect_left(self.first, low) - 1)
-        self.first = self.first[lo:]
         self.keys = [x[:2] for x in self.first]
         self.files: dict = {}
         self.block: tuple[int, list, list] = (-1, [], [])
@@ -245,11 +245,14 @@ class Index:
 
 
 def look_up(keys: DataFrame, root: str, with_payload: bool = False) -> DataFrame:
-    """The records of all captures of ``keys(surt, id)`` (distinct), read back from the archives through the index.
+    """The records of all captures of ``keys(surt, id)``, read back from the archives through the index.
+
+    Each distinct key is looked up once; a null id finds the captures without an id, a null key finds none; keys that the
+    index lacks give no row, and an empty table none.
 
     Keys are dealt by ranges, so a task searches one part of the directory, and neighbouring keys share a block.
     """
-    ready = keys.select("surt", F.coalesce("id", F.lit(NULL_ID)).alias("id")).distinct()
+    ready = keys.where("surt is not null").select("surt", F.coalesce("id", F.lit(NULL_ID)).alias("id")).distinct()
     ready = ready.repartitionByRange(parts(keys.sparkSession), "surt", "id").sortWithinPartitions("surt", "id")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -276,6 +279,8 @@ def look_up(keys: DataFrame, root: str, with_payload: bool = False) -> DataFrame
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every row of ``pages``, as read back from the
+    archives through the index; nulls, repeats and empty tables as in ``write_archives`` and ``look_up``."""
     root = scratch(spark, "warc")
     captures = write_archives(read(spark, sf_dir, "pages"), root)
     write_index(captures, root)
