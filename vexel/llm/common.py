@@ -126,7 +126,7 @@ def running_total(df: DataFrame, order: list, value: str, out: str, label: str)
     return got.join(F.broadcast(start), "__part").withColumn(out, F.col("__before") + F.col("__in")).drop("__part", "__before", "__in")
 
 
-def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of ``edges(a, b)`` (any orientation, repeats allowed): ``node, root``, root the least node.
 
     Alternating large-star and small-star steps. Minima are partial aggregates, neighbours meet them in a sort-merge
@@ -141,7 +141,7 @@ def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFra
 
     e = fixed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     was = None
-    for _ in range(rounds):
+    while True:  # stars grow until nothing changes, in about log(size)^2 steps at most
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = minima(both).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(e.join(low, "a").select("a", F.col("m").alias("b")))
@@ -151,9 +151,8 @@ def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFra
         e = fixed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == was:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         was = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
