@@ -170,6 +170,20 @@ def test_secrets(spark, none):
     assert secrets.scan(none, model).count() == 0
 
 
+def test_markov_models_tell_random_strings(spark):
+    """Precision and recall on strings that no base pattern finds; words of the corpus are unseen in training."""
+    words = sorted({w for i in range(400) for w in prose(40, 7000 + i).encode("ascii", "ignore").decode().split() if len(w) > 2})
+    r = np.random.default_rng(12)
+    name = lambda: "_".join(r.choice(words, 3))
+    model = secrets.train(spark.createDataFrame([(i, prose(150, 3000 + i), "en", "s") for i in range(400)], SCHEMA))
+    ordinary = [name() for _ in range(2000)] + [name().upper() for _ in range(300)]
+    assert (model.scores(ordinary) > model.margin).mean() < 0.01
+    alnum = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for k, letters, least in ((8, alnum, 0.95), (16, alnum, 0.99), (16, alnum[:26], 0.9), (20, alnum[26:52], 0.9)):
+        made = ["".join(r.choice(letters, k)) for _ in range(500)]
+        assert (model.scores(made) > model.margin).mean() >= least
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(DOCS)

@@ -23,8 +23,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # greedy runs: the same spans as the runs [0-9a-f]+ of 32 or more
 HINT = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 KINDS = ("assign", "access", "hex", "markov")
-#: A candidate for the Markov test: a run of identifier characters with a digit or with both cases inside.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A candidate for the Markov test: a run of so many identifier characters; the likelihoods alone decide.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: Words of the corpus that are labelled ordinary: letters as words have them, or digits, joined by signs. Others, which
+#: mix them, have no label.
+ORDINARY = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|[0-9]+))*[+/_=-]*")
+#: Nats by which a string must be likelier as a random one.
+MARGIN = 10.0
+#: A process remembers the verdicts on so many distinct candidates.
+REMEMBERED = 300_000
 #: Letters by case, digits, the rest; 65 symbols and one for the ends.
 SYMBOLS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")}
 S = len(SYMBOLS) + 1
@@ -43,48 +50,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _pairs(s: str) -> np.ndarray:
-    x = np.fromiter((SYMBOLS.get(c, 0) for c in s), np.int64, len(s))
-    x = np.concatenate(([0], x, [0]))
-    return x[:-1] * S + x[1:]
+_CODE = np.zeros(256, np.int64)
+for _c, _i in SYMBOLS.items():
+    _CODE[ord(_c)] = _i
 
 
-def _fit(strings: list[str], prior: float = 0.2) -> np.ndarray:
-    n = np.full(S * S, prior)
-    for s in strings:
-        np.add.at(n, _pairs(s), 1)
-    n = n.reshape(S, S)
+def _pairs(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pairs of adjacent characters, the ends too, of all strings, and where each string's begin."""
+    x = _CODE[np.frombuffer(("\0" + "\0".join(strings) + "\0").encode("latin-1", "replace"), np.uint8)]
+    n = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
+    return x[:-1] * S + x[1:], np.cumsum(n) - n
+
+
+def pair_counts(strings: list[str]) -> np.ndarray:
+    return np.bincount(_pairs(strings)[0], minlength=S * S) if strings else np.zeros(S * S, np.int64)
+
+
+def _fit(n: np.ndarray, prior: float = 0.2) -> np.ndarray:
+    n = n.reshape(S, S) + prior
     return np.log(n / n.sum(axis=1, keepdims=True)).ravel()
 
 
 class Model:
-    """Log-likelihood ratio, in nats, of a string under the random model against the ordinary one."""
+    """Log-likelihood ratio, in nats, of a string under the random model against the ordinary one.
+
+    Made from the counts of adjacent characters in both kinds of labelled strings.
+    """
 
-    def __init__(self, random_strings: list[str], ordinary: list[str], margin: float = 8.0):
-        self.ratio = _fit(random_strings) - _fit(ordinary)
+    def __init__(self, random_pairs: np.ndarray, ordinary_pairs: np.ndarray, margin: float = MARGIN):
+        self.ratio = _fit(random_pairs) - _fit(ordinary_pairs)
         self.margin = margin
+        self.known: dict[str, bool] = {}
 
-    def score(self, s: str) -> float:
-        return float(self.ratio[_pairs(s)].sum())
+    def scores(self, strings: list[str]) -> np.ndarray:
+        if not strings:
+            return np.zeros(0)
+        pairs, at = _pairs(strings)
+        return np.add.reduceat(self.ratio[pairs], at)
+
+    def learn(self, strings: set[str]) -> None:
+        """Remembers the verdicts on these."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [s for s in strings if s not in self.known]
+        self.known.update(zip(new, (self.scores(new) > self.margin).tolist(), strict=True))
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """Candidates above the margin: long runs holding digits, or both cases past the first letter."""
-        out = []
-        for m in CANDIDATE.finditer(text):
-            s = m.group()
-            if not (any(c.isdigit() for c in s) or any("A" <= c <= "Z" for c in s[1:]) and not s.isupper()):
-                continue
-            if self.score(s) > self.margin:
-                out.append((m.start(), 3, m.end()))
-        return out
+        """Candidates above the margin."""
+        found = [(m.start(), m.end(), m.group()) for m in CANDIDATE.finditer(text)]
+        self.learn({s for _, _, s in found})
+        return [(a, 3, b) for a, b, s in found if self.known[s]]
 
 
 def random_strings(n: int = 4000, seed: int = 7) -> list[str]:
-    """Labelled random strings: the alphabets that keys come in, lengths 20 to 64, from a fixed generator."""
+    """Labelled random strings: the alphabets that keys come in, lengths 8 to 64, from a fixed generator."""
     r = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    kinds = [low + up + dig, low + up + dig + "+/", low + up + dig + "_-", low + dig, up + dig, "0123456789abcdef"]
-    return ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(20, 64))) for i in range(n)]
+    kinds = [low + up + dig, low + up + dig + "+/", low + up + dig + "_-", low + dig, up + dig, "0123456789abcdef", low, up]
+    return ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(8, 64))) for i in range(n)]
 
 
 def identifiers() -> list[str]:
@@ -98,28 +121,48 @@ def identifiers() -> list[str]:
     return names + joined + dates
 
 
-def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS, margin: float = 8.0) -> Model:
-    """Fit on at most ``rows`` documents (those with the least hashes; the documented bound) plus built-in samples.
+def train(docs: DataFrame, text_col: str = "text", rows: int = TRAIN_ROWS, margin: float = MARGIN) -> Model:
+    """Fit on the whole texts of at most about ``rows`` documents (those with the least hashes of their texts, one of each
+    text; the documented bound) and on the built-in samples.
 
-    Base matches there are labelled random; all other words are labelled ordinary, and hyphen-joined as identifiers are.
+    The secret parts of base matches there are labelled random; other words are labelled ordinary (see ORDINARY), single,
+    joined in threes as identifiers are, and some of them in capitals. Tasks count pairs of adjacent characters; two 66 x 66 matrices a task reach the driver.
+    Null and empty texts add nothing; without any document the built-in samples stand alone.
     """
-    d = docs.select(F.col(text_col).alias("t")).where("t is not null")
-    # about twice the rows asked for pass the hash, so that tasks send little; the limit is the bound
+    d = docs.select(F.col(text_col).alias("t")).where("t is not null").withColumn("h", F.xxhash64("t"))
+    # about twice the rows asked for pass the hash, so that tasks send little; the least of them are the bound
     share = min(1.0, 2.0 * rows / max(1, d.count()))
-    few = d.where(F.shiftrightunsigned(F.xxhash64("t"), 11) < int(share * (1 << 53)))
-    got = few.select(F.substring("t", 1, 4000).alias("t"), F.xxhash64("t").alias("h")).orderBy("h", "t").limit(rows).collect()
-    rand, plain = random_strings(), identifiers()
-    for r in got:
-        spans = base_spans(r.t)
-        rand += [r.t[a:b].rsplit("=", 1)[-1].strip("\"' :") for a, k, b in spans if k == 2]
-        rest, at = [], 0
-        for a, _, b in spans:
-            rest.append(r.t[at:a])
-            at = max(at, b)
-        rest.append(r.t[at:])
-        words = [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", " ".join(rest)) if len(w) < 20]
-        plain += words + ["_".join(words[i : i + 3]) for i in range(0, len(words), 3)]
-    return Model(rand, plain, margin)
+    few = d.where(F.shiftrightunsigned("h", 11) < int(share * (1 << 53)))
+    least = [r.h for r in few.select("h").distinct().orderBy("h").limit(rows).collect()]
+    chosen = few.where(F.col("h") <= F.lit(least[-1])) if least else few.limit(0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, S * S), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                rand, plain = labelled(t.as_py())
+                n[0] += pair_counts(rand)
+                n[1] += pair_counts(plain)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n.tolist(), pa.list_(pa.int64()))], ["kind", "n"])
+
+    total = np.stack([pair_counts(random_strings()), pair_counts(identifiers())])
+    for r in arrow(chosen.dropDuplicates(["h"]).select("t"), "kind int, n array<long>", each).toLocalIterator():
+        total[r.kind] += np.array(r.n)
+    return Model(total[0], total[1], margin)
+
+
+def labelled(text: str) -> tuple[list[str], list[str]]:
+    """Random and ordinary strings of a text, as the base patterns label them."""
+    rand, rest, at = [], [], 0
+    for a, k, b in base_spans(text):
+        own = text[a:b]
+        rand.append(ASSIGN.match(own)[2] if k == 0 else own)
+        rest.append(text[at:a])
+        at = max(at, b)
+    rest.append(text[at:])
+    words = [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", " ".join(rest)) if ORDINARY.fullmatch(w)]
+    joined = ["_".join(words[i : i + 3]) for i in range(0, len(words), 3)]
+    return rand, words + joined + [w.upper() for w in words[::4]]  # constants are written in capitals
 
 
 def merge(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -176,7 +219,10 @@ def redact(text: str | None, spans: list, mark: str = "[secret]") -> str | None:
 
 
 def redacted(docs: DataFrame, model: Model, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the secrets in ``text_col`` replaced by ``mark``; all columns and rows stay."""
+    """``docs`` with the secrets in ``text_col`` replaced by ``mark``; all columns and rows stay, whatever their names.
+
+    Null and empty texts stay as they are; rows are independent, so repeats are treated alike; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +240,8 @@ def redacted(docs: DataFrame, model: Model, text_col: str = "text", mark: str =
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` (and n_markov) for every row of ``documents``; null and
+    empty texts have no spans, and the digest of the empty string."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs)
     found = scan(docs, model).drop("text")
