@@ -131,6 +131,45 @@ def test_quality_rejects_outliers(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in got)
 
 
+def exact_mcd(x):
+    """By sorted distances instead of bins, from the same starts."""
+    scale, scale_w, n = quality.consistency(quality.P, quality.SHARE), quality.consistency(quality.P, 0.975), len(x)
+    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    of = lambda y, f: (y.mean(axis=0), np.cov(y.T, bias=True) * f + quality.FLOOR)
+    q = np.quantile(x, (0.25, 0.5, 0.75), axis=0)
+    ends = []
+    for m, c in ((q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + quality.FLOOR), of(x, 1.0)):
+        for _ in range(100):
+            m, c = of(x[np.argsort(dist(m, c))[: int(np.ceil(quality.SHARE * n))]], scale)
+        ends.append((np.linalg.slogdet(c)[1], m, c))
+    _, m, c = min(ends, key=lambda e: e[0])
+    return dist(*of(x[dist(m, c) <= quality.chi2_cut(quality.P, 0.025)], scale_w))
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_verdict_equals_exact_estimate(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "MODEL_ROWS", few)
+    r = np.random.default_rng(5)
+    rows = []
+    for g, size in enumerate((220, 160)):
+        for i in range(size):
+            w = prose(int(r.integers(60, 300)), 9000 + 1000 * g + i).split()
+            w[:: 12 + g] = [x.capitalize() for x in w[:: 12 + g]]
+            if i % 20 == 0:
+                w = [x + "#" * (1 + i % 3) for x in w]
+            elif i % 20 == 1:
+                w = [x.upper() * 3 for x in w]
+            rows.append((1000 * g + i, " ".join(w), "en", f"s{g}"))
+    got = {x.doc_id: x for x in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    cut = quality.chi2_cut(quality.P, quality.TAIL)
+    for g in (0, 1):
+        own = [x for x in rows if x[3] == f"s{g}"]
+        d = exact_mcd(quality.statistics(*np.array([quality.counts(t) for _, t, _, _ in own], float).T))
+        mine = np.array([got[i].distance for i, _, _, _ in own])
+        assert [got[i].kept for i, _, _, _ in own] == (d <= cut).tolist()
+        assert np.abs(mine / d - 1).max() < 0.25 and 0 < (d > cut).sum() < 40
+
+
 def test_tokens(spark, docs, none):
     import sentencepiece
 

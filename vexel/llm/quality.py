@@ -27,7 +27,8 @@ SHARE, TAIL = 0.75, 1e-5
 BINS_PER_OCTAVE, OCTAVES = 8, 24
 #: Up to so many groups their estimates (about 60 numbers each) go to the tasks whole; above, they are joined.
 MODEL_ROWS = 20_000
-ROUNDS = 12
+#: A start is settled once a step lowers the logarithm of its determinant by no more than this.
+SETTLED = 1e-3
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int, int, int]:
@@ -65,7 +66,9 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 
 def measured(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """``docs``, without its text unless asked for, with the base counts and ``x``, the statistic vector."""
+    """``docs``, without its text unless asked for, with the base counts and ``x``, the statistic vector. Columns of
+    ``docs`` with one of these names, or named ``__text``, are dropped; null texts have no words."""
+    docs = docs.drop(*[c for c in (*BASE, "x", "__text") if c != text_col])
     keep = [c for c in docs.columns if with_text or c != text_col]
     at = len(keep)
     fields = ", ".join(f"{c} long" for c in BASE)
@@ -141,86 +144,131 @@ def with_model(rows: DataFrame, models: DataFrame) -> DataFrame:
     return rows.withColumn("__s", F.pmod(F.xxhash64("x"), F.lit(n)).cast("int")).join(salted, ["g", "__s"]).drop("__s")
 
 
-def mcd(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+class Sums:
+    """Moments by group, start and bin, within a task."""
+
+    def __init__(self):
+        self.total: dict[tuple, np.ndarray] = {}
+
+    def add(self, g: str, s: int, x: np.ndarray, model: np.ndarray) -> None:
+        bins = bins_of(x, model)[1] if len(model) else np.zeros(len(x), np.int64)
+        order = np.argsort(bins, kind="stable")
+        at = np.flatnonzero(np.diff(bins[order], prepend=-1))
+        for k, m in zip(bins[order][at].tolist(), np.add.reduceat(moments(x)[order], at, axis=0), strict=True):
+            self.total[g, s, k] = self.total[g, s, k] + m if (g, s, k) in self.total else m
+
+    def out(self) -> pa.RecordBatch:
+        g, s, k = zip(*self.total, strict=True)
+        m = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(list(self.total.values()))), M).cast(pa.list_(pa.float64()))
+        self.total = {}
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(s, pa.int32()), pa.array(k, pa.int32()), m], ["g", "s", "bin", "m"])
+
+
+def summed(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Moments of the ``x`` of ``rows(g, x)`` by group, start and bin of the distance under each of ``models(g, s, model)``.
+
+    One scan with a map-side combine. Few models (checked) go to the tasks as they are; many meet their rows in a join.
+    """
+    x_of = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(-1, P)
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for b in batches:
+            g, x = b.column(0).dictionary_encode(), x_of(b.column(1))
+            code = g.indices.to_numpy()
+            for i, name in enumerate(g.dictionary.to_pylist()):
+                for s, model in sent.value.get(name, ()):
+                    sums.add(name, s, x[code == i], model)
+            if len(sums.total) > 50_000:
+                yield sums.out()
+        if sums.total:
+            yield sums.out()
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for b in batches:
+            x = x_of(b.column(2))
+            key = np.array([f"{s} {g}" for g, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], object)
+            for k in dict.fromkeys(key.tolist()):
+                at = np.flatnonzero(key == k)
+                s, _, g = k.partition(" ")
+                sums.add(g, int(s), x[at], np.array(b.column(3)[int(at[0])].as_py()))
+            if len(sums.total) > 50_000:
+                yield sums.out()
+        if sums.total:
+            yield sums.out()
+
+    schema = "g string, s int, bin int, m array<double>"
+    if models.count() <= MODEL_ROWS:
+        known: dict[str, list] = {}
+        for r in models.collect():
+            known.setdefault(r.g, []).append((r.s, np.array(r.model)))
+        sent = rows.sparkSession.sparkContext.broadcast(known)
+        got = arrow(rows.select("g", "x"), schema, few)
+    else:
+        got = arrow(with_model(rows.select("g", "x"), models).select("g", "s", "x", "model"), schema, many)
+    return got.groupBy("g", "s", "bin").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(M)]).alias("m"))
+
+
+STATE = "g string, s int, model array<double>"
+
+
+def step(share: float, factor: float):
+    """A group's and start's model from its moments by bin: the nearest rows, as far as the bin that reaches ``share``."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        m = np.stack(pdf.m.to_numpy())
+        c = m[:, 0].cumsum()
+        upto = int(np.searchsorted(c, share * c[-1] - 1e-9)) + 1
+        return pd.DataFrame({"g": [pdf.g.iloc[0]], "s": [pdf.s.iloc[0]], "model": [packed(*estimate(m[:upto].sum(axis=0), factor))]})
+
+    return each
+
+
+def medians(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A group's first start: medians of the coordinates, scales from their quartiles."""
+    q = np.zeros((3, P))
+    for j in range(P):
+        own = pdf[pdf.j == j].sort_values("v")
+        c = own.n.cumsum().to_numpy()
+        for k, share in enumerate((0.25, 0.5, 0.75)):
+            q[k, j] = own.v.to_numpy()[np.searchsorted(c, share * c[-1])]
+    return pd.DataFrame({"g": [pdf.g.iloc[0]], "s": [0], "model": [packed(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + FLOOR)]})
+
+
+def mcd(rows: DataFrame) -> DataFrame:
     """``g, model``: by group, mean, inverse covariance and log determinant of the MCD estimate of all rows' ``x``.
 
     Two starts (the coordinates' medians with scales from their quartiles, and all rows' moments) are concentrated
     together. A concentration step takes rows by distance, as far as the bin (of width 2^(1/8)) in which the share is
     reached, and re-estimates; moments are summed by group, start and bin, so a step is one scan with a map-side combine
-    and gathers at most bins x starts rows a group, however many rows it has. The start with the least determinant wins,
+    and gathers at most bins x starts rows a group, however many rows it has. A start goes on as long as a step lowers
+    its determinant by more than SETTLED (so it ends), then leaves the scan. The start with the least determinant wins,
     and is reweighted by all rows below the 0.975 quantile. Results don't depend on the order or the partitioning
     beyond the rounding of sums.
     """
     scale, scale_w = consistency(P, SHARE), consistency(P, 0.975)
-
-    def medians(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = np.zeros((3, P))
-        for j in range(P):
-            own = pdf[pdf.j == j].sort_values("v")
-            c = own.n.cumsum().to_numpy()
-            for k, share in enumerate((0.25, 0.5, 0.75)):
-                q[k, j] = own.v.to_numpy()[np.searchsorted(c, share * c[-1])]
-        first = packed(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + FLOOR)
-        return pd.DataFrame({"g": [pdf.g.iloc[0]], "s": [0], "model": [first], "done": [False]})
-
     grid = F.posexplode(F.transform("x", lambda v: F.round(v * 50) / 50))
     quant = rows.select("g", grid.alias("j", "v")).groupBy("g", "j", "v").agg(F.count("*").alias("n"))
-    state = "g string, s int, model array<double>, done boolean"
-    first = quant.groupBy("g").applyInPandas(medians, state)
-
-    def summed(models: DataFrame) -> DataFrame:
-        """Moments of ``x`` by group, start and bin of the distance under each model."""
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[tuple, np.ndarray] = {}
-
-            def out() -> pa.RecordBatch:
-                keys = list(total)
-                return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["g", "s", "bin", "m"])
-
-            for b in batches:
-                pdf = b.to_pandas()
-                for (g, s), own in pdf.groupby(["g", "s"], sort=False):
-                    x = np.stack(own.x.to_numpy())
-                    model = own.model.iloc[0]
-                    bins = bins_of(x, model)[1] if len(model) else np.zeros(len(x), np.int64)
-                    m = moments(x)
-                    for k in np.unique(bins):
-                        got = m[bins == k].sum(axis=0)
-                        total[g, s, int(k)] = total[g, s, int(k)] + got if (g, s, int(k)) in total else got
-                if len(total) > 50_000:
-                    yield out()
-                    total.clear()
-            if total:
-                yield out()
-
-        got = arrow(with_model(rows.select("g", "x"), models).select("g", "s", "x", "model"), "g string, s int, bin int, m array<double>", each)
-        return got.groupBy("g", "s", "bin").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(M)]).alias("m"))
-
-    def step(share: float, factor: float):
-        def each(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("bin")
-            m = np.stack(pdf.m.to_numpy())
-            c = m[:, 0].cumsum()
-            upto = int(np.searchsorted(c, share * c[-1] - 1e-9)) + 1
-            model = packed(*estimate(m[:upto].sum(axis=0), factor))
-            return pd.DataFrame({"g": [pdf.g.iloc[0]], "s": [pdf.s.iloc[0]], "model": [model], "done": [False]})
-
-        return each
-
-    every = summed(rows.select("g").distinct().select("g", F.lit(1).alias("s"), F.array().cast("array<double>").alias("model")))
-    models = cut(first.union(every.groupBy("g", "s").applyInPandas(step(1.0, 1.0), state)))
-    was = None
-    for _ in range(rounds):
-        models = cut(summed(models).groupBy("g", "s").applyInPandas(step(SHARE, scale), state))
-        now = models.agg(F.sum(F.round(F.element_at("model", -1), 4)), F.count("*")).first()
-        if was is not None and now[1] == was[1] and abs((now[0] or 0) - (was[0] or 0)) < 1e-3:
-            break
-        was = now
-    best = models.groupBy("g").agg(F.min_by(F.struct("s", "model"), F.struct(F.element_at("model", -1), "s")).alias("b")).select("g", "b.s", "b.model")
+    first = quant.groupBy("g").applyInPandas(medians, STATE)
+    none = rows.select("g").distinct().select("g", F.lit(1).alias("s"), F.array().cast("array<double>").alias("model"))
+    every = summed(rows, cut(none)).groupBy("g", "s").applyInPandas(step(1.0, 1.0), STATE)
+    concentrated = lambda models: summed(rows, models).groupBy("g", "s").applyInPandas(step(SHARE, scale), STATE)
+    now, settled = cut(concentrated(cut(first.union(every)))), []
+    det = lambda c: F.element_at(c, -1)
+    while now.limit(1).count():
+        new = concentrated(now).select("g", "s", F.col("model").alias("new"))
+        both = cut(now.join(new, ["g", "s"]).withColumn("better", det("new") < det("model") - SETTLED))
+        settled.append(both.where("not better").select("g", "s", "model"))
+        now = both.where("better").select("g", "s", F.col("new").alias("model"))
+    models = now
+    for s in settled:
+        models = models.union(s)
+    best = models.groupBy("g").agg(F.min_by(F.struct("s", "model"), F.struct(det("model"), "s")).alias("b")).select("g", "b.s", "b.model")
     top = math.floor(math.log2(chi2_cut(P, 0.025)) * BINS_PER_OCTAVE) + 8 * BINS_PER_OCTAVE
-    near = summed(cut(best)).where(F.col("bin") <= top)
-    return cut(near.groupBy("g", "s").applyInPandas(step(1.0, scale_w), state).select("g", "model"))
+    near = summed(rows, cut(best)).where(F.col("bin") <= top)
+    return cut(near.groupBy("g", "s").applyInPandas(step(1.0, scale_w), STATE).select("g", "model"))
 
 
 def group_key(lang: str = "lang", source: str = "source"):
@@ -248,5 +296,7 @@ def judged(docs: DataFrame, text_col: str = "text", tail: float = TAIL, with_tex
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, the base counts, ``base_failed``, ``kept`` and the distance for every row of ``documents``; nulls, empty
+    texts, repeats and empty tables as in ``judged``."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
