@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,7 +125,9 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     keys = plan(limit)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     spread = fps.select("fp", F.explode(F.array([F.struct(F.lit(o).alias("o"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("k")) for o, (mask, _) in enumerate(keys)])).alias("e"))
-    counted = spread.select("e.o", "e.k", "fp").withColumn("n", F.count("*").over(Window.partitionBy("o", "k"))).where("n > 1")
+    spread = spread.select("e.o", "e.k", "fp")
+    met = spread.groupBy("o", "k").agg(F.count("*").alias("n")).where("n > 1")
+    counted = spread.join(met, ["o", "k"])  # a hot bucket is split by the join
     tests = {o: [(np.uint64(m), b) for m, b in t] for o, (_, t) in enumerate(keys)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +162,12 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
         if held:
             yield from solve(*cols_of(held))
 
-    few = arrow(counted.where(f"n <= {BLOCK}").select("o", "k", "fp"), "a long, b long", each)
+    n = parts(fps.sparkSession)
+    few = counted.where(f"n <= {BLOCK}").select("o", "k", "fp").repartition(n, "o", "k").sortWithinPartitions("o", "k")
+    few = arrow(few, "a long, b long", each)
     blocks = counted.where(f"n > {BLOCK}").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     pairs = blocks.select("o", "k", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "fp").select("o", "k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp")
-    pairs = pairs.repartition(parts(fps.sparkSession), "o", "k", "lo", "hi").sortWithinPartitions("o", "k", "lo", "hi")
+    pairs = pairs.repartition(n, "o", "k", "lo", "hi").sortWithinPartitions("o", "k", "lo", "hi")
     return few.union(arrow(pairs, "a long, b long", each)).distinct()
 
 
@@ -191,8 +195,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """``docs`` with one row of each group of near-duplicates: that with the least id (of null or equal ids, any one).
 
     ``least``: groups are then those of all pairs of texts with that similarity of their shingle sets, found exactly (see
-    ``overlap``) at any distance of the fingerprints, so that ``limit`` has no part in it.
+    ``overlap``) at any distance of the fingerprints, so that ``limit`` has no part in it. Null, empty and wordless texts
+    are equal to each other; an empty table stays empty. Columns named like the added ones (``__fp``, ``__row``,
+    ``__sig``, ``__n``, ``__p``, ``__odd``) are dropped, all others stay.
     """
+    docs = docs.drop(*[c for c in ("__fp", "__row", "__sig", "__n", "__p", "__odd") if c not in (id_col, text_col)])
     names = docs.columns
     if least:
         rows, classes = overlap.classes(docs, id_col, text_col, width, least)
@@ -217,5 +224,7 @@ def hex_bits(col: str):
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``documents``; nulls, repeats and empty tables as in
+    ``near_duplicates``."""
     got = near_duplicates(read(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), hex_bits("fp").alias("fingerprint"), "component_id")
