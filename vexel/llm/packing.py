@@ -204,5 +204,6 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every row of ``documents``, as ``pack`` has them for nulls, empty texts, ties and empty tables."""
     got = pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return got.withColumnRenamed("id", "doc_id")

@@ -143,6 +143,8 @@ def count_tokens(docs: DataFrame, cache: DigestCache, vocabulary: str, id_col: s
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``documents``; nulls, repeats and empty tables as in
+    ``count_tokens``. The cache is new each time."""
     cache = DigestCache(spark, scratch(spark, "token-cache"))
     got = count_tokens(read(spark, sf_dir, "documents"), cache, tokenizer_path("piece_bpe_32k.model"))
     return got.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
