@@ -25,7 +25,7 @@ def brute(rows, least=0.98):
 SCHEMA = "vec_id long, embedding array<float>, label int, component_id string, v int"
 
 
-@pytest.mark.parametrize(("cell", "full", "children"), [(40, 60, 3), (2000, 50, 64), (2000, 8192, 64)])
+@pytest.mark.parametrize(("cell", "full", "children"), [(40, 60, 3), (2000, 50, 64), (2000, 4096, 64)])
 def test_equals_brute_force_over_cells_and_blocks(spark, monkeypatch, cell, full, children):
     """Cells split several times, cells that no split makes smaller and whose blocks are compared, and whole labels."""
     for name, value in (("CELL", cell), ("FULL", full), ("CHILDREN", children)):

@@ -15,7 +15,7 @@ from vexel.llm.common import arrow, components, cut, read, table
 LEAST = 0.98
 #: Vectors a cell should hold, and vectors above which a cell is split again (or, where that is of no use, cut into
 #: blocks); children of a cell, and sample rows that fit them, at most.
-CELL, FULL, CHILDREN, SAMPLE = 2000, 8192, 64, 20_000
+CELL, FULL, CHILDREN, SAMPLE = 2000, 4096, 64, 20_000
 ROUNDS, SEED = 6, 3
 #: Slack for rounding in the border test; only adds comparisons.
 SLACK = 1e-6
