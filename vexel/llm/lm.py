@@ -26,6 +26,8 @@ HOT_CONTEXTS, HOT_ENTRIES, HOT_WORDS, SMALL = 4_000_000, 4_000_000, 1_000_000, 2
 HELD = 400_000
 #: In place of a back-off (never above 0).
 MARK = 1.0
+#: Sorted keys up to this number are searched in any order.
+CACHED = 500_000
 
 # Spark's xxhash64 of longs (XXH64), so that tasks and columns give equal keys.
 SEED = 42
@@ -132,7 +134,9 @@ def summed(df: DataFrame, names: list[str], of) -> DataFrame:
             for c, x in zip(names, cols, strict=True):
                 new[c] = np.concatenate((have[c], x))
             weight = np.concatenate((num, np.ones(len(cols[0]), np.int64)))
-            order = np.lexsort([new[c] for c in reversed(names)])
+            # any order that brings equal ones together will do: one hash sorts faster than several columns
+            whole = key(*(np.ascontiguousarray(new[c]).view(np.uint64) for c in names)) if len(names) == 2 else new[names[0]]
+            order = np.argsort(whole)
             new, weight = new[order], weight[order]
             first = np.concatenate(([True], np.any([new[c][1:] != new[c][:-1] for c in names], axis=0))) if len(new) else np.zeros(0, bool)
             have = new[first]
@@ -162,7 +166,10 @@ class Found:
         """Values, nan where there is none."""
         if not len(self.keys) or not len(asked):
             return np.full(len(asked), np.nan)
-        own, inv = np.unique(asked, return_inverse=True)
+        if len(self.keys) < CACHED:
+            i = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            return np.where(self.keys[i] == asked, self.values[i], np.nan).astype(np.float64)
+        own, inv = np.unique(asked, return_inverse=True)  # sorted, the search stays in the cache
         i = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
         return np.where(self.keys[i] == own, self.values[i], np.nan).astype(np.float64)[inv]
 
@@ -215,15 +222,15 @@ def grow(tokens: DataFrame, words: DataFrame) -> tuple[Tree, int]:
             break
         hot = None
         if n_cands <= HOT_CONTEXTS:
-            hot = spark.sparkContext.broadcast(np.sort(cands.select("h").toArrow()["h"].to_numpy().view(np.uint64)))
+            names = cands.select("h").toArrow()["h"].to_numpy().view(np.uint64)
+            hot = spark.sparkContext.broadcast(Found(names, np.zeros(len(names), np.float32)))
 
         def successors(column: pa.Array, k: int = k, hot=hot) -> list[np.ndarray]:
             sym, before, pos, _ = flat(column)
             h, there = next((h, ok) for j, h, ok in contexts(before, pos) if j == k)
             h, sym = h[there], sym[there]
             if hot is not None:  # else the join below drops those of no candidate
-                own, inv = np.unique(h, return_inverse=True)
-                ok = (hot.value[np.minimum(np.searchsorted(hot.value, own), len(hot.value) - 1)] == own)[inv]
+                ok = ~np.isnan(hot.value.get(h))
                 h, sym = h[ok], sym[ok]
             return [h, sym]
 
@@ -273,6 +280,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     tokens = tokenised(docs, id_col, text_col)
+    at_tokens = made(spark)[-1]
     words = table(summed(tokens.where("not held"), ["w"], lambda c: [flat(c)[0]]), "lm-words")
     tree, n_all = grow(tokens, words)
     floor = tree.floor
@@ -316,7 +324,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     asked.append((h, there & ((back == MARK) | beyond & np.isnan(back))))
             ends = np.append(at[1:], len(sym))
             lists = lambda pick, x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(pick.astype(np.int64), at)))).astype(np.int32)), pa.array(x[pick].view(np.int64)))
-            cols = [b.column(0), pa.array(ends - at), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(told, at)), pa.array(np.add.reduceat(more, at)), lists(~known, sym)]
+            cols = [b.column(0), b.column(2), b.column(3), pa.array(ends - at), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(told, at)), pa.array(np.add.reduceat(more, at)), lists(~known, sym)]
             if cold:
                 pick, own, what = (np.stack(x, axis=1).ravel() for x in (([m for _, m in asked]), ([h for h, _ in asked]), ([sym] * len(asked))))
                 first = at * len(asked)
@@ -324,13 +332,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 cols += [pa.ListArray.from_arrays(offsets, pa.array(x[pick].view(np.int64))) for x in (own, what)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["row", "n_tokens", "n_known", "base_score", "score", "rare", *["h", "w"] * cold]
-    schema = "row long, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", h array<long>, w array<long>" * cold
-    rows = table(arrow(tokens.select("row", "toks"), schema, each), "lm-rows")
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", *["h", "w"] * cold]
+    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", h array<long>, w array<long>" * cold
+    rows = table(arrow(tokens.select("row", "toks", "id", "held"), schema, each), "lm-rows")
+    discard(spark, at_tokens)  # nothing reads them any more
     asked = rows.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
     own = F.coalesce("n", F.lit(0))
     met = asked.join(words, "w", "left").groupBy("row").agg(F.sum(F.when(own > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((own + 0.5) / F.lit(floor))).alias("b"))
-    parts = ["row", "n_tokens", "n_known", "base_score", "score"]
+    parts = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     got = rows.select(*parts).join(met, "row", "left").withColumn("c", F.lit(0.0))
     if cold:
         pairs = rows.select("row", F.explode(F.arrays_zip("h", "w")).alias("x")).select("row", "x.h", "x.w")
@@ -338,7 +347,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         found = pairs.groupBy("row").agg(F.sum(F.coalesce("d", "back")).alias("c"))
         got = got.drop("c").join(found, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    got = tokens.select("row", "id", F.col("held").alias("held_out")).join(got, "row")
     return got.select("id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("b") + zero("c")).alias("score"))
 
 
