@@ -24,8 +24,10 @@ SUCCESSOR_GAIN, GAIN = 1.0, 12.0
 #: Tables up to these numbers of rows go to every task (8 to 16 bytes a row); the rest of a larger one is joined.
 HOT_CONTEXTS, HOT_ENTRIES, HOT_WORDS, SMALL = 4_000_000, 4_000_000, 1_000_000, 200_000
 HELD = 400_000
-#: In place of a back-off (never above 0).
-MARK = 1.0
+#: Added to a back-off (never above 0, nor below -9) where successors are missing in the tasks.
+MARK = -16.0
+#: Binary logarithm of the bits that sieve look-ups of successors missing in the tasks.
+SIEVE = 26
 #: Sorted keys up to this number are searched in any order.
 CACHED = 500_000
 
@@ -113,6 +115,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return sym, before, np.arange(len(sym)) - np.repeat(at, n), at
 
 
+def stacked(pick: list[np.ndarray], what: list[np.ndarray], at: np.ndarray) -> pa.Array:
+    """Lists, one a text, of the picked values of several arrays over the tokens; ``at``: where texts begin."""
+    width = len(pick)
+    pick, what = np.stack(pick, axis=1).ravel(), np.stack(what, axis=1).ravel()
+    n = np.add.reduceat(pick.astype(np.int64), at * width)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(what[pick].view(np.int64)))
+
+
 def summed(df: DataFrame, names: list[str], of) -> DataFrame:
     """Counts of what ``of(column)`` gives for each batch: arrays, one a name. Added up in the task as far as HELD * 4
     different ones, then by an aggregate."""
@@ -181,15 +191,34 @@ def _local(df: DataFrame, value: str) -> Found:
 
 
 def threshold(df: DataFrame, by: str, most: int, weight=None) -> int:
-    """The least power of two such that the rows with ``by`` at or above it weigh ``most`` together at most."""
-    level = F.floor(F.log2(F.col(by))).cast("int").alias("b")
-    t, total = 62, 0
+    """The least of a few numbers (four an octave) such that rows with ``by`` at or above it weigh ``most`` together at most."""
+    level = F.floor(4 * F.log2(F.col(by))).cast("int").alias("b")
+    t, total = 4 * 62, 0
     for r in sorted(df.groupBy(level).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n")).collect(), key=lambda r: -r.b):
         total += r.n
         if total > most:
             break
         t = r.b
-    return 1 << t
+    return math.ceil(2.0 ** (t / 4))
+
+
+def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys >> np.uint64(64 - SIEVE + 3), np.uint8(1) << ((keys >> np.uint64(64 - SIEVE)) & np.uint64(7)).astype(np.uint8)
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Bits, 2^SIEVE whatever the number of ``keys(k)``, that tell of most other keys that they are none of these."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(1 << SIEVE, bool)
+        for b in batches:
+            on[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << SIEVE - 3, np.uint8)
+    for r in arrow(keys.coalesce(16), "bits binary", each).toLocalIterator():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 class Tree:
@@ -290,22 +319,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     del got
     hot_contexts = hot_entries = Found(np.zeros(0, np.uint64), np.zeros(0))
     cold = beyond = False
+    bits = None
     if tree.contexts is not None:
         size = tree.entries.groupBy("h").agg(F.count("*").alias("m"))
         ready = table(tree.contexts.join(size, "h"), "lm-tree")
         t, least = threshold(ready, "n", HOT_ENTRIES, F.col("m")), threshold(ready, "n", HOT_CONTEXTS)
         t = max(t, least)
         # contexts whose successors are not all in the tasks are marked there; those with fewer than `least` not even that
-        hot_contexts = _local(ready.where(F.col("n") >= least).withColumn("v", F.when(F.col("n") >= t, F.col("back")).otherwise(MARK)), "v")
+        hot_contexts = _local(ready.where(F.col("n") >= least).withColumn("v", F.when(F.col("n") >= t, F.col("back")).otherwise(F.col("back") + MARK)), "v")
         hot = ready.where(F.col("n") >= t).select("h")
         hot_entries = _local(meet(tree.entries, hot, ["h"], len(hot_contexts.keys), "left_semi"), "d")
-        rare = ready.where(F.col("n") < t).select("h", "back")
-        cold, beyond = rare.limit(1).count() > 0, ready.where(F.col("n") < least).limit(1).count() > 0
-    sent = spark.sparkContext.broadcast((hot_words, hot_contexts, hot_entries))
+        rare, lost = ready.where(F.col("n") < t).select("h"), ready.where(F.col("n") < least).select("h", "back")
+        cold, beyond = rare.limit(1).count() > 0, lost.limit(1).count() > 0
+        if cold:
+            rest = table(tree.entries.join(rare, "h", "left_semi").join(ready.select("h", "back"), "h").select("k", (F.col("d") - F.col("back")).alias("more")), "lm-rest")
+            bits = sieve(rest.select("k"))
+    sent = spark.sparkContext.broadcast((hot_words, hot_contexts, hot_entries, bits))
     del hot_words, hot_contexts, hot_entries
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, contexts_, entries = sent.value
+        words, contexts_, entries, bits = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -314,26 +347,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             known = ~np.isnan(base)
             told = np.where(known, base, 0.0)
             more = told.copy()
-            asked = []
+            asked, unknown = [], []
             for _, h, there in contexts(before, pos):
                 back = contexts_.get(h)
-                i = np.flatnonzero(there & (back <= 0))
-                d = entries.get(key(h[i], sym[i]))
+                sparse = back < MARK / 2
+                back = np.where(sparse, back - MARK, back)
+                i = np.flatnonzero(there & ~np.isnan(back))
+                k = key(h[i], sym[i])
+                d = entries.get(k)
                 more[i] += np.where(np.isnan(d), back[i], d)
                 if cold:
-                    asked.append((h, there & ((back == MARK) | beyond & np.isnan(back))))
+                    at_, bit = slots(k)
+                    maybe = np.zeros(len(h), bool)
+                    maybe[i] = sparse[i] & ((bits[at_] & bit) > 0)
+                    full = np.zeros(len(h), np.uint64)
+                    full[i] = k
+                    asked.append((maybe, full))
+                if beyond:
+                    unknown.append((there & np.isnan(back), h))
             ends = np.append(at[1:], len(sym))
-            lists = lambda pick, x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(pick.astype(np.int64), at)))).astype(np.int32)), pa.array(x[pick].view(np.int64)))
-            cols = [b.column(0), b.column(2), b.column(3), pa.array(ends - at), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(told, at)), pa.array(np.add.reduceat(more, at)), lists(~known, sym)]
+            cols = [b.column(0), b.column(2), b.column(3), pa.array(ends - at), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(told, at)), pa.array(np.add.reduceat(more, at)), stacked([~known], [sym], at)]
             if cold:
-                pick, own, what = (np.stack(x, axis=1).ravel() for x in (([m for _, m in asked]), ([h for h, _ in asked]), ([sym] * len(asked))))
-                first = at * len(asked)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(pick.astype(np.int64), first)))).astype(np.int32))
-                cols += [pa.ListArray.from_arrays(offsets, pa.array(x[pick].view(np.int64))) for x in (own, what)]
+                cols.append(stacked([m for m, _ in asked], [k for _, k in asked], at))
+            if beyond:
+                cols += [stacked([m for m, _ in unknown], x, at) for x in ([h for _, h in unknown], [sym] * len(unknown))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", *["h", "w"] * cold]
-    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", h array<long>, w array<long>" * cold
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", *["ks"] * cold, *["h", "w"] * beyond]
+    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", ks array<long>" * cold + ", h array<long>, w array<long>" * beyond
     rows = table(arrow(tokens.select("row", "toks", "id", "held"), schema, each), "lm-rows")
     discard(spark, at_tokens)  # nothing reads them any more
     asked = rows.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
@@ -341,11 +382,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     met = asked.join(words, "w", "left").groupBy("row").agg(F.sum(F.when(own > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((own + 0.5) / F.lit(floor))).alias("b"))
     parts = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     got = rows.select(*parts).join(met, "row", "left").withColumn("c", F.lit(0.0))
+    found = []
     if cold:
-        pairs = rows.select("row", F.explode(F.arrays_zip("h", "w")).alias("x")).select("row", "x.h", "x.w")
-        pairs = pairs.join(rare, "h").join(tree.entries.select("h", "w", "d"), ["h", "w"], "left")
-        found = pairs.groupBy("row").agg(F.sum(F.coalesce("d", "back")).alias("c"))
-        got = got.drop("c").join(found, "row", "left")
+        found.append(rows.select("row", F.explode("ks").alias("k")).join(rest, "k").groupBy("row").agg(F.sum("more").alias("c")))
+    if beyond:  # contexts that not even their marks are in the tasks for
+        pairs = rows.select("row", F.explode(F.arrays_zip("h", "w")).alias("x")).select("row", "x.h", "x.w").join(lost, "h")
+        pairs = pairs.join(tree.entries.select("h", "w", "d"), ["h", "w"], "left")
+        found.append(pairs.groupBy("row").agg(F.sum(F.coalesce("d", "back")).alias("c")))
+    if found:
+        both = found[0] if len(found) == 1 else found[0].union(found[1]).groupBy("row").agg(F.sum("c").alias("c"))
+        got = got.drop("c").join(both, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return got.select("id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("b") + zero("c")).alias("score"))
 
