@@ -18,6 +18,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: Arrow batches handed to Python are kept below this, whatever the length of texts.
 BATCH_BYTES = 8 << 20
+#: Ids up to this number (some 16 bytes each in a hash table) may go to every task; more are met by a shuffled join.
+SENT = 2_000_000
 _shipped: set[str] = set()
 _made: list[tuple[str, str]] = []
 
@@ -88,6 +90,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def picked(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``on`` is (``left_semi``) or is not (``left_anti``) in ``ids(on)``, a written table.
+
+    Few ids go to every task, and the rows, with whole texts, stay where they are; more than SENT meet them in a shuffle.
+    """
+    few = ids.limit(SENT + 1).count() <= SENT
+    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), on, how)
+
+
 def arrow(df: DataFrame, schema: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(each, schema)

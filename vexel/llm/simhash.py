@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vexel.llm import overlap
-from vexel.llm.common import arrow, components, parts, read, table
+from vexel.llm.common import arrow, components, parts, picked, read, table
 
 BITS = 64
 SEED = 42
@@ -216,7 +216,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         slim = rows.select(F.col("__fp").alias("fp"), overlap.place(id_col))
         classes = slim.groupBy("fp").agg(F.min("at").alias("at")).join(rooted(slim, limit), "fp")
     chosen = classes.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("__row"))
-    return rows.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*names)
+    gone = table(rows.select("__row").join(chosen.hint("shuffle_hash"), "__row", "left_anti"), "near-copies")
+    return picked(rows, gone, "__row", "left_anti").select(*names)
 
 
 def hex_bits(col: str):
