@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -90,6 +91,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffles and checkpoints of plans that nobody holds any more.
+
+    It acts when the driver collects garbage, which a driver with little to do seldom does, so that files pile up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def picked(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """``rows`` whose ``on`` is (``left_semi``) or is not (``left_anti``) in ``ids(on)``, a written table.
 
