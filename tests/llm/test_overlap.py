@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from vexel.llm import overlap, simhash
+from vexel.llm import common, overlap, simhash
 
 rng = np.random.default_rng(11)
 VOCAB = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
@@ -90,3 +90,28 @@ def test_equal_fingerprints_of_different_texts(spark):
     assert far(rows[0][1], rows[1][1]) == 0 and jaccard(grams(rows[0][1]), grams(rows[1][1])) < 0.8
     got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), width=5, least=0.8)
     assert sorted(x.doc_id for x in got.collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_ids_met_by_broadcast_or_shuffle(spark, monkeypatch, how):
+    """Both ways give the same rows, with no ids too."""
+    rows = spark.createDataFrame([(i % 7, f"t{i}") for i in range(20)], "k long, t string")
+    for ids in ([1, 3, 9], []):
+        given = spark.createDataFrame([(i,) for i in ids], "k long")
+        want = sorted((i % 7, f"t{i}") for i in range(20) if (i % 7 in ids) == (how == "left_semi"))
+        for sent in (2_000_000, -1):
+            monkeypatch.setattr(common, "SENT", sent)
+            assert sorted(map(tuple, common.picked(rows, given, "k", how).collect())) == want
+
+
+def test_groups_stay_whole_across_batches():
+    """Groups that begin, end or go on at the bounds of batches, and empty batches."""
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4]
+    t = overlap.pa.table({"h": keys, "lo": [0] * 10, "hi": [0] * 10})
+    for size in (1, 2, 3, 10):
+        empty = t.slice(0, 0).combine_chunks().to_batches() or [t.to_batches()[0].slice(0, 0)]
+        got = []
+        for part, at in overlap._whole(iter([*empty, *t.to_batches(max_chunksize=size), *empty])):
+            got += [part.column("h").to_pylist()[a:b] for a, b in zip(at, at[1:], strict=False)]
+        assert got == [[1, 1], [2] * 5, [3], [4, 4]]
+    assert list(overlap._whole(iter([]))) == []
