@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from vexel.config import Config
 from vexel.functions import distance as dist
 from vexel.functions.embedding import HashingEmbedder, bucket, tokens
-from vexel.operators import ann, search
+from vexel.operators import ann, graph, search
 from vexel.operators import log as ops
+from vexel.operators.segments import SegmentIndex
 from vexel.sources.folders import new_folder
 from vexel.sources.snapshot import read_snapshot, write_snapshot
 from vexel.store import ingest, next_auto, with_auto_ids
@@ -228,6 +229,37 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     return search.recall(first(index.search(q, 2)), first(index.exact(q, 2)))
 
 
+def graph_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The layer up to which each vector reaches."""
+    return vectors(spark, d).select("id", graph.level(F.col("id"), Config()).alias("level"))
+
+
+def ann_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a neighbour graph with the default beam."""
+    index = graph.GraphIndex.build(vectors(spark, d), f"{new_folder(spark)}/graph")
+    return index.search(query_vectors(spark, d), K).select("qid", "rank", "id", _wide())
+
+
+def graph_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of each query its nearest other row by the graph and whether that is the true one, and the share of rows measured."""
+    rows, q = vectors(spark, d), query_vectors(spark, d)
+    index = graph.GraphIndex.build(rows, f"{new_folder(spark)}/graph")
+    first = lambda hits, name: hits.where("cast(qid as string) <> id").groupBy("qid").agg(F.min_by("id", "rank").alias(name))
+    both = first(search.knn_batch(rows, q, 2), "true_id").join(first(index.search(q, 2), "id"), "qid", "left")
+    share = F.col("measured") / F.lit(float(max(1, index.rows)))
+    return both.join(index.measured(q, 2), "qid").select("qid", "id", F.coalesce(F.col("id") == F.col("true_id"), F.lit(False)).alias("found"), share.alias("measured_share"))
+
+
+def graph_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The event log taken in by three batches, the later half of the events first; then a search of all query vectors."""
+    log = event_log(spark, d)
+    n = log.agg(F.max("seq")).first()[0]
+    index = SegmentIndex(spark, f"{new_folder(spark)}/segments", 64)
+    for batch in (log.where(F.col("seq") > n // 2), log.where(F.col("seq") <= n // 4), log.where((F.col("seq") > n // 4) & (F.col("seq") <= n // 2))):
+        index.apply(batch)
+    return index.search(query_vectors(spark, d), K).select("qid", "rank", "id", _wide())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distance_cosine": _pairwise("cosine"),
     "distance_dot": _pairwise("dot"),
@@ -261,6 +293,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_dedupe": stream_dedupe,
     "ann_ivf": ann_ivf,
     "ann_recall": ann_recall,
+    "graph_levels": graph_levels,
+    "ann_graph": ann_graph,
+    "graph_recall": graph_recall,
+    "graph_segments": graph_segments,
 }
 
 # SQL
@@ -323,6 +359,14 @@ SELECT qid, rank, id, distance FROM (
     SELECT q.vec_id AS qid, v.id, v.seq, CAST({_distance("cosine", "q.embedding", "v.vector")} AS DOUBLE) AS distance
     FROM ({_VECTORS}) v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= {K}"""
 
+_SEGMENTS = f"""
+SELECT qid, rank, id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, seq) AS rank FROM (
+    SELECT q.vec_id AS qid, v.id, v.seq, CAST({_distance("cosine", "q.embedding", "v.vector")} AS DOUBLE) AS distance
+    FROM ({_live_sql(_log_sql())}) v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= {K}"""
+
+_HEX13 = "list_reduce([CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT) FOR c IN string_split(substr(md5(CAST(vec_id AS VARCHAR) || ':-7046029254386353131'), 1, 13), '')], lambda a, b: a * 16 + b)"
+
 _SPLIT = r"string_split_regex(lower(text), '[\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+')"
 _WORDS = f"SELECT doc_id, unnest({_SPLIT}) AS word FROM documents"
 _HASH = "list_reduce([CAST(ord(c) AS BIGINT) FOR c IN string_split(word, '')], lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))"
@@ -369,6 +413,9 @@ ORACLE_SQL: dict[str, str] = {
     "snapshot_roundtrip": f"SELECT id, seq, CAST({_dot('vector', 'vector')} AS DOUBLE) AS norm2 FROM ({_live_sql(_log_sql())})",
     "ann_ivf": _BATCH,
     "ann_recall": "SELECT CAST(1 AS DOUBLE) AS recall, count(*) AS queries FROM embeddings WHERE vec_id % 20 = 0",
+    "graph_levels": f"SELECT CAST(vec_id AS VARCHAR) AS id, CAST(least(16, floor(-ln((CAST({_HEX13} AS DOUBLE) + 1) / 4503599627370496) / ln(16))) AS INTEGER) AS level FROM embeddings",
+    "ann_graph": _BATCH,
+    "graph_segments": _SEGMENTS,
     "stream_dedupe": "SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || event_type AS req_id FROM events",
     "stream_fold": f"SELECT id, seq FROM ({_live_sql(_log_sql())})",
 }
