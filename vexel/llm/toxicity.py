@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import arrow, picked, read, table
+from vexel.llm.common import arrow, read, table
 
 WORD = re.compile(r"\w+")
 #: A window has so many words; the next one begins so many words later.
@@ -195,8 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, rest: int = 2) -> Model:
     A document with labels of both kinds counts as toxic; null labels and texts teach nothing.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (remainder() != rest)).join(marks, "doc_id").where(F.octet_length("text") <= LONGEST)
-    sizes = table(known.select("doc_id", "toxic", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h")), "toxic-sizes")
+    # ids and sizes meet the labels; texts stay where they are
+    own = docs.where(F.col("text").isNotNull() & (remainder() != rest)).select("doc_id", F.octet_length("text").alias("bytes"))
+    known = own.where(F.col("bytes") <= LONGEST).join(marks, "doc_id")
+    sizes = table(known.select("doc_id", "toxic", "bytes", F.xxhash64("doc_id").alias("h")), "toxic-sizes")
     total = {r.toxic: r.n for r in sizes.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = None
     for c, n in sorted(total.items()):
@@ -209,10 +211,11 @@ def train(docs: DataFrame, labels: DataFrame, rest: int = 2) -> Model:
     for r in sorted(some.collect(), key=lambda r: (r.h, r.doc_id)):
         left[r.toxic] -= r.bytes
         if left[r.toxic] >= 0:
-            kept.append((r.doc_id,))
+            kept.append((r.doc_id, r.toxic))
     spark = docs.sparkSession
-    chosen = table(spark.createDataFrame(sorted(set(kept)) or [(None,)], "doc_id long"), "toxic-sample")
-    sample = picked(known, chosen, "doc_id").select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"))
+    chosen = spark.createDataFrame(sorted(set(kept)), "doc_id long, toxic int")  # at most the ROWS of both classes
+    texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).select("doc_id", "text")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((h, i, t, c) for b in batches for i, t, c, h in zip(*(x.to_pylist() for x in b.columns), strict=True))
