@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import threading
+import time
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +16,26 @@ from vexel.functions.distance import score
 from vexel.functions.embedding import Embedder
 from vexel.operators import log as ops
 from vexel.operators import search
-from vexel.sources.folders import shared_folder
+from vexel.sources.folders import new_folder, shared_folder
 from vexel.sources.snapshot import Collection, Lease, read_snapshot, write_snapshot
+from vexel.sources.tail import TAIL, Tail, adopt
 
 AUTO = re.compile(r"^auto-(\d+)$")
 #: Request ids whose results are remembered, oldest first out.
 REMEMBERED = 256
+#: Seconds between two writes of a named collection, at least; rows that the driver holds before they are written out; and
+#: such parts before the log is folded.
+THROTTLE, HELD, PARTS = 0.25, 5000, 16
 
 
 class VectorStore:
-    """Mutations append to a log; every read is a plan over its live rows. The driver is the single writer."""
+    """Mutations append to a log; every read is a plan over its live rows. The driver is the single writer.
+
+    Single operations gather in the driver, HELD rows at most, and are then written to the shared folder as a part of the
+    log; the log of PARTS such parts is folded to its last operations. In a named collection operations are committed to
+    its tail in the background, one file for all of THROTTLE seconds, or at once by ``sync``; other sessions read them
+    there (``Reader``), and ``flush`` makes a snapshot of them.
+    """
 
     def __init__(self, spark: SparkSession, dims: int, config: Config | None = None):
         if int(dims) < 0:
@@ -35,6 +47,11 @@ class VectorStore:
         self._collection: Collection | None = None
         self._lease: Lease | None = None
         self._dirty = False
+        self._parts = 0
+        self._sent = 0  # of _rows, how many the tail has
+        self._lock = threading.RLock()
+        self._timer: threading.Timer | None = None
+        self._failed: Exception | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, dims: int) -> VectorStore:
@@ -62,9 +79,55 @@ class VectorStore:
         return ops.live(self.log())
 
     def _append(self, op: str, id: str | None = None, vector=None, text: str | None = None) -> None:
-        self._rows.append((self._next, op, id, vector, text))
-        self._next += 1
-        self._dirty = True
+        with self._lock:
+            if self._failed is not None:
+                raise SnapshotError(f"an earlier write failed: {self._failed}") from self._failed
+            self._rows.append((self._next, op, id, vector, text))
+            self._next += 1
+            self._dirty = True
+            if self._collection is not None and self._timer is None:
+                self._timer = threading.Timer(THROTTLE, self._tick)
+                self._timer.daemon = True
+                self._timer.start()
+            if len(self._rows) >= HELD:
+                self._spill()
+
+    def _tick(self) -> None:
+        try:
+            self.sync()
+        except Exception as e:  # told at the next operation
+            self._failed = e
+
+    def sync(self) -> int:
+        """Commits what is not yet committed; returns the position up to which every reader now sees this store's
+        operations. SnapshotError if another writer has taken the collection over."""
+        with self._lock:
+            if self._timer is not None:
+                self._timer.cancel()
+                self._timer = None
+            if self._collection is not None and self._sent < len(self._rows):
+                if self._lease is None:
+                    raise SnapshotError("this store no longer holds the collection")
+                Tail(self._collection).append(self._lease.epoch, self._rows[self._sent :])
+                self._sent = len(self._rows)
+            return self._next
+
+    def _spill(self) -> None:
+        """The held rows become a part of the log in the shared folder; many parts become one of last operations."""
+        self.sync()
+        at = new_folder(self.spark)
+        self.spark.createDataFrame(self._rows, ops.LOG).write.parquet(at)
+        part = self.spark.read.schema(ops.LOG).parquet(at)
+        self._grow(part)
+        self._rows, self._sent = [], 0
+
+    def _grow(self, part: DataFrame) -> None:
+        self._base = part if self._base is None else self._base.unionByName(part)
+        self._parts += 1
+        if self._parts >= PARTS:
+            at = new_folder(self.spark)
+            ops.last_operations(self._base).write.parquet(at)
+            self._base, self._parts = self.spark.read.schema(ops.LOG).parquet(at), 1
 
     def insert(self, id: str, vector: list[float], text: str | None = None) -> None:
         """Upsert; the id moves to the end of the insertion order. A rejected vector changes nothing."""
@@ -85,10 +148,20 @@ class VectorStore:
             good, bad = ops.quarantine(rows, self._dims)
         full = good if "text" in good.columns else good.withColumn("text", F.lit(None).cast("string"))
         new = ops.numbered(full, order, "seq", self._next).select("seq", F.lit(ops.INSERT).alias("op"), F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), "text")
-        n = good.count()
-        self._base, self._rows = self.log().unionByName(new), []
-        self._next += n
-        self._dirty = self._dirty or n > 0
+        with self._lock:
+            if self._rows:
+                self._spill()
+            n = good.count()
+            end = self._next + n
+            if self._collection is not None and self._lease is not None:
+                part = Tail(self._collection).append_frame(self._lease.epoch, new, self._next, end)
+            else:
+                at = new_folder(self.spark)
+                new.write.parquet(at)
+                part = self.spark.read.schema(ops.LOG).parquet(at)
+            self._grow(part)
+            self._next = end
+            self._dirty = self._dirty or n > 0
         return bad
 
     def remove(self, id: str) -> bool:
@@ -99,16 +172,23 @@ class VectorStore:
         return had
 
     def clear(self) -> None:
-        self._base, self._rows = None, []
-        self._dirty = True
+        with self._lock:
+            self._append(ops.CLEAR)
+            if self._collection is None:
+                self._base, self._rows, self._parts = None, [], 0
 
     def compact(self) -> None:
-        """Rewrites the log as its live rows, renumbered in insertion order."""
+        """Rewrites the log as its live rows, renumbered in insertion order; a named collection is published before, so
+        that its tail is empty, and after. Positions start anew with the numbers."""
         shared_folder(self.spark)
-        kept = ops.compact(self.log()).select("seq", "op", "id", "vector", "text")
-        n = len(self)
-        self._base, self._rows, self._next = kept.checkpoint(), [], n
-        self._dirty = True
+        with self._lock:
+            self.flush()
+            kept = ops.compact(self.log()).select("seq", "op", "id", "vector", "text")
+            n = len(self)
+            self._base, self._rows, self._sent, self._parts, self._next = kept.checkpoint(), [], 0, 1, n
+            self._dirty = True
+            if self._collection is not None:
+                self._publish()
 
     def contains(self, id: str) -> bool:
         last = ops.latest(self.log().where((F.col("id") == str(id)) | (F.col("op") == ops.CLEAR)))
@@ -162,6 +242,7 @@ class VectorStore:
             collection = Collection(spark, root, name)
             try:
                 got._lease = collection.acquire(timeout)
+                adopt(collection, got._lease.epoch, TAIL)
             except TimeoutError:
                 if not fallback:
                     raise
@@ -169,13 +250,17 @@ class VectorStore:
             got._collection = collection
             try:
                 found = got._collection.load()
+                if found:
+                    rows, m = found
+                    got._dims, got._config = m.dims, m.config
+                    got._restore(rows, m.next_seq)
+                left, end = Tail(got._collection).read(got._next)
             except Exception:
                 got._lease.release()
                 raise
-            if found:
-                rows, m = found
-                got._dims, got._config = m.dims, m.config
-                got._restore(rows, m.next_seq)
+            if left is not None:  # committed, and not in a snapshot yet
+                got._grow(left)
+                got._next, got._dirty = end, True
         return got
 
     @property
@@ -184,14 +269,20 @@ class VectorStore:
 
     def flush(self) -> bool:
         """Publishes a snapshot if anything changed; SnapshotError if another writer has taken the collection over."""
-        if self._collection is None or not self._dirty:
-            return False
-        if self._lease is None or not self._lease.held():
-            raise SnapshotError("this store no longer holds the collection")
-        self._collection.publish(self.live(), self._dims, self._config, self._next)
+        with self._lock:
+            if self._collection is None or not self._dirty:
+                return False
+            if self._lease is None:
+                raise SnapshotError("this store no longer holds the collection")
+            self.sync()
+            self._publish()
+            return True
+
+    def _publish(self) -> None:
+        self._collection.publish(self.live(), self._dims, self._config, self._next, epoch=self._lease.epoch)
         self._restore(*(lambda r: (r[0], r[1].next_seq))(self._collection.load()))
-        self._rows = []
-        return True
+        self._rows, self._sent, self._parts = [], 0, 1
+        Tail(self._collection).trim(self._next)
 
     def close(self) -> None:
         self.flush()
@@ -200,6 +291,43 @@ class VectorStore:
             self._lease = None
 
 
+class Reader:
+    """A named collection as another session sees it: the published snapshot with what its writer has committed since."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.spark, self.collection = spark, Collection(spark, root, name)
+        self.refresh()
+
+    def refresh(self, at_least: int | None = None, timeout: float = 30.0, every: float = 0.1) -> int:
+        """Reads anew; returns the position up to which operations are seen. ``at_least``: waits for that position, which
+        a writer's ``sync`` has told, and raises TimeoutError if it does not come."""
+        until = time.monotonic() + timeout
+        while True:
+            found = self.collection.load()
+            self.config = found[1].config if found else Config()
+            start = found[1].next_seq if found else 0
+            tail, self.position = Tail(self.collection).read(start)
+            if at_least is None or self.position >= at_least:
+                break
+            if time.monotonic() >= until:
+                raise TimeoutError(f"position {at_least} of {self.collection.path} is not committed")
+            time.sleep(every)
+        log = self.spark.createDataFrame([], ops.LOG)
+        if found:
+            log = found[0].select("seq", F.lit(ops.INSERT).alias("op"), "id", "vector", "text")
+        self._log = log if tail is None else log.unionByName(tail)
+        return self.position
+
+    def live(self) -> DataFrame:
+        return ops.live(self._log)
+
+    def search(self, vector: list[float], k: int) -> DataFrame:
+        return search.knn(self.live().drop("text"), [float(x) for x in vector], k, self.config.metric)
+
+    def __len__(self) -> int:
+        return ops.live_count(self._log).first()["live"]
+
+
 class TextStore:
     """Texts embedded and searched; ids are given or ``auto-N``."""
 
