@@ -52,20 +52,38 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(b)) == i) for i in range(b)]
 
 
+def met(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``qid, q, nq, id, seq, vector, nv``: every row with every query of ``queries(qid, vector)``, norms taken before.
+
+    A query set of up to QUERY_ROWS and QUERY_BYTES goes to every task. A larger one is cut into blocks of that size by a
+    hash; rows are dealt into as many groups as there are partitions, and (group of rows, block of queries) pairs meet by
+    a key, so one plan holds whatever the number of blocks, and no task holds more than a block.
+    """
+    base = rows.select("id", "seq", "vector").withColumn("nv", norm(F.col("vector")))
+    q = queries.select("qid", F.col("vector").alias("q")).withColumn("nq", norm(F.col("q")))
+    n, size = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    most = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, size or 1))))
+    if n <= most:
+        return base.crossJoin(F.broadcast(q))
+    blocks = -(-n // (most // 2 + 1))
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = base.withColumn("__g", F.pmod(F.xxhash64("seq"), F.lit(groups)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = q.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return base.join(q.hint("shuffle_hash"), ["__g", "__b"]).drop("__g", "__b")
+
+
+def pairs(rows: DataFrame, queries: DataFrame, metric: str = COSINE) -> DataFrame:
+    """``qid, id, seq, distance`` of every row for every query."""
+    norms = (F.col("nq"), F.col("nv")) if parse_metric(metric) == COSINE else ()
+    return met(rows, queries).select("qid", "id", "seq", distance(metric, F.col("q"), F.col("vector"), *norms).alias("distance"))
+
+
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = COSINE) -> DataFrame:
     """``qid, id, seq, distance, rank`` for ``queries(qid, vector)``: blocks of queries against all rows.
 
     Norms are computed once a row and once a query. Ranks are limited in each partition before the shuffle.
     """
-    cos = parse_metric(metric) == COSINE
-    base = rows.select("id", "seq", "vector", *([norm(F.col("vector")).alias("nv")] if cos else []))
-    out = None
-    for block in _blocks(queries):
-        q = block.select("qid", F.col("vector").alias("q"), *([norm(F.col("vector")).alias("nq")] if cos else []))
-        d = distance(metric, F.col("q"), F.col("vector"), *((F.col("nq"), F.col("nv")) if cos else ()))
-        got = ranked(base.crossJoin(F.broadcast(q)).select("qid", "id", "seq", d.alias("distance")), k)
-        out = got if out is None else out.union(got)
-    return out
+    return ranked(pairs(rows, queries, metric), k)
 
 
 def knn_batch_arrow(rows: DataFrame, queries: DataFrame, k: int, metric: str = COSINE) -> DataFrame:

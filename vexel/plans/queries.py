@@ -16,7 +16,8 @@ from vexel.operators.segments import SegmentIndex
 from vexel.sources.folders import new_folder
 from vexel.sources.snapshot import read_snapshot, write_snapshot
 from vexel.store import ingest, next_auto, with_auto_ids
-from vexel.streaming.fold import SnapshotFold, dedupe_stream
+from vexel.streaming.fold import SnapshotFold
+from vexel.streaming.requests import SERVED, serve_requests
 
 K = 10
 EMBED = HashingEmbedder()
@@ -56,9 +57,7 @@ def _wide(c: str = "distance"):
 
 def _pairwise(metric: str):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        queries = query_vectors(spark, d).select("qid", F.col("vector").alias("q"))
-        pairs = vectors(spark, d).crossJoin(F.broadcast(queries))
-        return pairs.select("qid", "id", dist.distance(metric, F.col("q"), F.col("vector")).cast("double").alias("distance"))
+        return search.pairs(vectors(spark, d), query_vectors(spark, d), metric).select("qid", "id", _wide())
 
     return q
 
@@ -68,10 +67,10 @@ def score_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The SQL functions over pairs; queries and rows meet in blocks, and norms are taken once a row."""
     dist.register_sql(spark)
-    vectors(spark, d).createOrReplaceTempView("vexel_vectors")
-    query_vectors(spark, d).createOrReplaceTempView("vexel_queries")
-    return spark.sql("SELECT qid, id, CAST(vdot(q.vector, v.vector) AS DOUBLE) AS dot, CAST(vl2sq(q.vector, v.vector) AS DOUBLE) AS l2, CAST(vcosine(q.vector, v.vector) AS DOUBLE) AS cosine FROM vexel_vectors v CROSS JOIN vexel_queries q")
+    search.met(vectors(spark, d), query_vectors(spark, d)).createOrReplaceTempView("vexel_pairs")
+    return spark.sql("SELECT qid, id, CAST(vdot(q, vector) AS DOUBLE) AS dot, CAST(vl2sq(q, vector) AS DOUBLE) AS l2, CAST(vcosine_of(q, vector, nq, nv) AS DOUBLE) AS cosine FROM vexel_pairs")
 
 
 def _knn(metric: str):
@@ -200,18 +199,41 @@ def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
     fold.start(stream, f"{at}/checkpoint").awaitTermination()
     fold.publish()
+    fold.close()
     return fold.rows().select("id", "seq")
 
 
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests of users: errors fail, a repeated kind of event is a retry."""
+    e = _table(spark, d, "events")
+    user = F.col("user_id").cast("string")
+    return e.select(F.col("event_id").alias("seq"), user.alias("client"), F.concat_ws("/", user, "event_type").alias("req_id"), (F.col("event_type") != "error").alias("ok"))
+
+
+def _served(spark: SparkSession, d: str, all_ok: bool = False) -> DataFrame:
+    """The requests as a stream of files in order of ``seq``, through ``serve_requests``."""
+    at, rows = new_folder(spark), _requests(spark, d)
+    rows = rows.withColumn("ok", F.lit(True)) if all_ok else rows
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    for i in range(3):  # the oldest files are taken first
+        rows.where(F.floor((F.col("seq") - F.lit(low)) / step) == i).write.mode("append").parquet(f"{at}/requests")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/requests")
+    w = serve_requests(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
+    w.trigger(availableNow=True).start(f"{at}/served").awaitTermination()
+    return spark.read.schema(SERVED).parquet(f"{at}/served")
+
+
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Request ids of the event stream, retries dropped within a watermark longer than the stream."""
-    at, events = new_folder(spark), _table(spark, d, "events")
-    e = events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("req_id"))
-    e.repartitionByRange(3, "ts").write.parquet(f"{at}/requests")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/requests")
-    w = dedupe_stream(stream, "3650 days").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
-    w.trigger(availableNow=True).start(f"{at}/once").awaitTermination()
-    return spark.read.schema(e.schema).parquet(f"{at}/once").select("req_id")
+    """Request ids of the event stream that were carried out; retries are answered from each client's bounded memory."""
+    return _served(spark, d, all_ok=True).where("applied").select("req_id")
+
+
+def stream_requests(spark: SparkSession, d: str) -> DataFrame:
+    """How many requests of each client were carried out, how many answered from memory, and how many it holds at last;
+    failed ones are carried out again."""
+    counts = [F.sum(F.col("applied").cast("long")).alias("applied"), F.sum((~F.col("applied")).cast("long")).alias("replayed"), F.max("remembered").alias("remembered")]
+    return _served(spark, d).groupBy("client").agg(*counts)
 
 
 def _index(spark: SparkSession, d: str) -> ann.IvfIndex:
@@ -291,6 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_roundtrip": snapshot_roundtrip,
     "stream_fold": stream_fold,
     "stream_dedupe": stream_dedupe,
+    "stream_requests": stream_requests,
     "ann_ivf": ann_ivf,
     "ann_recall": ann_recall,
     "graph_levels": graph_levels,
@@ -379,6 +402,11 @@ LEFT JOIN (SELECT doc_id, sum(n * n) AS total FROM ({_COUNTS}) GROUP BY doc_id)
 _EMBEDDED = f"SELECT doc_id, list(value ORDER BY bucket) AS vector FROM ({_GRID}) GROUP BY doc_id"
 _AUTO = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'doc-' || doc_id ELSE 'auto-' || (row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1) END AS id, doc_id AS seq FROM documents"
 
+_REQUESTS = """
+SELECT client, CAST(sum(CASE WHEN ok AND seen THEN 0 ELSE 1 END) AS BIGINT) AS applied, CAST(sum(CASE WHEN ok AND seen THEN 1 ELSE 0 END) AS BIGINT) AS replayed, CAST(count(DISTINCT CASE WHEN ok THEN req_id END) AS INTEGER) AS remembered
+FROM (SELECT CAST(user_id AS VARCHAR) AS client, CAST(user_id AS VARCHAR) || '/' || event_type AS req_id, event_type <> 'error' AS ok,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS seen FROM events) GROUP BY client"""
+
 ORACLE_SQL: dict[str, str] = {
     "distance_cosine": _pair_sql("cosine"),
     "distance_dot": _pair_sql("dot"),
@@ -416,6 +444,7 @@ ORACLE_SQL: dict[str, str] = {
     "graph_levels": f"SELECT CAST(vec_id AS VARCHAR) AS id, CAST(least(16, floor(-ln((CAST({_HEX13} AS DOUBLE) + 1) / 4503599627370496) / ln(16))) AS INTEGER) AS level FROM embeddings",
     "ann_graph": _BATCH,
     "graph_segments": _SEGMENTS,
+    "stream_requests": _REQUESTS,
     "stream_dedupe": "SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || event_type AS req_id FROM events",
     "stream_fold": f"SELECT id, seq FROM ({_live_sql(_log_sql())})",
 }
