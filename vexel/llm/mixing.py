@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vexel.llm.common import WORD_SQL, arrow, cut, offsets_by_part, parts, read, table
+from vexel.llm.common import SENT, WORD_SQL, arrow, cut, offsets_by_part, parts, read, table
 
 #: Weights in the order of the sources, repeating; the most that a source or document may grow.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -140,7 +140,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows of a source are dealt by hash into leaves of about FAN rows; a leaf pairs its rows until one is fractional, and
     leaves' residuals meet FAN at a time in the next level. So a source's words differ from its target by less than
     the size of one document, that of its last residual, which a last coin decides; every document is taken with exactly
-    its odds. No task holds a source, and the order of rows doesn't matter: coins are hashes of ids.
+    its odds. No task holds a source, and the order of rows doesn't matter: coins are hashes of ids, and of the place in
+    the table only for rows that are equal in id and size, so that these meet different leaves and coins.
     Null texts and texts without words have size 0 and are never taken. Null sources are one source, last in order.
     Repeated rows are separate documents. An empty table gives an empty result.
     """
@@ -151,13 +152,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     src = F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())
     plan = shares.join(n_rows, shares["source"].eqNullSafe(n_rows["source"])).drop(n_rows["source"]).withColumn("src", src)
     plan = cut(plan.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(0.0)).withColumn("leaves", F.ceil(F.col("__n") / FAN).cast("long")))
+    # rows equal in id and size (null ids, repeated rows) get keys of their own, so that no leaf holds them all
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    again = cut(rows.groupBy("id", "size").agg(F.count("*").alias("__c")).where("__c > 1").select(F.col("id").alias("__id"), F.col("size").alias("__size"), F.lit(True).alias("__again")))
+    few = again.limit(SENT + 1).count() <= SENT
+    rows = rows.join(F.broadcast(again) if few else again, rows["id"].eqNullSafe(again["__id"]) & (rows["size"] == again["__size"]), "left")
     key = F.xxhash64("id", F.coalesce(F.col("size"), F.lit(0)), F.lit(SEED))
+    key = F.when(F.col("__again"), F.xxhash64(key, "uid")).otherwise(key)
     small = F.broadcast if plan.count() <= 100_000 else lambda x: x
     own = small(plan.select(F.col("source").alias("__source"), "src", "source_size", "target", "rate", "leaves"))
     meant = rows.join(own, rows.source.eqNullSafe(own["__source"])).drop("__source")
-    meant = meant.withColumn("key", key).withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("frac", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
+    meant = meant.withColumn("key", key).drop("__id", "__size", "__again").withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("frac", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     kept_row = ["row"] * with_row
-    meant = table(meant.withColumn("leaf", F.pmod(F.col("key"), F.col("leaves"))).withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
+    meant = table(meant.withColumn("leaf", F.pmod(F.col("key"), F.col("leaves"))), "mix-rows")
 
     most = plan.agg(F.max("leaves")).first()[0] or 0
     node = lambda level: F.xxhash64(F.col("src"), F.floor(F.col("leaf") / (FAN**level)).cast("long"), F.lit(level))
