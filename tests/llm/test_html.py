@@ -76,3 +76,56 @@ def test_joined_templates(spark, monkeypatch):
     monkeypatch.setattr(html, "TEMPLATE_BYTES", 0)
     monkeypatch.setattr(html, "COPIES", -1)
     test_template_in_the_article(spark)
+
+
+RECIPE = """<html><body><div class="top"><ul><li><a href=1>Start</a></li><li><a href=2>All recipes</a></li><li><a href=3>Us</a></li></ul></div>
+<div class="page"><article><h1>{t}</h1><p>{a}</p><h2>Ingredients</h2><p>{b}</p><h2>Method</h2><p>{c}</p><p>Serve at once, with a little salt.</p><p>{d}</p>
+<p>Sources:</p><ul><li><a href=4>Annual report {y}</a></li><li><a href=5>Census data {y}</a></li><li><a href=6>{e}</a></li></ul></article></div><div>All rights kept by us</div></body></html>"""
+
+
+def test_recurring_headings_sentences_and_sources_stay(spark):
+    p = [[prose(n, 1000 * i + n) for n in (4, 31, 22, 33, 14, 3)] for i in range(10)]
+    got = run(spark, [(i, "http://cook.example/p", RECIPE.format(y=1990 + i, **dict(zip("tabcde", x, strict=True)))) for i, x in enumerate(p)])
+    for i, (t, a, b, c, d, e) in enumerate(p):
+        assert got[i] == f"{t} {a} Ingredients {b} Method {c} Serve at once, with a little salt. {d} Sources: Annual report {1990 + i} Census data {1990 + i} {e}"
+
+
+def test_a_long_comment_never_wins_over_a_short_article(spark):
+    page = '<html><body><main><article class="post"><h1>{}</h1><p>{}</p></article><section class="{}"><article class="{}"><p>{}</p></article>{}</section></main></body></html>'
+    for section, name in (("responses", "response"), ("x1", "x2")):
+        rows = [(i, f"http://{name}.example/p", page.format(prose(3, i), prose(9, 30 + i), section, name, prose(200, 60 + i), f'<article class="{name}"><p>again {i}</p></article>' * (i % 3))) for i in range(8)]
+        rows = [(i, u, h.replace("<main>", "<div>").replace("</main>", "</div>")) for i, u, h in rows]
+        got = run(spark, rows)
+        want = {i: f"{prose(3, i)} {prose(9, 30 + i)}" for i in range(8)}
+        if section == "responses":  # told by its name, without a template too
+            assert got == want and html.main_text(rows[0][2]) == want[0]
+        else:  # told by the template: the article comes once on every page, comments as often as they like
+            assert {i: x for i, x in got.items()} == want
+
+
+def test_short_articles_beside_long_ones_stay():
+    page = f"<article><p>{prose(100, 1)}</p></article><article><p>{prose(10, 2)}</p></article>"
+    assert html.main_text(page) == f"{prose(100, 1)} {prose(10, 2)}"
+    assert html.main_text("<article><p>Sources:</p><ul><li><a>Annual report</a><li><a>Census data</a><li><a>Interview notes</a></ul></article>") == "Sources: Annual report Census data Interview notes"
+    assert html.main_text('<article><p>A</p><div class="cta-banner">x</div></article>') == "A"
+
+
+def test_classes_by_signature_equal_classes_by_gathered_vectors(spark):
+    """Brute force: every role's vector of counts over the pages, side by side; equal vectors are one class."""
+    item = "<div><a href=3>{}</a><span> - </span></div>"
+    pages = [BOXES.format(t=prose(4, i), a=prose(40, 50 + i), b=prose(30, 90 + i), c="c", d="d", e="".join(item.format(f"x{i}{k}") for k in range(i % 4))) + f"<p>{'tail' if i % 2 else 'end'}</p>" * (i % 3) for i in range(14)]
+    df = spark.createDataFrame([(i, "h", p) for i, p in enumerate(pages)], "page_id long, host string, html string")
+    got = html.occurrences(df.repartition(5)).collect()
+    vectors = {}
+    for i, p in enumerate(pages):
+        for role, (n, *_) in html.roles(html.parse(p)).items():
+            vectors.setdefault(role, [0] * len(pages))[i] = n
+    assert {r.role for r in got} == {*vectors, ""}
+    by_sig, by_vector = {}, {}
+    for r in got:
+        if r.role:
+            v = vectors[r.role]
+            assert (r.pages, r.most, r.least, r.total) == (sum(n > 0 for n in v), max(v), min(n for n in v if n), sum(v))
+            by_sig.setdefault(r.sig, set()).add(r.role)
+            by_vector.setdefault(tuple(v), set()).add(r.role)
+    assert sorted(map(sorted, by_sig.values())) == sorted(map(sorted, by_vector.values())) and len(by_vector) > 8

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html as charrefs
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,12 +27,12 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 DROP_TAGS = set("nav footer aside form script style noscript template iframe svg math button select option textarea input dialog menu head object embed canvas audio video map".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
 DROP_WORDS = set(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead banner footer sidebar aside widget widgets related recommended recommendations promo promos promotion ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsors sponsored notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social comment comments commentlist reply replies disqus respond discussion feedback skip skiplink toolbar pagination pager copyright disclaimer teaser teasers".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead banner footer sidebar aside widget widgets related recommended recommendations promo promos promotion ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsors sponsored notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social comment comments commentlist reply replies disqus respond response responses discussion feedback skip skiplink toolbar pagination pager copyright disclaimer teaser teasers".split()
 )
 #: Words beside those in a name such as site-footer or comment-list, which say nothing of the content. A name with any
 #: other word (no-sidebar, has-comments, notice-board) tells nothing.
 NEUTRAL = set(
-    "area article bar block blog bottom box btn bubble button buttons card cards col column container content count entry fixed float footer form full global group head header hidden holder inline inner item items js large left li link links list lists main mobile module nav navigation outer page panel post posts primary right row secondary section site slot small social sticky story text title top ui unit wide wrap wrapper".split()
+    "area article bar block blog bottom box btn bubble button buttons card cards col column container content count cta entry fixed float footer form full global group head header hidden holder inline inner item items js large left li link links list lists main mobile module nav navigation outer page panel post posts primary right row secondary section site slot small social sticky story text title top ui unit wide wrap wrapper".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN_TAGS, MAIN_ROLES = ("article", "main"), ("article", "main")
@@ -230,9 +229,10 @@ def deduce(rows: pd.DataFrame) -> dict:
     A class: roles with one signature. Valid: large enough support; a class seen once a page is the root. Every other
     valid class nests in the longest root role that is a path prefix of all its members (ordered by their mean place);
     a class without such a role is dropped. Slots: what stands below a role and is no constant text. The container is the
-    deepest root role with nearly all of the slots' text. A nested class most of whose text is links is a list of links.
-    Where constants are half or more of the container's text, the host's pages are versions of one article, and only
-    constants outside the container are its template.
+    deepest root role with nearly all of the slots' text. A nested class most of whose text is links is a list of links,
+    but for the items of lists in articles, whose constant texts alone are the template's. A constant text within the container is the article's own (a heading that recurs, a sentence between slots) if what
+    its element lies in holds slots too, that is other text than constants and links; alone in a box of constants and links
+    it is the template's. Articles that are root roles are the pages' main ones.
     """
     rows = rows.sort_values(["place", "role"])
     root, nested, texts = [], [], []
@@ -257,11 +257,29 @@ def deduce(rows: pd.DataFrame) -> dict:
     whole = max((chars[r] for r in root), default=0)
     held = [r for r in root if chars[r] >= 0.7 * whole and whole]
     container = max(held, key=lambda r: (r.count("/"), r)) if held else ""
-    lists = sorted({t for own in tree.values() for tags in own for t in tags if chars[t] and links[t] >= LINKS * chars[t]})
+    articles = [r for r in root if re.match(r"(article|main)(\.|$)", r.rpartition("/")[2]) and chars[r]]
+
+    def cited(t: str) -> bool:
+        """Items of a list in an article: sources, say. What is a menu of the host there is constant text."""
+        return t.rpartition("/")[2].split(".")[0] in ("li", "ul", "ol") and any(t.startswith(a + "/") for a in articles)
+
+    lists = sorted({t for own in tree.values() for tags in own for t in tags if chars[t] and links[t] >= LINKS * chars[t] and not cited(t)})
     inside = [t for t in texts if container and (t.startswith(container + "/") or t.startswith(container + "#"))]
-    if inside and 2 * sum(chars[t] for t in inside) >= chars[container]:
-        texts = sorted(set(texts) - set(inside))
-    return {"root": root, "nested": tree, "texts": sorted(texts), "container": container, "lists": lists}
+    # characters of constants that are not links, by every path they are under
+    plain: dict[str, float] = {}
+    for t in texts:
+        path = t.split("#")[0]
+        while path:
+            plain[path] = plain.get(path, 0) + max(0, chars[t] - links[t])
+            path = path.rpartition("/")[0]
+
+    def among_slots(t: str) -> bool:
+        path = t.split("#")[0]
+        around = path if path == container else path.rpartition("/")[0]
+        return chars.get(around, 0) - links.get(around, 0) - plain.get(around, 0) > 0
+
+    own_ = {t for t in inside if not links[t] and among_slots(t)}
+    return {"root": root, "nested": tree, "texts": sorted(set(texts) - own_), "container": container, "lists": lists, "mains": sorted(articles)}
 
 
 def distinct(pages: DataFrame) -> DataFrame:
@@ -274,9 +292,10 @@ def distinct(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, container, texts, lists``, for hosts of MIN_PAGES different pages or more. Roles short of their share of
+    """``host, container, texts, lists, mains``, for hosts of MIN_PAGES different pages or more. Roles short of their share of
     the host's pages go before the (per host) deduction, so that what it gathers is bounded by a template, not by the
-    host's pages."""
+    host's pages. A page with an equal one on its host counts once; null urls are one host, and an empty table has no
+    templates."""
     occ = occurrences(distinct(pages))
     occ = cut(occ.where(F.col("pages") >= MIN_PAGES))
     hosts = occ.where("role = ''").select("host", F.col("pages").alias("n"))
@@ -285,15 +304,16 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         t = deduce(pdf)
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "container": [t["container"]], "texts": [t["texts"]], "lists": [t["lists"]]})
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "container": [t["container"]], "texts": [t["texts"]], "lists": [t["lists"]], "mains": [t["mains"]]})
 
-    return common.groupBy("host").applyInPandas(each, "host string, container string, texts array<string>, lists array<string>")
+    return common.groupBy("host").applyInPandas(each, "host string, container string, texts array<string>, lists array<string>, mains array<string>")
 
 
-def main_text(page: str | None, container: str = "", texts: frozenset = frozenset(), lists: frozenset = frozenset()) -> str:
+def main_text(page: str | None, container: str = "", texts: frozenset = frozenset(), lists: frozenset = frozenset(), mains: frozenset = frozenset()) -> str:
     """The slots' text of one page: below the template's container (or all of the page if it lacks it) without the
-    template's constant texts and link lists; there, within the article or main element, if any, and without elements
-    whose tag, role or whole name says that they are no article, and lists of nothing but links."""
+    template's constant texts and link lists; there, within the article or main elements, if any (where the template knows
+    some that every page has once, these only), without elements whose tag, role or whole name says that they are no
+    article, and, outside of articles, lists of nothing but links."""
     if not page:
         return ""
     tokens = parse(page)
@@ -304,19 +324,19 @@ def main_text(page: str | None, container: str = "", texts: frozenset = frozense
 
     has = container and any(x.path == container for t in words for x in t[2])
     region = (lambda s: any(x.path == container for x in s)) if has else (lambda s: True)
-    for within in (region, lambda s: True):  # an article elsewhere than in the container still is one
-        explicit = defaultdict(int)
+    known = lambda s: any(x.path in mains for x in s)
+    for within in (known, region, lambda s: True):  # an article elsewhere than in the container still is one
+        explicit: dict[int, str] = {}
         for t in words:
             if within(t[2]) and slot(t[2], t[1]):
                 for x in t[2]:
                     if x.main:
-                        explicit[x.uid] += len(t[1].strip())
+                        explicit[x.uid] = x.path
                         break
         if explicit:
             break
     if explicit:
-        most = max(explicit.values())
-        chosen = {k for k, v in explicit.items() if 4 * v >= most}
+        chosen = {k for k, path in explicit.items() if path in mains} or set(explicit)
         inside = lambda s: any(x.uid in chosen for x in s)
     else:
         inside = region
@@ -324,7 +344,7 @@ def main_text(page: str | None, container: str = "", texts: frozenset = frozense
     for t in tokens:
         if t[0] == "text" and (n := len(t[1].strip())):
             link = any(x.tag == "a" for x in t[2])
-            for x in t[2]:
+            for x in () if any(x.main for x in t[2]) else t[2]:
                 if x.tag in ("ul", "ol"):
                     own = counted.setdefault(x.uid, [0, 0, 0])
                     own[0] += n
@@ -354,7 +374,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
     made = cut(templates(src.where("html is not null")))
-    size = made.agg(F.sum(F.length("container") + (F.size("texts") + F.size("lists")) * 100 + 200)).first()[0] or 0
+    size = made.agg(F.sum(F.length("container") + (F.size("texts") + F.size("lists") + F.size("mains")) * 100 + 200)).first()[0] or 0
     schema = f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def rows(b: pa.RecordBatch, of) -> pa.RecordBatch:
@@ -362,11 +382,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     if size <= TEMPLATE_BYTES:
-        known = {r.host: (r.container, frozenset(r.texts), frozenset(r.lists)) for r in made.collect()}
+        known = {r.host: (r.container, frozenset(r.texts), frozenset(r.lists), frozenset(r.mains)) for r in made.collect()}
         sent = src.sparkSession.sparkContext.broadcast(known)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            none = ("", frozenset(), frozenset())
+            none = ("", frozenset(), frozenset(), frozenset())
             for b in batches:
                 yield rows(b, lambda i, host: sent.value.get(host, none))
 
@@ -374,10 +394,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = list(zip(*(b.column(k).to_pylist() for k in (4, 5, 6)), strict=True))
-            yield rows(b, lambda i, host, own=own: (own[i][0] or "", frozenset(own[i][1] or ()), frozenset(own[i][2] or ())))
+            own = list(zip(*(b.column(k).to_pylist() for k in (4, 5, 6, 7)), strict=True))
+            yield rows(b, lambda i, host, own=own: (own[i][0] or "", frozenset(own[i][1] or ()), frozenset(own[i][2] or ()), frozenset(own[i][3] or ())))
 
-    return arrow(src.join(made, "host", "left").select("page_id", "url", "host", "html", "container", "texts", "lists"), schema, joined)
+    return arrow(src.join(made, "host", "left").select("page_id", "url", "host", "html", "container", "texts", "lists", "mains"), schema, joined)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
