@@ -35,7 +35,8 @@ class IvfIndex:
             n = norm(v)
             v = F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n))
         ready = rows.withColumn("__f", array_to_vector(F.transform(v, lambda x: x.cast("double"))))
-        model = KMeans(k=clusters, seed=config.seed, maxIter=rounds, featuresCol="__f", predictionCol="cluster").fit(ready)
+        ready = ready.withColumn("nv", norm(F.col("vector")))
+        model = KMeans(k=clusters, seed=config.seed, maxIter=rounds, initMode="random", featuresCol="__f", predictionCol="cluster").fit(ready)
         dealt, centres, spark = model.transform(ready), np.array(model.clusterCenters()), rows.sparkSession
         dealt.drop("__f").repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
         at = spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "cluster int, centre array<double>")
@@ -60,7 +61,8 @@ class IvfIndex:
                 if cosine:
                     n = np.sqrt((q * q).sum(axis=1, keepdims=True))
                     q = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
-                d = np.sqrt(((q[:, None, :] - centres[None]) ** 2).sum(axis=2))
+                step = max(1, (4 << 20) // max(1, centres.size))  # few queries at a time: 32 MB of differences
+                d = np.concatenate([np.sqrt(((q[a : a + step, None, :] - centres[None]) ** 2).sum(axis=2)) for a in range(0, len(q), step)])
                 if bounded:
                     kth = np.array([np.inf if x is None else x for x in b.column(2).to_pylist()], float) * (2 if cosine else 1)
                     room = np.sqrt(np.maximum(kth, 0) * 1.0001 + (1e-4 if cosine else 0))
@@ -90,8 +92,10 @@ class IvfIndex:
         return self._probed(self._asked(queries.join(kth, "qid", "left"), least, True), k)
 
     def _probed(self, asked: DataFrame, k: int) -> DataFrame:
-        met = self.table.join(asked, "cluster")
-        return ranked(met.select("qid", "id", "seq", distance(self.config.metric, F.col("q"), F.col("vector")).alias("distance")), k)
+        """Norms are taken once a row and once a query, not once a pair."""
+        met = self.table.join(asked.withColumn("nq", norm(F.col("q"))), "cluster")
+        norms = (F.col("nq"), F.col("nv")) if self.config.metric == COSINE else ()
+        return ranked(met.select("qid", "id", "seq", distance(self.config.metric, F.col("q"), F.col("vector"), *norms).alias("distance")), k)
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
         return knn_batch(self.table.select("id", "seq", "vector"), queries, k, self.config.metric)
