@@ -181,7 +181,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ups = settled[0]
     for s in settled[1:]:
         ups = ups.union(s)
-    got = meant.join(ups.hint("shuffle_hash"), "uid", "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
+    # rows, with whole texts, stay where they are as long as the ids of those that are taken once more are few enough
+    more = table(ups.where("up = 1").select("uid", "up"), "mix-ups")
+    few = more.limit(SENT + 1).count() <= SENT
+    got = meant.join(F.broadcast(more) if few else more.hint("shuffle_hash"), "uid", "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
     got = got.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
     return got.select("id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *kept_row)
 
