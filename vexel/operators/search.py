@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vexel.config import COSINE, L2, parse_metric
 from vexel.errors import DimensionMismatchError
 from vexel.functions.distance import distance, norm, vector_literal
+from vexel.sources.folders import ship
 
 #: Queries that one pass compares (their vectors go to every task): rows and bytes, at most. More are taken in blocks.
 QUERY_ROWS, QUERY_BYTES = 4096, 32 << 20
@@ -42,14 +43,14 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """Query blocks of a checked size."""
-    n, size = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    most = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, size or 1))))
-    if n <= most:
-        return [queries]
-    b = -(-n // (most // 2 + 1))
-    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(b)) == i) for i in range(b)]
+def _dealt(rows: DataFrame, queries: DataFrame, n: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows in groups by ``seq`` and ``n`` queries in blocks of about ``most`` by ``qid``, each with every counterpart's
+    number: ``__g`` and ``__b`` say which group meets which block."""
+    blocks = -(-n // (most // 2 + 1))
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.withColumn("__g", F.pmod(F.xxhash64("seq"), F.lit(groups)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return left, right
 
 
 def met(rows: DataFrame, queries: DataFrame) -> DataFrame:
@@ -65,11 +66,8 @@ def met(rows: DataFrame, queries: DataFrame) -> DataFrame:
     most = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, size or 1))))
     if n <= most:
         return base.crossJoin(F.broadcast(q))
-    blocks = -(-n // (most // 2 + 1))
-    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = base.withColumn("__g", F.pmod(F.xxhash64("seq"), F.lit(groups)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = q.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return base.join(q.hint("shuffle_hash"), ["__g", "__b"]).drop("__g", "__b")
+    left, right = _dealt(base, q, n, most)
+    return left.join(right.hint("shuffle_hash"), ["__g", "__b"]).drop("__g", "__b")
 
 
 def pairs(rows: DataFrame, queries: DataFrame, metric: str = COSINE) -> DataFrame:
@@ -86,54 +84,67 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = COSINE)
     return ranked(pairs(rows, queries, metric), k)
 
 
-def knn_batch_arrow(rows: DataFrame, queries: DataFrame, k: int, metric: str = COSINE) -> DataFrame:
-    """As ``knn_batch``, with matrix products as a filter.
+def _near(qid: np.ndarray, q: np.ndarray, b: pa.RecordBatch, k: int, metric: str) -> pa.RecordBatch:
+    """Of a batch ``id, seq, vector`` the rows that may be among the k nearest of each query, by matrix products: those
+    whose distance lies within the two kernels' rounding error of the batch's k-th best."""
+    nq = np.sqrt((q * q).sum(axis=1))
+    x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in b.column(2)]).astype(float)
+    nx = np.sqrt((x * x).sum(axis=1))
+    both = np.outer(nq, nx)
+    d = q @ x.T
+    if metric == COSINE:
+        d = 1 - np.divide(d, both, out=np.zeros_like(d), where=both > 0)
+        scale = np.ones_like(d)
+    elif metric == L2:
+        d = nq[:, None] ** 2 + nx[None, :] ** 2 - 2 * d
+        scale = (nq[:, None] + nx[None, :]) ** 2
+    else:
+        d, scale = 1 - d, 1 + both
+    slack = (4 * x.shape[1] + 16) * 2.0**-23 * scale
+    kth = min(k, d.shape[1]) - 1
+    limit = np.partition(d + slack, kth, axis=1)[:, kth]
+    keep = ~((d - slack) > limit[:, None])  # also what is not a number
+    i, j = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([pa.array(qid[i]), b.column(0).take(pa.array(j)), b.column(1).take(pa.array(j)), b.column(2).take(pa.array(j))], ["qid", "id", "seq", "vector"])
 
-    Each Arrow batch keeps the rows whose approximate distance lies within the two kernels' rounding error of its k-th
-    best, so none of the exact k is lost; the survivors' distances are then those of the exact kernel.
-    """
-    metric = parse_metric(metric)
-    spark = rows.sparkSession
-    out = None
-    for block in _blocks(queries):
-        local = block.select("qid", "vector").toPandas()
-        if not len(local) or k <= 0:
-            got = spark.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, id string, seq long, distance float, rank int")
-            out = got if out is None else out.union(got)
-            continue
+
+def knn_batch_arrow(rows: DataFrame, queries: DataFrame, k: int, metric: str = COSINE) -> DataFrame:
+    """As ``knn_batch``, with matrix products as a filter: survivors' distances are those of the exact kernel, and none of
+    the exact k is lost. A query set of a checked size is broadcast; of a larger one, blocks meet groups of rows by a key,
+    in one plan."""
+    metric, spark = parse_metric(metric), rows.sparkSession
+    ship(spark)
+    kind = queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {kind}, id string, seq long, vector array<float>"
+    n, size = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    most = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, size or 1))))
+    if not n or k <= 0:
+        return spark.createDataFrame([], f"qid {kind}, id string, seq long, distance float, rank int")
+    base = rows.select("id", "seq", "vector")
+    asked = queries.select("qid", F.col("vector").alias("q"))
+    if n <= most:
+        local = queries.select("qid", "vector").toPandas()
         sent = spark.sparkContext.broadcast((local.qid.to_numpy(), np.stack(local.vector.to_numpy()).astype(float)))
 
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q = sent.value
-            nq = np.sqrt((q * q).sum(axis=1))
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in b.column(2)]).astype(float)
-                nx = np.sqrt((x * x).sum(axis=1))
-                both = np.outer(nq, nx)
-                d = q @ x.T
-                if metric == COSINE:
-                    d = 1 - np.divide(d, both, out=np.zeros_like(d), where=both > 0)
-                    scale = np.ones_like(d)
-                elif metric == L2:
-                    d = nq[:, None] ** 2 + nx[None, :] ** 2 - 2 * d
-                    scale = (nq[:, None] + nx[None, :]) ** 2
-                else:
-                    d, scale = 1 - d, 1 + both
-                slack = (4 * x.shape[1] + 16) * 2.0**-23 * scale
-                kth = min(k, d.shape[1]) - 1
-                limit = np.partition(d + slack, kth, axis=1)[:, kth]
-                keep = ~((d - slack) > limit[:, None])  # also what is not a number
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), b.column(0).take(pa.array(j)), b.column(1).take(pa.array(j)), b.column(2).take(pa.array(j))], ["qid", "id", "seq", "vector"])
-
-        kind = block.schema["qid"].dataType.simpleString()
-        some = rows.select("id", "seq", "vector").mapInArrow(near, f"qid {kind}, id string, seq long, vector array<float>")
-        exact = some.join(F.broadcast(block.select("qid", F.col("vector").alias("q"))), "qid")
-        got = ranked(exact.select("qid", "id", "seq", distance(metric, F.col("q"), F.col("vector")).alias("distance")), k)
-        out = got if out is None else out.union(got)
-    return out
+                if b.num_rows:
+                    yield _near(*sent.value, b, k, metric)
+
+        exact = base.mapInArrow(near, schema).join(F.broadcast(asked), "qid")
+    else:
+        left, right = _dealt(base, queries.select("qid", "vector"), n, most)
+
+        def met_(a: pa.Table, b: pa.Table) -> pa.Table:
+            got = [pa.RecordBatch.from_pydict({c: pa.array([], t) for c, t in zip(("qid", "id", "seq", "vector"), (b.schema.field("qid").type, pa.string(), pa.int64(), pa.list_(pa.float32())), strict=True)})]
+            if a.num_rows and b.num_rows:
+                qid, q = b.column("qid").to_numpy(), np.array(b.column("vector").to_pylist(), float)
+                got += [_near(qid, q, x, k, metric) for x in a.select(["id", "seq", "vector"]).combine_chunks().to_batches(max_chunksize=10_000)]
+            return pa.Table.from_batches(got)
+
+        some = left.groupBy("__g", "__b").cogroup(right.groupBy("__g", "__b")).applyInArrow(met_, schema)
+        exact = some.join(asked, "qid")
+    return ranked(exact.select("qid", "id", "seq", distance(metric, F.col("q"), F.col("vector")).alias("distance")), k)
 
 
 def nearest(rows: DataFrame, query: list[float], metric: str = COSINE) -> DataFrame:
