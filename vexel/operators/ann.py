@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.config import COSINE, DOT, Config, parse_metric
-from vexel.functions.distance import distance, norm
-from vexel.operators.search import knn_batch, ranked
+from vexel.functions.distance import norm
+from vexel.operators.search import HIT, best, blocks_of, kind_of, knn_batch, ranked, run, stream
+from vexel.sources.folders import ship
+
+#: Rows of a cluster that meet queries together, about.
+PART = 4096
 
 
 class IvfIndex:
@@ -35,7 +39,6 @@ class IvfIndex:
             n = norm(v)
             v = F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n))
         ready = rows.withColumn("__f", array_to_vector(F.transform(v, lambda x: x.cast("double"))))
-        ready = ready.withColumn("nv", norm(F.col("vector")))
         model = KMeans(k=clusters, seed=config.seed, maxIter=rounds, initMode="random", featuresCol="__f", predictionCol="cluster").fit(ready)
         dealt, centres, spark = model.transform(ready), np.array(model.clusterCenters()), rows.sparkSession
         dealt.drop("__f").repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
@@ -48,9 +51,10 @@ class IvfIndex:
         return cls(spark.read.parquet(path), centres, radii, sizes, config)
 
     def _asked(self, queries: DataFrame, least: int, bounded: bool) -> DataFrame:
-        """``qid, q, cluster``: the nearest clusters that hold ``least`` rows; or, with the distance ``kth`` of each
+        """``qid, q, cluster`` (and ``kth``): the nearest clusters that hold ``least`` rows; or, with the distance ``kth`` of each
         query's k-th hit, all clusters whose rows are not surely farther (triangle bound, with room for the rounding of
         single precision), and every cluster where there is no k-th hit."""
+        names = ["qid", "q", *(["kth"] if bounded else [])]
         centres, radii, sizes, cosine = self.centres, self.radii, self.sizes, self.config.metric == COSINE
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,10 +77,11 @@ class IvfIndex:
                     take = np.zeros(d.shape, bool)
                     np.put_along_axis(take, order, before < least, axis=1)
                 i, c = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(c.astype(np.int32))], ["qid", "q", "cluster"])
+                i = pa.array(i)
+                yield pa.RecordBatch.from_arrays([*(x.take(i) for x in b.columns), pa.array(c.astype(np.int32))], [*names, "cluster"])
 
         kind = queries.schema["qid"].dataType.simpleString()
-        return queries.select("qid", "vector", *(["kth"] if bounded else [])).mapInArrow(each, f"qid {kind}, q array<float>, cluster int")
+        return queries.select("qid", F.col("vector").cast("array<float>").alias("q"), *names[2:]).mapInArrow(each, f"qid {kind}, q array<float>, {'kth double, ' if bounded else ''}cluster int")
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
         """``qid, id, seq, distance, rank`` of the nearest rows, for ``queries(qid, vector)`` with distinct ``qid``.
@@ -87,15 +92,24 @@ class IvfIndex:
         Queries stay distributed; each meets the clusters' directories in a join on the cluster.
         """
         least = max(k, self.config.ef_search) if nprobe is None else max(1, int(nprobe * self.sizes.mean()))
-        found = self._probed(self._asked(queries, least, False), k)
+        found = self._probed(self._asked(queries, least, False), queries, k)
         kth = found.where(F.col("rank") == k).select("qid", F.col("distance").cast("double").alias("kth"))
-        return self._probed(self._asked(queries.join(kth, "qid", "left"), least, True), k)
-
-    def _probed(self, asked: DataFrame, k: int) -> DataFrame:
-        """Norms are taken once a row and once a query, not once a pair."""
-        met = self.table.join(asked.withColumn("nq", norm(F.col("q"))), "cluster")
-        norms = (F.col("nq"), F.col("nv")) if self.config.metric == COSINE else ()
-        return ranked(met.select("qid", "id", "seq", distance(self.config.metric, F.col("q"), F.col("vector"), *norms).alias("distance")), k)
+        return self._probed(self._asked(queries.join(kth, "qid", "left"), least, True), queries, k)
+
+    def _probed(self, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """Clusters are cut into parts of about PART rows, and queries into blocks: each part meets those of a block that
+        ask its cluster, and keeps k rows a query; see ``search.best``."""
+        spark, config = asked.sparkSession, self.config
+        ship(spark)
+        if k <= 0:
+            return ranked(queries.sparkSession.createDataFrame([], f"qid {kind_of(queries)}, {HIT}"), k)
+        n, most = blocks_of(queries)
+        blocks = 1 if n <= most else -(-n // (most // 2 + 1))
+        parts = F.element_at(F.array(*(F.lit(max(1, -(-int(s) // PART))) for s in self.sizes)), F.col("cluster") + 1)
+        left = self.table.withColumn("part", F.pmod(F.xxhash64("seq"), parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = asked.withColumnRenamed("q", "vector").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        keys = ["cluster", "part", "block"]
+        return ranked(run(stream(left, right, keys), keys, None, best(k, config.metric, True), f"qid {kind_of(queries)}, {HIT}"), k)
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
         return knn_batch(self.table.select("id", "seq", "vector"), queries, k, self.config.metric)
