@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vexel.config import COSINE, DOT, L2, Config, parse_metric
 from vexel.functions.distance import distance
-from vexel.operators.search import ranked
+from vexel.operators.search import completed, ranked
 from vexel.sources.folders import ship
 
 #: Highest layer, as a fixed bound of the draw.
@@ -369,6 +369,10 @@ class GraphIndex:
         many as there are rows the result is exact; less of it costs less and may miss some."""
         return rank(self.candidates(queries, k, dead), k, self.config.metric)
 
+    def exact(self, queries: DataFrame, rows: DataFrame, k: int, dead: DataFrame | None = None) -> DataFrame:
+        """As ``search``, and then exact: what the beam found bounds a check of the live ``rows(id, seq, vector)``."""
+        return completed(self.search(queries, k, dead), rows, queries, k, self.config.metric)
+
     def measured(self, queries: DataFrame, k: int) -> DataFrame:
         """``qid, measured``: how many nodes were compared for each query; the exact plan compares every row."""
         return self.candidates(queries, k).select("qid", "q", "measured", "seq").groupBy("qid").agg(F.max("measured").alias("measured"))
