@@ -57,3 +57,30 @@ def test_many_queries_meet_rows_by_blocks(spark, monkeypatch):
     for m, (all_, top) in want.items():
         assert len(all_) == 9000 and pick(search.pairs(rows, queries, m)) == all_ and pick(search.knn_batch(rows, queries, 3, m)) == top
     assert pick(search.knn_batch_arrow(rows, queries, 3)) == want["cosine"][1]
+
+
+def test_clients_share_states(spark, tmp_path, monkeypatch):
+    """Many clients in few states, over restarts; a batch calls the function once a state and not once a client."""
+    rng = np.random.default_rng(4)
+    rows = [(None if (c := rng.integers(40)) == 0 else f"c{c}", s, f"r{rng.integers(6)}", bool(rng.random() < 0.7)) for s in range(900)]
+    for own in (rows[:500], rows[500:]):
+        spark.createDataFrame(own, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = serve_requests(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), 3, buckets=4)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = sorted((tuple(r) for r in spark.read.schema(SERVED).parquet(f"{tmp_path}/out").collect()), key=lambda r: r[1])
+    assert got == plain(rows, 3)
+
+
+def test_larger_inputs_mean_more_files_not_more_batches_or_larger_tasks(spark, monkeypatch):
+    from vexel.plans import queries
+
+    data = "/root/testdata/sf0.001"
+    want = {n: sorted(map(tuple, queries.QUERIES[n](spark, data).collect())) for n in ("stream_requests", "stream_fold")}
+    made, new = [], queries.new_folder
+    monkeypatch.setattr(queries, "new_folder", lambda s: made.append(new(s)) or made[-1])
+    monkeypatch.setattr(queries, "FILE_ROWS", 60)
+    for name, own in (("stream_requests", "requests"), ("stream_fold", "log")):
+        assert sorted(map(tuple, queries.QUERIES[name](spark, data).collect())) == want[name]
+        files = [r.n for r in spark.read.parquet(f"{made[-1]}/{own}").groupBy("_metadata.file_path").count().withColumnRenamed("count", "n").collect()]
+        assert len(files) > 12 and max(files) < 150
+        assert len([f for f in __import__("os").listdir(f"{made[-1]}/checkpoint/offsets") if f.isdigit()]) == 3
