@@ -115,3 +115,57 @@ def test_groups_stay_whole_across_batches():
             got += [part.column("h").to_pylist()[a:b] for a, b in zip(at, at[1:], strict=False)]
         assert got == [[1, 1], [2] * 5, [3], [4, 4]]
     assert list(overlap._whole(iter([]))) == []
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Without the join that completes them, groups are those of checked fingerprint links; with it, all similar texts."""
+    r = np.random.default_rng(9)
+    base = list(r.choice(VOCAB, 400))
+    others = {far(" ".join(base), t): t for t in (" ".join(changed(base, r, n)) for n in (1, 1, 2, 2, 4, 6, 7, 8, 8, 8))}
+    near, apart = others[min(others)], others[max(others)]
+    assert min(others) <= 4 < max(others) and jaccard(grams(" ".join(base)), grams(apart)) >= 0.8
+    again = " ".join(["over and over once more"] * 300)
+    rows = [(1, " ".join(base)), (2, near), (3, apart), (4, again + " " + " ".join(r.choice(VOCAB, 40))), (5, again + " " + " ".join(r.choice(VOCAB, 40)))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(x.doc_id for x in simhash.keep_one(docs, width=5, least=0.8).collect()) == [1, 4, 5]
+    monkeypatch.setattr(overlap, "_parted", lambda pairs, tree: pairs.limit(0))
+    monkeypatch.setattr(overlap, "_grouped", lambda members, tree, w: members.limit(0))
+    assert sorted(x.doc_id for x in simhash.keep_one(docs, width=5, least=0.8).collect()) == [1, 3, 4, 5]
+
+
+def test_marks_are_the_fingerprints():
+    for text in (None, "", " \n", "a b", "a b c d e", " ".join(VOCAB), " ".join(VOCAB[:7] * 3)):
+        assert simhash.majority(overlap.hashes(text, 5)) == simhash.fingerprint(text, 5)
+
+
+def test_wide_parities():
+    """Never more differ than shingles do, whatever the widths; sets are told apart that few bits don't tell."""
+    r = np.random.default_rng(10)
+    for n, more in ((600, 10), (1000, 200), (1030, 300), (5000, 1200)):
+        a = np.unique(r.integers(-(1 << 62), 1 << 62, n))
+        b = np.unique(np.concatenate((a[more:], r.integers(-(1 << 62), 1 << 62, more))))
+        got = overlap.differing(overlap.wide(a), overlap.wide(b))
+        assert 1.2 * more < got <= len(np.setxor1d(a, b))
+        assert got == overlap.differing(overlap.wide(b), overlap.wide(a))
+    assert overlap.wide(np.arange(overlap.LONG)) is None
+    a, b = np.arange(600), np.arange(1030)  # 2048 and 4096 bits
+    assert overlap.differing(overlap.wide(a), overlap.wide(b)) == 430
+
+
+def test_sets_of_long_different_texts_stay(spark, monkeypatch):
+    """They share enough shingles to meet, too few to be similar, and too many for the narrow parities to tell."""
+    r = np.random.default_rng(12)
+    base = list(r.choice(VOCAB, 4000))
+    rows = [(i, " ".join(base[:3000] + list(r.choice(VOCAB, 1000)))) for i in range(4)]
+    assert 0.5 < jaccard(grams(rows[0][1]), grams(rows[1][1])) < 0.7
+    read, table = [], overlap.table
+
+    def spy(df, label):
+        got = table(df, label)
+        read.extend([got.count()] * (label == "overlap-sets"))
+        return got
+
+    monkeypatch.setattr(overlap, "table", spy)
+    got = simhash.keep_one(spark.createDataFrame([*rows, (9, rows[0][1] + " one more")], SCHEMA), width=5, least=0.8)
+    assert sorted(x.doc_id for x in got.collect()) == [0, 1, 2, 3]
+    assert sum(read) == 2

@@ -1,9 +1,10 @@
-"""Groups of texts by the exact similarity of their shingle sets: a prefix-filter join, whose buckets go by stars."""
+"""Groups of texts by the exact similarity of their shingle sets: links that fingerprints find, checked exactly, completed
+by a prefix-filter join, whose buckets go by stars."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,15 @@ SAMPLE, LAST = 8000, 200_000
 BLOCK = 1024
 #: Bits that hold, for each text, the parity of its shingles with that hash: two texts differ in as many at least.
 PARITY = 1024
+#: Of texts with more shingles than this, so few bits say little; they have parities of two to four bits a shingle besides.
+LONG = 512
 #: What tells one pair of a bucket's blocks from another.
 KEY = ("h", "lo", "hi")
 TINY = 1e-9
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct XXH64 of the ``width``-word shingles (of the whole sequence if it is shorter), sorted as longs."""
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the ``width``-word shingles (of the whole sequence if it is shorter) in order, repeats included, as longs."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined, k, h = b" ".join(words), min(width, len(words)), xxhash.xxh64_intdigest
     if len(words) <= width:
@@ -36,7 +39,30 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     got = [h(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-    return np.unique(np.array(got, np.uint64).view(np.int64))
+    return np.array(got, np.uint64).view(np.int64)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct ``hashes``, sorted."""
+    return np.unique(hashes(text, width))
+
+
+def parities(own: np.ndarray, bits: int) -> np.ndarray:
+    """Of each value of the hashes' last bits, whether an odd number of ``own`` has it; packed. Halves laid over each other
+    give the parities of half as many bits."""
+    return np.packbits(np.bincount(own & (bits - 1), minlength=bits) & 1)
+
+
+def wide(own: np.ndarray) -> bytes | None:
+    return parities(own, 2 << (len(own) - 1).bit_length()).tobytes() if len(own) > LONG else None
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """How many parities differ, of as many as both have."""
+    a, b = (np.frombuffer(x, np.uint64) for x in (a, b))
+    while len(a) != len(b):
+        a, b = (np.bitwise_xor(*np.split(x, 2)) if len(x) > min(len(a), len(b)) else x for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def place(id_col: str):
@@ -66,8 +92,8 @@ def _similar(pairs: DataFrame, rows: DataFrame, text_col: str, width: int, least
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), width) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "h"])
 
     pairs = cut(pairs)
-    met = pairs.select(F.col("a").alias("__row")).union(pairs.select(F.col("b").alias("__row"))).distinct()
-    texts = picked(rows.select("__row", F.col(text_col).alias("text")), cut(met), "__row")
+    pairs = cut(_apart(pairs, rows, least))
+    texts = picked(rows.select("__row", F.col(text_col).alias("text")), _ends(pairs), "__row")
     sets = table(arrow(texts, "node long, h array<long>", each), "overlap-sets")
     at = written(pairs.sparkSession)[-1]
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
@@ -78,9 +104,34 @@ def _similar(pairs: DataFrame, rows: DataFrame, text_col: str, width: int, least
     return got
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("a").alias("__row")).union(pairs.select(F.col("b").alias("__row"))).distinct())
+
+
+def _apart(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """``pairs`` without those of long texts whose wide parities tell that they are too different; a wide parity is a 16th
+    to a 32nd of the set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a_, b_, both, wa, wb = (c.to_pylist() for c in b.columns)
+            most = (1 - least) / (1 + least)
+            ok = [x is None or y is None or differing(x, y) <= most * n + TINY for x, y, n in zip(wa, wb, both, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    own = picked(rows.select("__row", "__n", "__wide"), _ends(pairs), "__row")
+    met = pairs
+    for c in ("b", "a"):
+        met = met.join(own.select(F.col("__row").alias(c), F.col("__n").alias(f"n{c}"), F.col("__wide").alias(f"w{c}")), c)
+    return arrow(met.select("a", "b", F.col("na") + F.col("nb"), "wa", "wb"), "a long, b long", each)
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, mark: Callable, near: Callable) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``__row``, materialised; and ``at, root`` for each distinct shingle set: its first row, its group.
 
+    Fingerprints come first: ``mark`` makes one of a text's ``hashes``, ``near`` gives pairs ``a, b`` of ``node, fp`` whose
+    fingerprints link. Those that reach ``least`` are the first groups, and the join below adds what fingerprints miss.
+
     In any one order of all shingles, two sets that share ``least`` of their union share one of the first
     size - ceil(least * size) + 1 of each (their prefixes); the first that they share is there for both, and few enough
     lie before it to leave room for the rest. So buckets of prefix shingles hold every such pair. The order puts the
@@ -95,27 +146,35 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, size, first, odd = [], [], [], []
+            sig, size, first, odd, fp, more = [], [], [], [], [], []
             for t in b.column(at):
-                own = shingles(t.as_py(), width)
+                own = hashes(t.as_py(), width)
+                fp.append(mark(own))
+                own = np.unique(own)
+                more.append(wide(own))
                 sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                 size.append(len(own))
-                odd.append(np.packbits(np.bincount(own & (PARITY - 1), minlength=PARITY) & 1).view(np.int64))
+                odd.append(parities(own, PARITY).view(np.int64))
                 rank = np.full(len(own), -1)
                 if len(known):
                     i = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     rank = np.where(known[i] == own, order[i], -1)
                 first.append(own[np.lexsort((own, rank))][: len(own) - math.ceil(least * len(own) - TINY) + 1])
-            more = [pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "__sig", "__n", "__p", "__odd"])
+            longs = pa.list_(pa.int64())
+            got = [pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(first, longs), pa.array(odd, longs), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *got], [*b.schema.names, *(f.name for f in fields)])
 
-    fields = [T.StructField("__sig", T.BinaryType()), T.StructField("__n", T.IntegerType()), T.StructField("__p", T.ArrayType(T.LongType())), T.StructField("__odd", T.ArrayType(T.LongType()))]
+    longs = T.ArrayType(T.LongType())
+    fields = [T.StructField(*f) for f in (("__sig", T.BinaryType()), ("__n", T.IntegerType()), ("__p", longs), ("__odd", longs), ("__fp", T.LongType()), ("__wide", T.BinaryType()))]
     made = arrow(docs, T.StructType([*docs.schema.fields, *fields]), each)
     rows = table(made.withColumn("__row", F.monotonically_increasing_id()), "overlap-rows")
     slim = rows.select("__sig", place(id_col))
     first = table(slim.groupBy("__sig").agg(F.min("at").alias("at")).select("at"), "overlap-classes")
 
     again = cut(rows.select("__row").join(first.select(F.col("at.row").alias("__row")).hint("shuffle_hash"), "__row", "left_anti"))
+    sketches = rows.select(F.col("__row").alias("node"), F.col("__n").alias("n"), F.col("__odd").alias("odd"))
+    marked = picked(rows.select("__row", "__fp"), again, "__row", "left_anti").select(F.col("__row").alias("node"), F.col("__fp").alias("fp"))
+    tree = components(_similar(_close(near(marked), sketches, least), rows, text_col, width, least))
     own = picked(rows.select("__row", "__n", "__p"), again, "__row", "left_anti")
     entries = own.select(F.posexplode("__p").alias("pos", "h"), F.struct(F.col("__row").alias("node"), F.col("__n").alias("n")).alias("x"))
     entries = entries.select("h", F.struct("x.node", "x.n", "pos").alias("x"))
@@ -131,17 +190,16 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
         rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
         return (F.least(na, nb) >= least * F.greatest(na, nb) - TINY) & (rest >= least / (1 + least) * (na + nb) - TINY)
 
-    sketches = rows.select(F.col("__row").alias("node"), F.col("__odd").alias("odd"))
     stars = met.where("x.node <> lead.node").where(room("lead", "x"))
-    stars = stars.select(F.col("lead.node").alias("a"), F.col("x.node").alias("b"), (F.col("lead.n") + F.col("x.n")).alias("both")).distinct()
+    stars = _parted(stars.select(F.col("lead.node").alias("a"), F.col("x.node").alias("b")).distinct(), tree)
     links = _similar(_close(stars, sketches, least), rows, text_col, width, least)
-    tree = components(links)
+    tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
     left = met.where("c > 2 and x.node <> lead.node").select("h", "c", "x.*")
     nb = F.ceil(F.col("c") / BLOCK).cast("int")
     blocks = _grouped(left, tree, w).select("h", "node", "n", "pos", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb).cast("int").alias("i"))
     blocks = blocks.select("h", "node", "n", "pos", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     blocks = blocks.select("h", "node", "n", "pos", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    blocks = table(blocks.join(sketches, "node"), "overlap-blocks")
+    blocks = table(blocks.join(sketches.select("node", "odd"), "node"), "overlap-blocks")
     discard(docs.sparkSession, at_met)
     release(docs.sparkSession)
     at_blocks = written(docs.sparkSession)[-1]
@@ -156,13 +214,21 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
 
 
 def _close(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Of ``pairs(a, b, both)``, both: the sum of the set sizes, those whose parities leave room for ``least``. Only these
-    need their whole sets; the parities are a few bytes a text, and every pair that reaches ``least`` passes."""
+    """Those ``pairs(a, b)`` whose parities leave room for ``least``. Only these need their whole sets; the parities are a
+    few bytes a text, and every pair that reaches ``least`` passes."""
     met = pairs
     for c in ("b", "a"):
-        met = met.join(sketches.select(F.col("node").alias(c), F.col("odd").alias(f"odd_{c}")), c)
+        met = met.join(sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
     apart = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY // 64)), F.lit(0))
-    return met.where(apart <= (1 - least) / (1 + least) * F.col("both") + TINY).select("a", "b")
+    return met.where(apart <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + TINY).select("a", "b")
+
+
+def _parted(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` whose ends are in different groups so far."""
+    got = pairs
+    for c in ("b", "a"):
+        got = got.join(tree.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")), c, "left")
+    return got.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
 
 def _grouped(members: DataFrame, tree: DataFrame, w) -> DataFrame:

@@ -18,6 +18,8 @@ BITS = 64
 SEED = 42
 #: A bucket with more fingerprints than this is compared in pairs of blocks, by as many tasks.
 BLOCK = 4096
+#: What a text without words has as its one shingle.
+NO_WORD = overlap.hashes("", 1)[0]
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -38,6 +40,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(ends_k)).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """``fingerprint`` of a text, given the ``overlap.hashes`` of its shingles."""
+    if len(hashes) == 1 and hashes[0] == NO_WORD:
+        return 0
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        votes += np.unpackbits(hashes[at : at + 65536].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """``id, fp`` (the 64 bits as a signed long) of each row; repeated rows stay, null text has fingerprint zero."""
 
@@ -178,6 +190,17 @@ def rooted(rows: DataFrame, limit: int = 4) -> DataFrame:
     return known.join(tree, known.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def linked(rows: DataFrame, limit: int = 4) -> DataFrame:
+    """Pairs ``a, b`` of ``rows(node, fp)`` that hold together what fingerprints link: of equal ones the least node with each
+    other, of ``links`` the least nodes of both."""
+    low = table(rows.groupBy("fp").agg(F.min("node").alias("low")), "simhash-least")
+    same = rows.join(low, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = links(low.select("fp"), limit)
+    for c in ("a", "b"):
+        near = near.join(low.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), c)
+    return same.union(near.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
     """``id, fp, component_id`` per row of ``docs``: groups linked by fingerprints at most ``limit`` bits apart.
 
@@ -194,15 +217,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, least: float | None = None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the least id (of null or equal ids, any one).
 
-    ``least``: groups are then those of all pairs of texts with that similarity of their shingle sets, found exactly (see
-    ``overlap``) at any distance of the fingerprints, so that ``limit`` has no part in it. Null, empty and wordless texts
-    are equal to each other; an empty table stays empty. Columns named like the added ones (``__fp``, ``__row``,
-    ``__sig``, ``__n``, ``__p``, ``__odd``) are dropped, all others stay.
+    ``least``: groups are then those of all pairs of texts with that similarity of their shingle sets. Links at ``limit`` or
+    fewer differing bits are checked on the whole sets and are the first groups; an exact join (see ``overlap``) adds the
+    links whose fingerprints are farther apart, so ``limit`` decides what is left to it, not the result. Null, empty and
+    wordless texts are equal to each other; an empty table stays empty. Columns named like the added ones (``__fp``,
+    ``__row``, ``__sig``, ``__n``, ``__p``, ``__odd``, ``__wide``) are dropped, all others stay.
     """
-    docs = docs.drop(*[c for c in ("__fp", "__row", "__sig", "__n", "__p", "__odd") if c not in (id_col, text_col)])
+    docs = docs.drop(*[c for c in ("__fp", "__row", "__sig", "__n", "__p", "__odd", "__wide") if c not in (id_col, text_col)])
     names = docs.columns
     if least:
-        rows, classes = overlap.classes(docs, id_col, text_col, width, least)
+        rows, classes = overlap.classes(docs, id_col, text_col, width, least, majority, lambda marked: linked(marked, limit))
     else:
         at = names.index(text_col)
 
