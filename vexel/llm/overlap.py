@@ -175,6 +175,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
     sketches = rows.select(F.col("__row").alias("node"), F.col("__n").alias("n"), F.col("__odd").alias("odd"))
     marked = picked(rows.select("__row", "__fp"), again, "__row", "left_anti").select(F.col("__row").alias("node"), F.col("__fp").alias("fp"))
     tree = components(_similar(_close(near(marked), sketches, least), rows, text_col, width, least))
+    release(docs.sparkSession)
     own = picked(rows.select("__row", "__n", "__p"), again, "__row", "left_anti")
     entries = own.select(F.posexplode("__p").alias("pos", "h"), F.struct(F.col("__row").alias("node"), F.col("__n").alias("n")).alias("x"))
     entries = entries.select("h", F.struct("x.node", "x.n", "pos").alias("x"))
@@ -193,7 +194,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
     stars = met.where("x.node <> lead.node").where(room("lead", "x"))
     stars = _parted(stars.select(F.col("lead.node").alias("a"), F.col("x.node").alias("b")).distinct(), tree)
     links = _similar(_close(stars, sketches, least), rows, text_col, width, least)
-    tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    tree = _widened(tree, links)
     left = met.where("c > 2 and x.node <> lead.node").select("h", "c", "x.*")
     nb = F.ceil(F.col("c") / BLOCK).cast("int")
     blocks = _grouped(left, tree, w).select("h", "node", "n", "pos", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb).cast("int").alias("i"))
@@ -208,7 +209,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
         members = members.repartition(parts(docs.sparkSession), *KEY).sortWithinPartitions(*KEY)
         pairs = arrow(members.select(*KEY, "node", "n", "pos", "root", "odd"), "a long, b long", _compare(least, forest))
         more = _similar(pairs.distinct(), rows, text_col, width, least)
-        tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        tree = _widened(tree, more)
     discard(docs.sparkSession, at_blocks)
     return rows, first.join(tree, first.at.row == tree.node, "left").select("at", F.coalesce("root", F.col("at.row")).alias("root"))
 
@@ -223,6 +224,13 @@ def _close(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return met.where(apart <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + TINY).select("a", "b")
 
 
+def _widened(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups with more ``links``, a checkpoint; if there is none, those of before."""
+    if not links.limit(1).count():
+        return tree
+    return components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def _parted(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """``pairs(a, b)`` whose ends are in different groups so far."""
     got = pairs

@@ -139,7 +139,8 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     spread = fps.select("fp", F.explode(F.array([F.struct(F.lit(o).alias("o"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("k")) for o, (mask, _) in enumerate(keys)])).alias("e"))
     spread = spread.select("e.o", "e.k", "fp")
     met = spread.groupBy("o", "k").agg(F.count("*").alias("n")).where("n > 1")
-    counted = spread.join(met, ["o", "k"])  # a hot bucket is split by the join
+    # a hot bucket is split by the join; never all entries to every task, which a small table's compressed size invites
+    counted = spread.join(met.hint("shuffle_hash"), ["o", "k"])
     tests = {o: [(np.uint64(m), b) for m, b in t] for o, (_, t) in enumerate(keys)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
