@@ -17,6 +17,7 @@ def _begin(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if at in common.made(spark) and not any(at.split(":", 1)[-1].lstrip("/") in f for f in own):
             common.discard(spark, at)
     _stage_tables.clear()
+    common.release(spark)
     return docs.select(*COLUMNS)
 
 
@@ -42,7 +43,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group: five-word shingles, a similarity of 0.8 or more.
 
-    All such pairs link, found by an exact join of the shingle sets, however far their fingerprints are apart. Texts of
+    Fingerprints at four or fewer differing bits give links that are checked on the whole sets; an exact join of the sets
+    adds those of texts whose fingerprints are farther apart, so that all such pairs link. Texts of
     fewer than five words are one shingle, and those without a word link with each other; null texts do so too. Of equal
     ids, and of null ids (which come last), the first row stays; an empty table stays empty.
     """

@@ -128,7 +128,7 @@ def test_fingerprints_link_first(spark, monkeypatch):
     rows = [(1, " ".join(base)), (2, near), (3, apart), (4, again + " " + " ".join(r.choice(VOCAB, 40))), (5, again + " " + " ".join(r.choice(VOCAB, 40)))]
     docs = spark.createDataFrame(rows, SCHEMA)
     assert sorted(x.doc_id for x in simhash.keep_one(docs, width=5, least=0.8).collect()) == [1, 4, 5]
-    monkeypatch.setattr(overlap, "_parted", lambda pairs, tree: pairs.limit(0))
+    monkeypatch.setattr(overlap, "_stars", lambda met, least: met.select("x.node", "lead.node").limit(0))
     monkeypatch.setattr(overlap, "_grouped", lambda members, tree, w: members.limit(0))
     assert sorted(x.doc_id for x in simhash.keep_one(docs, width=5, least=0.8).collect()) == [1, 3, 4, 5]
 

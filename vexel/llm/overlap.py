@@ -129,14 +129,14 @@ def _apart(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, mark: Callable, near: Callable) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``__row``, materialised; and ``at, root`` for each distinct shingle set: its first row, its group.
 
-    Fingerprints come first: ``mark`` makes one of a text's ``hashes``, ``near`` gives pairs ``a, b`` of ``node, fp`` whose
-    fingerprints link. Those that reach ``least`` are the first groups, and the join below adds what fingerprints miss.
+    ``mark`` makes a fingerprint of a text's ``hashes``, ``near`` gives pairs ``a, b`` of ``node, fp`` whose fingerprints
+    link. Those that reach ``least`` make the first groups, and the join below adds what fingerprints miss.
 
     In any one order of all shingles, two sets that share ``least`` of their union share one of the first
     size - ceil(least * size) + 1 of each (their prefixes); the first that they share is there for both, and few enough
     lie before it to leave room for the rest. So buckets of prefix shingles hold every such pair. The order puts the
     frequent ones last, which keeps buckets small. Equal sets are one class before. In each bucket the least row is
-    compared with all others. Of what is then still in different groups, spanning forests of the pairs that may reach
+    compared with all others, along with the fingerprints' pairs. Of what is then still in different groups, spanning forests of the pairs that may reach
     ``least`` by their sizes, places and parities are checked, and at last all such pairs left between groups. So a dense
     group costs its size and nothing is lost. Every link is checked on the whole sets.
     """
@@ -174,8 +174,6 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
     again = cut(rows.select("__row").join(first.select(F.col("at.row").alias("__row")).hint("shuffle_hash"), "__row", "left_anti"))
     sketches = rows.select(F.col("__row").alias("node"), F.col("__n").alias("n"), F.col("__odd").alias("odd"))
     marked = picked(rows.select("__row", "__fp"), again, "__row", "left_anti").select(F.col("__row").alias("node"), F.col("__fp").alias("fp"))
-    tree = components(_similar(_close(near(marked), sketches, least), rows, text_col, width, least))
-    release(docs.sparkSession)
     own = picked(rows.select("__row", "__n", "__p"), again, "__row", "left_anti")
     entries = own.select(F.posexplode("__p").alias("pos", "h"), F.struct(F.col("__row").alias("node"), F.col("__n").alias("n")).alias("x"))
     entries = entries.select("h", F.struct("x.node", "x.n", "pos").alias("x"))
@@ -185,16 +183,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
     at_met = written(docs.sparkSession)[-1]
     release(docs.sparkSession)
 
-    def room(a: str, b: str):
-        """False only for pairs that are too different in size, or share too little from here on to reach ``least``."""
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-        return (F.least(na, nb) >= least * F.greatest(na, nb) - TINY) & (rest >= least / (1 + least) * (na + nb) - TINY)
-
-    stars = met.where("x.node <> lead.node").where(room("lead", "x"))
-    stars = _parted(stars.select(F.col("lead.node").alias("a"), F.col("x.node").alias("b")).distinct(), tree)
-    links = _similar(_close(stars, sketches, least), rows, text_col, width, least)
-    tree = _widened(tree, links)
+    first_pairs = near(marked).union(_stars(met, least)).distinct()
+    tree = components(_similar(_close(first_pairs, sketches, least), rows, text_col, width, least))
     left = met.where("c > 2 and x.node <> lead.node").select("h", "c", "x.*")
     nb = F.ceil(F.col("c") / BLOCK).cast("int")
     blocks = _grouped(left, tree, w).select("h", "node", "n", "pos", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb).cast("int").alias("i"))
@@ -231,12 +221,13 @@ def _widened(tree: DataFrame, links: DataFrame) -> DataFrame:
     return components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
-def _parted(pairs: DataFrame, tree: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` whose ends are in different groups so far."""
-    got = pairs
-    for c in ("b", "a"):
-        got = got.join(tree.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")), c, "left")
-    return got.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
+def _stars(met: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of each bucket's least row and the others, without those that are too different in size, or share too
+    little from here on, to reach ``least``."""
+    na, nb = F.col("lead.n"), F.col("x.n")
+    rest = F.least(na - F.col("lead.pos"), nb - F.col("x.pos"))
+    room = (F.least(na, nb) >= least * F.greatest(na, nb) - TINY) & (rest >= least / (1 + least) * (na + nb) - TINY)
+    return met.where("x.node <> lead.node").where(room).select(F.col("lead.node").alias("a"), F.col("x.node").alias("b"))
 
 
 def _grouped(members: DataFrame, tree: DataFrame, w) -> DataFrame:
