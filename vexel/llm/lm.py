@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import arrow, discard, made, read, table
+from vexel.llm.common import arrow, discard, made, parts, read, release, table
 
 #: Contexts are suffixes of the running text of one word, two words, and so on up to so many.
 DEPTH = 4
@@ -22,7 +23,8 @@ LEAST, TWICE = 48, 2
 #: tell better than the context's own suffix does, each occurrence being told by the others.
 SUCCESSOR_GAIN, GAIN = 1.0, 12.0
 #: Tables up to these numbers of rows go to every task (8 to 16 bytes a row); the rest of a larger one is joined.
-HOT_CONTEXTS, HOT_ENTRIES, HOT_WORDS, SMALL = 4_000_000, 4_000_000, 1_000_000, 200_000
+HOT_CONTEXTS, HOT_ENTRIES, HOT_WORDS, SMALL = 4_000_000, 4_000_000, 1_000_000, 500_000
+#: Pairs that a task adds up before it sends them on, a few times so many.
 HELD = 400_000
 #: Added to a back-off (never above 0, nor below -9) where successors are missing in the tasks.
 MARK = -16.0
@@ -62,57 +64,105 @@ def key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _one(w, _one(h, np.full(len(h), SEED, np.uint64)))
 
 
-def contexts(before: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Length, key and existence of the context of each token, for all lengths. ``before``: the word before each token."""
-    h = key(np.zeros(len(before), np.uint64), before)
-    for k in range(1, DEPTH + 1):
-        if k > 1:
-            h = key(np.concatenate((h[:1], h[:-1])), before)
-        yield k, h, pos >= k - 1
-
-
 def held_out(id_col: str):
     """crc32 of the id as text, mod 5, is 1; null ids are training rows."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-class Keys(dict):
-    """Keys of words, each hashed once as long as it is remembered."""
+class Codes(dict):
+    """Numbers of words, by first occurrence."""
 
     def __missing__(self, word: bytes) -> int:
-        got = self[word] = word_key(word)
+        got = self[word] = len(self)
         return got
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, which compress better."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def joined(data: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, n).T.copy().view(kind).ravel()
+
+
+def shrunk(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, held, toks, row``: each text's words as 8-byte keys; a written table."""
+    """A written table, one row for each block of texts (an Arrow batch): the ids, which are held out, the number of the
+    first row, the numbers of words, the 8-byte keys of the block's different words, and the words by their place there."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys()
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            if len(keys) > HELD:
-                keys.clear()
-            out = []
-            for t in b.column(1):
-                words = (t.as_py() or b"").lower().split()
-                out.append(np.fromiter(map(keys.__getitem__, words), "<u8", len(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "toks"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    got = arrow(src, "id long, toks binary", each)
-    return table(got.select("id", held_out("id").alias("held"), "toks", F.monotonically_increasing_id().alias("row")), "lm-tokens")
-
-
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of a batch's texts, an end after each: the token, the word before, the place; and where texts begin."""
-    texts = [np.frombuffer(t.as_py(), "<u8") for t in column]
-    n = np.array([len(t) + 1 for t in texts])
-    at = np.cumsum(n) - n
-    sym, before = np.full(n.sum(), END), np.full(n.sum(), START)
-    for t, a in zip(texts, at.tolist(), strict=True):
-        sym[a : a + len(t)] = t
-        before[a + 1 : a + 1 + len(t)] = t
-    return sym, before, np.arange(len(sym)) - np.repeat(at, n), at
+            if not b.num_rows:
+                continue
+            codes, texts = Codes(), []
+            for t in b.column(2):
+                own = (t.as_py() or b"").lower().split()
+                texts.append(np.fromiter(map(codes.__getitem__, own), np.uint32, len(own)))
+            words = np.fromiter(map(word_key, codes), np.uint64, len(codes))
+            sizes = np.array([len(t) for t in texts], np.uint32)
+            cols = [[b.column(0).to_pylist()], [b.column(1).to_pylist()], [row], [sizes.tobytes()], [words.tobytes()], [shrunk(planes(np.concatenate(texts)))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            row += b.num_rows
+
+    names = ["id", "held", "row", "sizes", "words", "codes"]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    src = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), F.col(text_col).cast("binary").alias("text"))
+    got = arrow(src, "id array<long>, held array<boolean>, row long, sizes binary, words binary, codes binary", each)
+    return table(got, "lm-tokens")
+
+
+class Block:
+    """The tokens of a block of texts, an end after each: ``sym`` and ``before`` (the word before, or the start) by their
+    places in ``keys``, and the place in the text; ``at``: where texts begin."""
+
+    def __init__(self, held: list[bool], sizes: bytes, words: bytes, codes: bytes):
+        n = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        size = int(n.sum())
+        words = np.frombuffer(words, np.uint64)
+        self.keys = np.concatenate((words, np.array([START, END])))
+        self.n = n + 1
+        self.at = np.cumsum(self.n) - self.n
+        self.sym = np.full(size + len(n), len(words) + 1)
+        inner = np.ones(len(self.sym), bool)
+        inner[self.at + n] = False
+        self.sym[inner] = joined(pa.decompress(codes, 4 * size, codec="zstd", asbytes=True), np.uint32, size)
+        self.before = np.concatenate((self.sym[:1], self.sym[:-1]))
+        self.before[self.at] = len(words)
+        self.pos = np.arange(len(self.sym)) - np.repeat(self.at, self.n)
+        self.train = np.repeat(~np.array(held, bool), self.n)
+
+    def contexts(self, first: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length from one word on: the tokens, ascending, that may have a candidate context so long, and the
+        contexts' keys. ``first``: which words of ``keys`` may be one; ``bits``: the sieve of the candidates of two
+        words. Each two neighbours in a longer candidate are one of these."""
+        one = key(np.zeros(len(self.keys), np.uint64), self.keys)
+        i = np.flatnonzero(first[self.before])
+        yield i, one[self.before[i]]
+        ok, h = self.pos >= 1, one[self.before]
+        for k in range(2, DEPTH + 1):
+            i = np.flatnonzero(ok)
+            longer = key(h[i - 1], self.keys[self.before[i]])
+            if k == 2:
+                maybe = sifted(bits, longer)
+                i, longer = i[maybe], longer[maybe]
+            yield i, longer
+            h = np.zeros(len(self.sym), np.uint64)
+            h[i] = longer
+            there = np.zeros(len(self.sym), bool)
+            there[i] = True
+            ok = there & np.concatenate((there[:1], there[:-1])) & (self.pos >= k)
+
+
+def opened(b: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
+    """Blocks of a batch that has their columns."""
+    cols = [b.column(b.schema.get_field_index(c)) for c in ("held", "sizes", "words", "codes")]
+    for r in range(b.num_rows):
+        yield r, Block(*(c[r].as_py() for c in cols))
 
 
 def stacked(pick: list[np.ndarray], what: list[np.ndarray], at: np.ndarray) -> pa.Array:
@@ -123,41 +173,84 @@ def stacked(pick: list[np.ndarray], what: list[np.ndarray], at: np.ndarray) -> p
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(what[pick].view(np.int64)))
 
 
-def summed(df: DataFrame, names: list[str], of) -> DataFrame:
-    """Counts of what ``of(column)`` gives for each batch: arrays, one a name. Added up in the task as far as HELD * 4
-    different ones, then by an aggregate."""
+def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``h, w`` with numbers, equal ones added up, and the pairs' keys, ascending."""
+    h, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    k = key(h, w)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    n = np.add.reduceat(n[order], first)
+    order = order[first]
+    return h[order], w[order], n, k[first]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([(c, np.int64) for c in names])
-        have, num = np.zeros(0, kind), np.zeros(0, np.int64)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(have), 100_000):
-                part = have[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[c])) for c in names), pa.array(num[a : a + 100_000])], [*names, "n"])
+def counted(blocks: DataFrame, of: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, least: int, label: str, heavy: np.ndarray | None = None, known=None) -> DataFrame:
+    """``h, w, n``, a written table: how often the pairs that ``of(block)`` counts occur, ``least`` times or more.
+
+    Tasks add up their pairs and send them on by buckets, in compressed arrays; a bucket is then added up. Pairs are
+    dealt by their keys; if ``heavy`` is given, by ``h``, so that an ``h`` is in one bucket, but for those of ``heavy``.
+    ``known``: broadcast logarithms of shares of words; then ``low`` is the share of ``w``, null if not there.
+    """
+
+    def sent(h: np.ndarray, w: np.ndarray, n: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        by = k
+        if heavy is not None:
+            by = np.where(np.isin(h, heavy), k, h)
+            order = np.argsort(by)
+            h, w, n, by = h[order], w[order], n[order], by[order]
+        bucket = (by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            hs, hi = np.unique(h[a:z], return_inverse=True)
+            ws, wi = np.unique(w[a:z], return_inverse=True)
+            order = np.lexsort((wi, hi))
+            data = hs.tobytes() + ws.tobytes() + planes(np.bincount(hi)) + planes(wi[order].astype(np.uint32)) + planes(n[a:z][order])
+            cols = [[int(bucket[a])], [len(hs)], [len(ws)], [z - a], [shrunk(data)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, size = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [c.view(np.int64) for c in of(b.column(0))]
-            new = np.empty(len(cols[0]) + len(have), kind)
-            for c, x in zip(names, cols, strict=True):
-                new[c] = np.concatenate((have[c], x))
-            weight = np.concatenate((num, np.ones(len(cols[0]), np.int64)))
-            # any order that brings equal ones together will do: one hash sorts faster than several columns
-            whole = key(*(np.ascontiguousarray(new[c]).view(np.uint64) for c in names)) if len(names) == 2 else new[names[0]]
-            order = np.argsort(whole)
-            new, weight = new[order], weight[order]
-            first = np.concatenate(([True], np.any([new[c][1:] != new[c][:-1] for c in names], axis=0))) if len(new) else np.zeros(0, bool)
-            have = new[first]
-            num = np.add.reduceat(weight, np.flatnonzero(first)) if len(new) else weight
-            if len(have) > 4 * HELD:
-                yield from out()
-                have, num = np.zeros(0, kind), np.zeros(0, np.int64)
-        yield from out()
-
-    schema = ", ".join(f"{c} long" for c in [*names, "n"])
-    return arrow(df.select("toks"), schema, each).groupBy(*names).agg(F.sum("n").alias("n"))
+            for _, block in opened(b):
+                own = of(block)
+                if len(own[0]):
+                    have.append(own)
+                    size += len(own[0])
+                if size > 5 * HELD:
+                    new = added(have)
+                    have, size = [new[:3]], len(new[0])
+                    if size > 3 * HELD:
+                        yield from sent(*new)
+                        have, size = [], 0
+        if have:
+            yield from sent(*added(have))
+
+    def total(group: pa.Table) -> pa.Table:
+        own = []
+        for r in group.to_pylist():
+            nh, nw, m = r["nh"], r["nw"], r["m"]
+            ends = np.cumsum([8 * nh, 8 * nw, 8 * nh, 4 * m, 8 * m]).tolist()
+            data = pa.decompress(r["data"], ends[-1], codec="zstd", asbytes=True)
+            hs, ws, runs, wi, n = (data[a:z] for a, z in zip([0, *ends], ends, strict=False))
+            hs, ws = np.frombuffer(hs, np.uint64), np.frombuffer(ws, np.uint64)
+            own.append((np.repeat(hs, joined(runs, np.int64, nh)), ws[joined(wi, np.uint32, m)], joined(n, np.int64, m)))
+        h, w, n, _ = added(own)
+        del own
+        often = n >= least
+        h, w, n = h[often], w[often], n[often]
+        order = np.argsort(h)
+        h, w, n = h[order], w[order], n[order]
+        cols = {"h": pa.array(h.view(np.int64)), "w": pa.array(w.view(np.int64)), "n": pa.array(n)}
+        if known is not None:
+            low = known.value.get(w)
+            cols["low"] = pa.array(10.0**low, pa.float32(), mask=np.isnan(low))
+        got = pa.table(cols)
+        return pa.Table.from_batches(got.to_batches(max_chunksize=100_000), got.schema)
+
+    names, kinds = ["bucket", "nh", "nw", "m", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    rows = arrow(blocks.select("held", "sizes", "words", "codes"), "bucket long, nh int, nw int, m int, data binary", each)
+    return table(rows.groupBy("bucket").applyInArrow(total, "h long, w long, n long" + ", low float" * (known is not None)), label)
 
 
 def meet(rows: DataFrame, other: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
@@ -206,6 +299,12 @@ def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys >> np.uint64(64 - SIEVE + 3), np.uint8(1) << ((keys >> np.uint64(64 - SIEVE)) & np.uint64(7)).astype(np.uint8)
 
 
+def sifted(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which may be among the keys of a sieve."""
+    at, bit = slots(keys)
+    return (bits[at] & bit) > 0
+
+
 def sieve(keys: DataFrame) -> np.ndarray:
     """Bits, 2^SIEVE whatever the number of ``keys(k)``, that tell of most other keys that they are none of these."""
 
@@ -213,87 +312,112 @@ def sieve(keys: DataFrame) -> np.ndarray:
         on = np.zeros(1 << SIEVE, bool)
         for b in batches:
             on[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([shrunk(np.packbits(on, bitorder="little").tobytes())], pa.binary())], ["bits"])
 
     out = np.zeros(1 << SIEVE - 3, np.uint8)
     for r in arrow(keys.coalesce(16), "bits binary", each).toLocalIterator():
-        out |= np.frombuffer(r.bits, np.uint8)
+        out |= np.frombuffer(pa.decompress(r.bits, len(out), codec="zstd", asbytes=True), np.uint8)
     return out
 
 
 class Tree:
-    """Tables of the retained contexts ``k, h, n, back`` and their kept successors ``k, h, w, n, d``; log10.
+    """Tables of the retained contexts ``k, h, n, back`` and their kept successors ``k, h, w, d``; log10.
 
     A token costs its baseline share and, for each context of it that is retained, ``d`` if the token is a kept
     successor there, else ``back``: d is what the smoothed share differs from that of the context's suffix.
     """
 
-    def __init__(self, contexts: DataFrame | None, entries: DataFrame | None, floor: float):
-        self.contexts, self.entries, self.floor = contexts, entries, floor
+    def __init__(self, contexts: DataFrame | None, entries: DataFrame | None):
+        self.contexts, self.entries = contexts, entries
 
 
-def grow(tokens: DataFrame, words: DataFrame) -> tuple[Tree, int]:
-    """The tree and the number of training tokens. Level by level: the contexts of k + 1 words that occur LEAST times
-    are among the successors counted for those of k words, so each level counts successors of its candidates only."""
-    spark, train = tokens.sparkSession, tokens.where("not held")
-    n_all, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    floor = n_all + 0.5 * (v + 1)
-    share = words.select("w", ((F.col("n") + 0.5) / F.lit(floor)).cast("float").alias("low"))
+def grow(blocks: DataFrame, words: DataFrame, n_all: int, floor: float, known, sure: int) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The tree, and the sieves of the candidates of one word and of two.
+
+    The contexts of k + 1 words that occur LEAST times are among the successors counted for those of k words. The
+    successors of one word are counted first; one further pass counts those of all longer contexts that consist of
+    candidates of two words, and each level takes what belongs to its own candidates. ``known``: broadcast logarithms of
+    the shares of words that occur ``sure`` times or more.
+    """
+    spark = blocks.sparkSession
+    buckets = max(parts(spark), n_all // 2_000_000)
     one = words.where((F.col("n") >= LEAST) & (F.col("w") != signed(END))).select("w", "n")
     texts = words.where(F.col("w") == signed(END)).where(F.col("n") >= LEAST).select(F.lit(signed(START)).alias("w"), "n")
     root = F.lit(0).cast("long")
     cands = one.union(texts).select(F.xxhash64(root, "w").alias("h"), F.lit(None).cast("long").alias("up"), F.col("n").alias("total"))
-    kept, told, before = [], [], None
+    none = np.zeros(1 << SIEVE - 3, np.uint8)
+    kept, told, before, longer, sieves = [], [], None, None, [none, none]
     for k in range(1, DEPTH + 1):
         cands = table(cands, f"lm-candidates{k}")
         n_cands = cands.count()
         if not n_cands:
             break
-        hot = None
-        if n_cands <= HOT_CONTEXTS:
-            names = cands.select("h").toArrow()["h"].to_numpy().view(np.uint64)
-            hot = spark.sparkContext.broadcast(Found(names, np.zeros(len(names), np.float32)))
-
-        def successors(column: pa.Array, k: int = k, hot=hot) -> list[np.ndarray]:
-            sym, before, pos, _ = flat(column)
-            h, there = next((h, ok) for j, h, ok in contexts(before, pos) if j == k)
-            h, sym = h[there], sym[there]
-            if hot is not None:  # else the join below drops those of no candidate
-                ok = ~np.isnan(hot.value.get(h))
-                h, sym = h[ok], sym[ok]
-            return [h, sym]
-
-        counts = summed(train, ["h", "w"], successors).where(F.col("n") >= TWICE)
-        e = meet(counts, cands, ["h"], n_cands)
-        low = e.join(share, "w") if before is None else e.join(before, ["up", "w"])
-        raw = table(low.select("h", "up", "total", "w", "n", "low"), f"lm-counts{k}")
+        if k <= 2:
+            sieves[k - 1] = sieve(cands.select("h"))
+        if k == 1:
+            heavy = cands.where(F.col("total") >= n_all / (8 * buckets)).select("h").toArrow()["h"].to_numpy().view(np.uint64)  # 8 a bucket at most
+            bits = spark.sparkContext.broadcast(sieves[0])
+
+            def of(b: Block, bits=bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                h = key(np.zeros(len(b.keys), np.uint64), b.keys)
+                ok = b.train & sifted(bits.value, h)[b.before]
+                pair = np.sort(b.before[ok] * len(b.keys) + b.sym[ok])
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
+                n, pair = np.diff(np.append(first, len(pair))), pair[first]
+                return h[pair // len(b.keys)], b.keys[pair % len(b.keys)], n
+
+            raw = counted(blocks, of, buckets, TWICE, "lm-counts1", heavy, known)
+            spent = [made(spark)[-1]]
+            if sure > TWICE:  # words that are not in the tasks
+                share = words.where((F.col("n") >= TWICE) & (F.col("n") < sure)).select("w", ((F.col("n") + 0.5) / F.lit(floor)).cast("float").alias("low"))
+                rest = table(raw.where("low is null").drop("low").join(share, "w"), "lm-counts1-rare")
+                spent.append(made(spark)[-1])
+                raw = raw.where("low is not null").unionByName(rest)
+        else:
+            if k == 2:
+                bits = spark.sparkContext.broadcast(sieves[1])
+
+                def of(b: Block, bits=bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    found = list(b.contexts(np.zeros(len(b.keys), bool), bits.value))[1:]
+                    i = np.concatenate([i for i, _ in found])
+                    ok = b.train[i]
+                    return np.concatenate([h for _, h in found])[ok], b.keys[b.sym[i[ok]]], np.ones(int(ok.sum()), np.int64)
+
+                longer = counted(blocks, of, buckets, TWICE, "lm-counts")
+            e = meet(longer, cands.select("h", "up"), ["h"], n_cands)
+            raw = table(e.join(before, ["up", "w"]).select("h", "w", "n", "low"), f"lm-counts{k}")
+            spent = [made(spark)[-1]]
         # total, the kinds of successors (those seen once are total less the others), and both tests
-        kinds = raw.groupBy("h").agg((F.first("total") - F.sum("n") + F.count("*")).alias("kinds"))
-        e = meet(raw, kinds, ["h"], n_cands)
+        kinds = raw.groupBy("h").agg((F.count("*") - F.sum("n")).alias("more"))
+        heads = table(cands.join(kinds, "h").select("h", "up", "total", (F.col("total") + F.col("more")).alias("kinds")), f"lm-heads{k}")
+        e = meet(raw, heads, ["h"], n_cands)
         gain = lambda rest: F.col("n") * F.log((F.col("n") - 1 + rest * F.col("low")) / ((F.col("total") - 1 + F.col("kinds")) * F.col("low")))
         good = e.where(gain(F.col("kinds")) >= SUCCESSOR_GAIN)
         rest = F.col("kinds") + F.col("total") - F.col("sure")
         mass = good.groupBy("h").agg(F.first("total").alias("t"), F.first("kinds").alias("c"), F.sum("n").alias("sure"))
         lost = F.col("t") - F.col("sure")
-        mass = mass.select("h", "sure", "c", "t", (lost * F.log((F.col("c") + lost) / (F.col("t") + F.col("c")))).alias("cost"))
-        gains = meet(good, mass, ["h"], n_cands).groupBy("h").agg((F.sum(gain(rest)) + F.first("cost")).alias("gain"))
+        mass = table(mass.select("h", "sure", "c", "t", (lost * F.log((F.col("c") + lost) / (F.col("t") + F.col("c")))).alias("cost")), f"lm-mass{k}")
+        gains = meet(good, mass.select("h", "sure", "cost"), ["h"], n_cands).groupBy("h").agg((F.sum(gain(rest)) + F.first("cost")).alias("gain"))
         top = mass.join(gains.where(F.col("gain") >= GAIN).select("h"), "h", "left_semi")
         top = table(top.select("h", "sure", "c", "t"), f"lm-contexts{k}")
         kept.append(top.select(F.col("h").alias("k"), "h", F.col("t").alias("n"), F.log10((F.col("c") + F.col("t") - F.col("sure")) / (F.col("t") + F.col("c"))).alias("back")))
         e = meet(e, top.select("h", "sure"), ["h"], n_cands, "left").withColumn("rest", rest)
         on = F.col("sure").isNotNull()
-        sure = on & (gain(F.col("kinds")) >= SUCCESSOR_GAIN)
-        p = (F.when(sure, F.col("n")).otherwise(0) + F.col("rest") * F.col("low")) / (F.col("total") + F.col("kinds"))
-        e = e.select("h", "up", "w", "n", sure.alias("sure"), F.when(on, p).otherwise(F.col("low")).cast("float").alias("p"), F.log10(p / F.col("low")).alias("d"))
+        sure_ = on & (gain(F.col("kinds")) >= SUCCESSOR_GAIN)
+        p = (F.when(sure_, F.col("n")).otherwise(0) + F.col("rest") * F.col("low")) / (F.col("total") + F.col("kinds"))
+        told_ = F.when(sure_, F.log10(p / F.col("low"))).cast("float").alias("d")
+        e = e.select("h", "up", "w", "n", F.coalesce(sure_, F.lit(False)).alias("sure"), F.when(on, p).otherwise(F.col("low")).cast("float").alias("p"), told_)
         done = table(e, f"lm-successors{k}")
-        discard(spark, made(spark)[-3])  # the raw counts; contexts and successors stand behind them
-        told.append(done.where("sure").select(F.xxhash64("h", "w").alias("k"), "h", "w", "n", "d"))
+        for at in spent:  # the raw counts; contexts and successors stand behind them
+            discard(spark, at)
+        told.append(done.where("sure").select(F.xxhash64("h", "w").alias("k"), "h", "w", "d"))
         before = done.select(F.col("h").alias("up"), "w", F.col("p").alias("low"))
-        longer = done.where((F.col("n") >= LEAST) & (F.col("w") != signed(END)))
+        next_ = done.where((F.col("n") >= LEAST) & (F.col("w") != signed(END)))
         shorter = F.xxhash64(root, "w") if k == 1 else F.xxhash64("up", "w")
-        cands = longer.select(F.xxhash64("h", "w").alias("h"), shorter.alias("up"), F.col("n").alias("total"))
+        cands = next_.select(F.xxhash64("h", "w").alias("h"), shorter.alias("up"), F.col("n").alias("total"))
+        release(spark)
     union = lambda dfs: None if not dfs else dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    return Tree(union(kept), union(told), floor), int(n_all)
+    return Tree(union(kept), union(told)), *sieves
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,13 +434,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     tokens = tokenised(docs, id_col, text_col)
     at_tokens = made(spark)[-1]
-    words = table(summed(tokens.where("not held"), ["w"], lambda c: [flat(c)[0]]), "lm-words")
-    tree, n_all = grow(tokens, words)
-    floor = tree.floor
+
+    def of(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.bincount(b.sym[b.train], minlength=len(b.keys))
+        there = np.flatnonzero(n)
+        return np.zeros(len(there), np.uint64), b.keys[there], n[there]
+
+    words = counted(tokens, of, parts(spark), 1, "lm-words").select("w", "n")
+    n_all, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    floor = n_all + 0.5 * (v + 1)
     sure = threshold(words, "n", HOT_WORDS)
     got = words.where(F.col("n") >= sure).toArrow()
     hot_words = Found(got["w"].to_numpy().view(np.uint64), np.log10((got["n"].to_numpy() + 0.5) / floor))
     del got
+    release(spark)
+    tree, *sieves = grow(tokens, words, n_all, floor, spark.sparkContext.broadcast(hot_words), sure)
     hot_contexts = hot_entries = Found(np.zeros(0, np.uint64), np.zeros(0))
     cold = beyond = False
     bits = None
@@ -334,54 +466,52 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if cold:
             rest = table(tree.entries.join(rare, "h", "left_semi").join(ready.select("h", "back"), "h").select("k", (F.col("d") - F.col("back")).alias("more")), "lm-rest")
             bits = sieve(rest.select("k"))
-    sent = spark.sparkContext.broadcast((hot_words, hot_contexts, hot_entries, bits))
+    sent = spark.sparkContext.broadcast((hot_words, hot_contexts, hot_entries, bits, *sieves))
     del hot_words, hot_contexts, hot_entries
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, contexts_, entries, bits = sent.value
+        words, contexts_, entries, bits, one, two = sent.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            sym, before, pos, at = flat(b.column(1))
-            base = words.get(sym)
-            known = ~np.isnan(base)
-            told = np.where(known, base, 0.0)
-            more = told.copy()
-            asked, unknown = [], []
-            for _, h, there in contexts(before, pos):
-                back = contexts_.get(h)
-                sparse = back < MARK / 2
-                back = np.where(sparse, back - MARK, back)
-                i = np.flatnonzero(there & ~np.isnan(back))
-                k = key(h[i], sym[i])
-                d = entries.get(k)
-                more[i] += np.where(np.isnan(d), back[i], d)
+            for r, block in opened(b):
+                sym, at, size = block.sym, block.at, len(block.sym)
+                base = words.get(block.keys)
+                known = ~np.isnan(base)[sym]
+                told = np.where(np.isnan(base), 0.0, base)[sym]
+                more = told.copy()
+                asked, unknown = [], []
+                for i, h in block.contexts(sifted(one, key(np.zeros(len(block.keys), np.uint64), block.keys)), two):
+                    back = contexts_.get(h)
+                    sparse = back < MARK / 2
+                    back = np.where(sparse, back - MARK, back)
+                    there = ~np.isnan(back)
+                    if beyond:
+                        maybe, full = np.zeros(size, bool), np.zeros(size, np.uint64)
+                        maybe[i], full[i] = ~there, h
+                        unknown.append((maybe, full))
+                    i, h, back, sparse = i[there], h[there], back[there], sparse[there]
+                    k = key(h, block.keys[sym[i]])
+                    d = entries.get(k)
+                    more[i] += np.where(np.isnan(d), back, d)
+                    if cold:
+                        maybe, full = np.zeros(size, bool), np.zeros(size, np.uint64)
+                        maybe[i], full[i] = sparse & sifted(bits, k), k
+                        asked.append((maybe, full))
+                cols = [np.arange(len(at)) + b.column(0)[r].as_py(), b.column(1)[r].values, b.column(2)[r].values, block.n, np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(told, at), np.add.reduceat(more, at)]
+                cols = [*map(pa.array, cols), stacked([~known], [block.keys[sym]], at)]
                 if cold:
-                    at_, bit = slots(k)
-                    maybe = np.zeros(len(h), bool)
-                    maybe[i] = sparse[i] & ((bits[at_] & bit) > 0)
-                    full = np.zeros(len(h), np.uint64)
-                    full[i] = k
-                    asked.append((maybe, full))
+                    cols.append(stacked([m for m, _ in asked], [k for _, k in asked], at))
                 if beyond:
-                    unknown.append((there & np.isnan(back), h))
-            ends = np.append(at[1:], len(sym))
-            cols = [b.column(0), b.column(2), b.column(3), pa.array(ends - at), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(told, at)), pa.array(np.add.reduceat(more, at)), stacked([~known], [sym], at)]
-            if cold:
-                cols.append(stacked([m for m, _ in asked], [k for _, k in asked], at))
-            if beyond:
-                cols += [stacked([m for m, _ in unknown], x, at) for x in ([h for _, h in unknown], [sym] * len(unknown))]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    cols += [stacked([m for m, _ in unknown], x, at) for x in ([h for _, h in unknown], [block.keys[sym]] * len(unknown))]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", *["ks"] * cold, *["h", "w"] * beyond]
     schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", ks array<long>" * cold + ", h array<long>, w array<long>" * beyond
-    rows = table(arrow(tokens.select("row", "toks", "id", "held"), schema, each), "lm-rows")
+    rows = table(arrow(tokens.select("row", "id", "held", "sizes", "words", "codes"), schema, each), "lm-rows")
     discard(spark, at_tokens)  # nothing reads them any more
     asked = rows.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
     own = F.coalesce("n", F.lit(0))
     met = asked.join(words, "w", "left").groupBy("row").agg(F.sum(F.when(own > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((own + 0.5) / F.lit(floor))).alias("b"))
-    parts = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    got = rows.select(*parts).join(met, "row", "left").withColumn("c", F.lit(0.0))
+    got = rows.select("row", "id", "held_out", "n_tokens", "n_known", "base_score", "score").join(met, "row", "left").withColumn("c", F.lit(0.0))
     found = []
     if cold:
         found.append(rows.select("row", F.explode("ks").alias("k")).join(rest, "k").groupBy("row").agg(F.sum("more").alias("c")))
@@ -393,7 +523,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         both = found[0] if len(found) == 1 else found[0].union(found[1]).groupBy("row").agg(F.sum("c").alias("c"))
         got = got.drop("c").join(both, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return got.select("id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("b") + zero("c")).alias("score"))
+    return got.select("id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("b") + zero("c")).alias("score"))
 
 
 def op8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
