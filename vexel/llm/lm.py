@@ -86,6 +86,11 @@ def joined(data: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, n).T.copy().view(kind).ravel()
 
 
+def risen(x: np.ndarray) -> bytes:
+    """Ascending numbers by their steps."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
 def shrunk(data: bytes) -> bytes:
     return pa.compress(data, codec="zstd", asbytes=True)
 
@@ -173,40 +178,62 @@ def stacked(pick: list[np.ndarray], what: list[np.ndarray], at: np.ndarray) -> p
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(what[pick].view(np.int64)))
 
 
-def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs ``h, w`` with numbers, equal ones added up, and the pairs' keys, ascending."""
-    h, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def added(some: list[Pairs]) -> tuple[Pairs, np.ndarray]:
+    """Pairs ``h, w``, numbers, and whether to spread them; equal ones are added up. And the pairs' keys, ascending."""
+    h, w, n, spread = (np.concatenate(x) for x in zip(*some, strict=True))
     k = key(h, w)
     order = np.argsort(k)
     k = k[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     n = np.add.reduceat(n[order], first)
     order = order[first]
-    return h[order], w[order], n, k[first]
+    return (h[order], w[order], n, spread[order]), k[first]
+
+
+def bucket_of(k: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with ``k``."""
+    return (k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def counted(blocks: DataFrame, of: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, least: int, label: str, heavy: np.ndarray | None = None, known=None) -> DataFrame:
+def cuts(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    cut = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1], [True]))).tolist() if len(sorted_) else []
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
+def pieces(data: bytes, sizes: list[int]) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    data = pa.decompress(data, ends[-1], codec="zstd", asbytes=True)
+    return [data[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def counted(blocks: DataFrame, of: Callable[[Block], Pairs], buckets: int, least: int, label: str, known=None, low: bool = False) -> DataFrame:
     """``h, w, n``, a written table: how often the pairs that ``of(block)`` counts occur, ``least`` times or more.
 
-    Tasks add up their pairs and send them on by buckets, in compressed arrays; a bucket is then added up. Pairs are
-    dealt by their keys; if ``heavy`` is given, by ``h``, so that an ``h`` is in one bucket, but for those of ``heavy``.
-    ``known``: broadcast logarithms of shares of words; then ``low`` is the share of ``w``, null if not there.
+    Tasks add up their pairs and send them on by buckets, in compressed arrays; a bucket is then added up. All pairs of
+    an ``h`` are in one bucket, but for those that ``of`` tells to spread: these are dealt by their own keys.
+    ``known``: broadcast logarithms of shares of words, whose places there stand for them on the way; with ``low`` the
+    table has the share of ``w`` too, null if not there.
     """
 
-    def sent(h: np.ndarray, w: np.ndarray, n: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
-        by = k
-        if heavy is not None:
-            by = np.where(np.isin(h, heavy), k, h)
-            order = np.argsort(by)
-            h, w, n, by = h[order], w[order], n[order], by[order]
-        bucket = (by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        for a, z in zip(cut[:-1], cut[1:], strict=True):
+    def sent(pairs: Pairs, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, w, n, spread = pairs
+        by = np.where(spread, k, h)
+        order = np.argsort(by)
+        h, w, n, bucket = h[order], w[order], n[order], bucket_of(by[order], buckets)
+        listed = known.value.keys if known is not None else np.zeros(0, np.uint64)
+        for a, z in cuts(bucket):
             hs, hi = np.unique(h[a:z], return_inverse=True)
             ws, wi = np.unique(w[a:z], return_inverse=True)
+            at = np.searchsorted(listed, ws)
+            there = listed[np.minimum(at, len(listed) - 1)] == ws if len(listed) else np.zeros(len(ws), bool)
+            wi = np.where(there, np.cumsum(there) - 1, there.sum() + np.cumsum(~there) - 1)[wi]
             order = np.lexsort((wi, hi))
-            data = hs.tobytes() + ws.tobytes() + planes(np.bincount(hi)) + planes(wi[order].astype(np.uint32)) + planes(n[a:z][order])
-            cols = [[int(bucket[a])], [len(hs)], [len(ws)], [z - a], [shrunk(data)]]
+            data = risen(hs) + risen(at[there].astype(np.uint32)) + risen(ws[~there]) + planes(np.bincount(hi).astype(np.uint32)) + planes(wi[order].astype(np.uint32)) + planes(n[a:z][order])
+            cols = [[int(bucket[a])], [len(hs)], [int(there.sum())], [int((~there).sum())], [z - a], [shrunk(data)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +246,7 @@ def counted(blocks: DataFrame, of: Callable[[Block], tuple[np.ndarray, np.ndarra
                     size += len(own[0])
                 if size > 5 * HELD:
                     new = added(have)
-                    have, size = [new[:3]], len(new[0])
+                    have, size = [new[0]], len(new[1])
                     if size > 3 * HELD:
                         yield from sent(*new)
                         have, size = [], 0
@@ -229,28 +256,28 @@ def counted(blocks: DataFrame, of: Callable[[Block], tuple[np.ndarray, np.ndarra
     def total(group: pa.Table) -> pa.Table:
         own = []
         for r in group.to_pylist():
-            nh, nw, m = r["nh"], r["nw"], r["m"]
-            ends = np.cumsum([8 * nh, 8 * nw, 8 * nh, 4 * m, 8 * m]).tolist()
-            data = pa.decompress(r["data"], ends[-1], codec="zstd", asbytes=True)
-            hs, ws, runs, wi, n = (data[a:z] for a, z in zip([0, *ends], ends, strict=False))
-            hs, ws = np.frombuffer(hs, np.uint64), np.frombuffer(ws, np.uint64)
-            own.append((np.repeat(hs, joined(runs, np.int64, nh)), ws[joined(wi, np.uint32, m)], joined(n, np.int64, m)))
-        h, w, n, _ = added(own)
+            nh, nw, more, m = r["nh"], r["nw"], r["more"], r["m"]
+            hs, at, ws, runs, wi, n = pieces(r["data"], [8 * nh, 4 * nw, 8 * more, 4 * nh, 4 * m, 8 * m])
+            hs, ws = np.cumsum(joined(hs, np.uint64, nh), dtype=np.uint64), np.cumsum(joined(ws, np.uint64, more), dtype=np.uint64)
+            if nw:
+                ws = np.concatenate((known.value.keys[np.cumsum(joined(at, np.uint32, nw))], ws))
+            own.append((np.repeat(hs, joined(runs, np.uint32, nh)), ws[joined(wi, np.uint32, m)], joined(n, np.int64, m), np.zeros(m, bool)))
+        (h, w, n, _), _ = added(own)
         del own
         often = n >= least
         h, w, n = h[often], w[often], n[often]
         order = np.argsort(h)
         h, w, n = h[order], w[order], n[order]
         cols = {"h": pa.array(h.view(np.int64)), "w": pa.array(w.view(np.int64)), "n": pa.array(n)}
-        if known is not None:
-            low = known.value.get(w)
-            cols["low"] = pa.array(10.0**low, pa.float32(), mask=np.isnan(low))
+        if low:
+            share = known.value.get(w)
+            cols["low"] = pa.array(10.0**share, pa.float32(), mask=np.isnan(share))
         got = pa.table(cols)
         return pa.Table.from_batches(got.to_batches(max_chunksize=100_000), got.schema)
 
-    names, kinds = ["bucket", "nh", "nw", "m", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    rows = arrow(blocks.select("held", "sizes", "words", "codes"), "bucket long, nh int, nw int, m int, data binary", each)
-    return table(rows.groupBy("bucket").applyInArrow(total, "h long, w long, n long" + ", low float" * (known is not None)), label)
+    names, kinds = ["bucket", "nh", "nw", "more", "m", "data"], [pa.int64(), *[pa.int32()] * 4, pa.binary()]
+    rows = arrow(blocks.select("held", "sizes", "words", "codes"), "bucket long, nh int, nw int, more int, m int, data binary", each)
+    return table(rows.groupBy("bucket").applyInArrow(total, "h long, w long, n long" + ", low float" * low), label)
 
 
 def meet(rows: DataFrame, other: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
@@ -320,8 +347,39 @@ def sieve(keys: DataFrame) -> np.ndarray:
     return out
 
 
+QUESTIONS = pa.struct([("bucket", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("data", pa.binary())])
+
+
+def questions(k: np.ndarray, text: np.ndarray, buckets: int) -> list[dict]:
+    """Keys that the texts of a block ask for, by buckets: each key once, with the places of its texts in the block."""
+    order = np.lexsort((text, k))
+    k, text = k[order], text[order].astype(np.uint32)
+    out = []
+    for a, z in cuts(bucket_of(k, buckets)):
+        own, runs = np.unique(k[a:z], return_counts=True)
+        data = risen(own) + planes(runs.astype(np.uint32)) + planes(text[a:z])
+        out.append({"bucket": int(bucket_of(own[:1], buckets)[0]), "n": len(own), "m": z - a, "data": shrunk(data)})
+    return out
+
+
+def answers(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """``row, c``: sums of a bucket's values by text."""
+    have = Found(held["k"].to_numpy().view(np.uint64), held["more"].to_numpy())
+    rows, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for r in asked.to_pylist():
+        own, runs, text = pieces(r["data"], [8 * r["n"], 4 * r["n"], 4 * r["m"]])
+        got = np.nan_to_num(have.get(np.cumsum(joined(own, np.uint64, r["n"]), dtype=np.uint64)))
+        got = np.bincount(joined(text, np.uint32, r["m"]), np.repeat(got, joined(runs, np.uint32, r["n"])))
+        there = np.flatnonzero(got)
+        rows.append(there + r["row"])
+        sums.append(got[there])
+    got = pa.table({"row": np.concatenate(rows), "c": np.concatenate(sums)})
+    return pa.Table.from_batches(got.to_batches(max_chunksize=100_000), got.schema)
+
+
 class Tree:
-    """Tables of the retained contexts ``k, h, n, back`` and their kept successors ``k, h, w, d``; log10.
+    """Tables of the retained contexts ``k, h, n, back`` and their kept successors ``k, h, w, d``, with
+    their contexts' ``n, back``; log10.
 
     A token costs its baseline share and, for each context of it that is retained, ``d`` if the token is a kept
     successor there, else ``back``: d is what the smoothed share differs from that of the context's suffix.
@@ -354,19 +412,20 @@ def grow(blocks: DataFrame, words: DataFrame, n_all: int, floor: float, known, s
             break
         if k <= 2:
             sieves[k - 1] = sieve(cands.select("h"))
-        if k == 1:
             heavy = cands.where(F.col("total") >= n_all / (8 * buckets)).select("h").toArrow()["h"].to_numpy().view(np.uint64)  # 8 a bucket at most
+        if k == 1:
             bits = spark.sparkContext.broadcast(sieves[0])
 
-            def of(b: Block, bits=bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            def of(b: Block, bits=bits, heavy=heavy) -> Pairs:
                 h = key(np.zeros(len(b.keys), np.uint64), b.keys)
                 ok = b.train & sifted(bits.value, h)[b.before]
                 pair = np.sort(b.before[ok] * len(b.keys) + b.sym[ok])
                 first = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
                 n, pair = np.diff(np.append(first, len(pair))), pair[first]
-                return h[pair // len(b.keys)], b.keys[pair % len(b.keys)], n
+                h = h[pair // len(b.keys)]
+                return h, b.keys[pair % len(b.keys)], n, np.isin(h, heavy)
 
-            raw = counted(blocks, of, buckets, TWICE, "lm-counts1", heavy, known)
+            raw = counted(blocks, of, buckets, TWICE, "lm-counts1", known, low=True)
             spent = [made(spark)[-1]]
             if sure > TWICE:  # words that are not in the tasks
                 share = words.where((F.col("n") >= TWICE) & (F.col("n") < sure)).select("w", ((F.col("n") + 0.5) / F.lit(floor)).cast("float").alias("low"))
@@ -377,15 +436,17 @@ def grow(blocks: DataFrame, words: DataFrame, n_all: int, floor: float, known, s
             if k == 2:
                 bits = spark.sparkContext.broadcast(sieves[1])
 
-                def of(b: Block, bits=bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                def of(b: Block, bits=bits, heavy=heavy) -> Pairs:
                     found = list(b.contexts(np.zeros(len(b.keys), bool), bits.value))[1:]
-                    i = np.concatenate([i for i, _ in found])
-                    ok = b.train[i]
-                    return np.concatenate([h for _, h in found])[ok], b.keys[b.sym[i[ok]]], np.ones(int(ok.sum()), np.int64)
+                    spread = np.zeros(len(b.sym), bool)  # with the last two words
+                    spread[found[0][0]] = np.isin(found[0][1], heavy)
+                    i, h = np.concatenate([i for i, _ in found]), np.concatenate([h for _, h in found])
+                    i, h = i[b.train[i]], h[b.train[i]]
+                    return h, b.keys[b.sym[i]], np.ones(len(i), np.int64), spread[i]
 
-                longer = counted(blocks, of, buckets, TWICE, "lm-counts")
+                longer = counted(blocks, of, buckets, TWICE, "lm-counts", known)
             e = meet(longer, cands.select("h", "up"), ["h"], n_cands)
-            raw = table(e.join(before, ["up", "w"]).select("h", "w", "n", "low"), f"lm-counts{k}")
+            raw = table(e.select(F.xxhash64("up", "w").alias("k"), "h", "w", "n").join(before, "k").drop("k"), f"lm-counts{k}")
             spent = [made(spark)[-1]]
         # total, the kinds of successors (those seen once are total less the others), and both tests
         kinds = raw.groupBy("h").agg((F.count("*") - F.sum("n")).alias("more"))
@@ -400,18 +461,19 @@ def grow(blocks: DataFrame, words: DataFrame, n_all: int, floor: float, known, s
         gains = meet(good, mass.select("h", "sure", "cost"), ["h"], n_cands).groupBy("h").agg((F.sum(gain(rest)) + F.first("cost")).alias("gain"))
         top = mass.join(gains.where(F.col("gain") >= GAIN).select("h"), "h", "left_semi")
         top = table(top.select("h", "sure", "c", "t"), f"lm-contexts{k}")
-        kept.append(top.select(F.col("h").alias("k"), "h", F.col("t").alias("n"), F.log10((F.col("c") + F.col("t") - F.col("sure")) / (F.col("t") + F.col("c"))).alias("back")))
-        e = meet(e, top.select("h", "sure"), ["h"], n_cands, "left").withColumn("rest", rest)
+        back = F.log10((F.col("c") + F.col("t") - F.col("sure")) / (F.col("t") + F.col("c")))
+        kept.append(top.select(F.col("h").alias("k"), "h", F.col("t").alias("n"), back.alias("back")))
+        e = meet(e, top.select("h", "sure", back.alias("back")), ["h"], n_cands, "left").withColumn("rest", rest)
         on = F.col("sure").isNotNull()
         sure_ = on & (gain(F.col("kinds")) >= SUCCESSOR_GAIN)
         p = (F.when(sure_, F.col("n")).otherwise(0) + F.col("rest") * F.col("low")) / (F.col("total") + F.col("kinds"))
         told_ = F.when(sure_, F.log10(p / F.col("low"))).cast("float").alias("d")
-        e = e.select("h", "up", "w", "n", F.coalesce(sure_, F.lit(False)).alias("sure"), F.when(on, p).otherwise(F.col("low")).cast("float").alias("p"), told_)
+        e = e.select("h", "up", "w", "n", "total", "back", F.coalesce(sure_, F.lit(False)).alias("sure"), F.when(on, p).otherwise(F.col("low")).cast("float").alias("p"), told_)
         done = table(e, f"lm-successors{k}")
         for at in spent:  # the raw counts; contexts and successors stand behind them
             discard(spark, at)
-        told.append(done.where("sure").select(F.xxhash64("h", "w").alias("k"), "h", "w", "d"))
-        before = done.select(F.col("h").alias("up"), "w", F.col("p").alias("low"))
+        told.append(done.where("sure").select(F.xxhash64("h", "w").alias("k"), "h", "w", "d", F.col("total").alias("n"), "back"))
+        before = done.select(F.xxhash64("h", "w").alias("k"), F.col("p").alias("low"))
         next_ = done.where((F.col("n") >= LEAST) & (F.col("w") != signed(END)))
         shorter = F.xxhash64(root, "w") if k == 1 else F.xxhash64("up", "w")
         cands = next_.select(F.xxhash64("h", "w").alias("h"), shorter.alias("up"), F.col("n").alias("total"))
@@ -435,10 +497,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     tokens = tokenised(docs, id_col, text_col)
     at_tokens = made(spark)[-1]
 
-    def of(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(b: Block) -> Pairs:
         n = np.bincount(b.sym[b.train], minlength=len(b.keys))
         there = np.flatnonzero(n)
-        return np.zeros(len(there), np.uint64), b.keys[there], n[there]
+        return np.zeros(len(there), np.uint64), b.keys[there], n[there], np.ones(len(there), bool)
 
     words = counted(tokens, of, parts(spark), 1, "lm-words").select("w", "n")
     n_all, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -459,13 +521,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         t = max(t, least)
         # contexts whose successors are not all in the tasks are marked there; those with fewer than `least` not even that
         hot_contexts = _local(ready.where(F.col("n") >= least).withColumn("v", F.when(F.col("n") >= t, F.col("back")).otherwise(F.col("back") + MARK)), "v")
-        hot = ready.where(F.col("n") >= t).select("h")
-        hot_entries = _local(meet(tree.entries, hot, ["h"], len(hot_contexts.keys), "left_semi"), "d")
+        hot_entries = _local(tree.entries.where(F.col("n") >= t), "d")
         rare, lost = ready.where(F.col("n") < t).select("h"), ready.where(F.col("n") < least).select("h", "back")
         cold, beyond = rare.limit(1).count() > 0, lost.limit(1).count() > 0
         if cold:
-            rest = table(tree.entries.join(rare, "h", "left_semi").join(ready.select("h", "back"), "h").select("k", (F.col("d") - F.col("back")).alias("more")), "lm-rest")
+            rest = table(tree.entries.where(F.col("n") < t).select("k", (F.col("d") - F.col("back")).cast("float").alias("more")), "lm-rest")
             bits = sieve(rest.select("k"))
+    buckets = max(parts(spark), n_all // 2_000_000)
     sent = spark.sparkContext.broadcast((hot_words, hot_contexts, hot_entries, bits, *sieves))
     del hot_words, hot_contexts, hot_entries
 
@@ -478,7 +540,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 known = ~np.isnan(base)[sym]
                 told = np.where(np.isnan(base), 0.0, base)[sym]
                 more = told.copy()
-                asked, unknown = [], []
+                asked, unknown, text = [], [], np.repeat(np.arange(len(at)), block.n)
                 for i, h in block.contexts(sifted(one, key(np.zeros(len(block.keys), np.uint64), block.keys)), two):
                     back = contexts_.get(h)
                     sparse = back < MARK / 2
@@ -493,19 +555,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     d = entries.get(k)
                     more[i] += np.where(np.isnan(d), back, d)
                     if cold:
-                        maybe, full = np.zeros(size, bool), np.zeros(size, np.uint64)
-                        maybe[i], full[i] = sparse & sifted(bits, k), k
-                        asked.append((maybe, full))
+                        maybe = np.flatnonzero(sparse)
+                        maybe = maybe[sifted(bits, k[maybe])]
+                        asked.append((k[maybe], text[i[maybe]]))
                 cols = [np.arange(len(at)) + b.column(0)[r].as_py(), b.column(1)[r].values, b.column(2)[r].values, block.n, np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(told, at), np.add.reduceat(more, at)]
                 cols = [*map(pa.array, cols), stacked([~known], [block.keys[sym]], at)]
-                if cold:
-                    cols.append(stacked([m for m, _ in asked], [k for _, k in asked], at))
+                if cold:  # with the first text of the block
+                    ks = questions(np.concatenate([k for k, _ in asked]), np.concatenate([x for _, x in asked]), buckets)
+                    cols.append(pa.array([ks, *[None] * (len(at) - 1)], pa.list_(QUESTIONS)))
                 if beyond:
                     cols += [stacked([m for m, _ in unknown], x, at) for x in ([h for _, h in unknown], [block.keys[sym]] * len(unknown))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", *["ks"] * cold, *["h", "w"] * beyond]
-    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", ks array<long>" * cold + ", h array<long>, w array<long>" * beyond
+    schema = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>" + ", ks array<struct<bucket long, n int, m int, data binary>>" * cold + ", h array<long>, w array<long>" * beyond
     rows = table(arrow(tokens.select("row", "id", "held", "sizes", "words", "codes"), schema, each), "lm-rows")
     discard(spark, at_tokens)  # nothing reads them any more
     asked = rows.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
@@ -514,7 +577,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     got = rows.select("row", "id", "held_out", "n_tokens", "n_known", "base_score", "score").join(met, "row", "left").withColumn("c", F.lit(0.0))
     found = []
     if cold:
-        found.append(rows.select("row", F.explode("ks").alias("k")).join(rest, "k").groupBy("row").agg(F.sum("more").alias("c")))
+        put = rows.where("ks is not null").select("row", F.explode("ks").alias("x")).select("row", "x.*").groupBy("bucket")
+        held = rest.withColumn("bucket", F.shiftrightunsigned(F.shiftrightunsigned("k", 32) * F.lit(buckets), 32)).groupBy("bucket")
+        found.append(put.cogroup(held).applyInArrow(answers, "row long, c double").groupBy("row").agg(F.sum("c").alias("c")))
     if beyond:  # contexts that not even their marks are in the tasks for
         pairs = rows.select("row", F.explode(F.arrays_zip("h", "w")).alias("x")).select("row", "x.h", "x.w").join(lost, "h")
         pairs = pairs.join(tree.entries.select("h", "w", "d"), ["h", "w"], "left")
