@@ -96,3 +96,16 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = lm.score(spark.createDataFrame([(held, "a b", "", "", "", "")], SCHEMA)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_pairs_travel_packed(spark):
+    """Successors of frequent words, most of them different, are sent in a few bytes each, not in rows of their own."""
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(400, size=1500)), "", "", "", "") for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    got = lm.score(df).agg(F.sum("n_tokens"), F.min("train_tokens")).first()
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 1 for i in range(100))
+    assert tuple(got) == (100 * 1501, (100 - held) * 1501)
+    assert sent() - before < 8 * 150_000

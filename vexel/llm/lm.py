@@ -221,18 +221,18 @@ def counted(blocks: DataFrame, of: Callable[[Block], Pairs], buckets: int, least
 
     def sent(pairs: Pairs, k: np.ndarray) -> Iterator[pa.RecordBatch]:
         h, w, n, spread = pairs
-        by = np.where(spread, k, h)
-        order = np.argsort(by)
-        h, w, n, bucket = h[order], w[order], n[order], bucket_of(by[order], buckets)
+        order = np.argsort(h)  # of a context's pairs, those of a bucket stay together
+        order = order[np.argsort(bucket_of(np.where(spread, k, h)[order], buckets).astype(np.uint32), kind="stable")] if spread.any() else order
+        h, w, n, bucket = h[order], w[order], n[order], bucket_of(np.where(spread, k, h)[order], buckets)
         listed = known.value.keys if known is not None else np.zeros(0, np.uint64)
         for a, z in cuts(bucket):
-            hs, hi = np.unique(h[a:z], return_inverse=True)
+            first = np.flatnonzero(np.concatenate(([True], h[a + 1 : z] != h[a : z - 1])))
+            hs, runs = h[a:z][first], np.diff(np.append(first, z - a)).astype(np.uint32)
             ws, wi = np.unique(w[a:z], return_inverse=True)
             at = np.searchsorted(listed, ws)
             there = listed[np.minimum(at, len(listed) - 1)] == ws if len(listed) else np.zeros(len(ws), bool)
             wi = np.where(there, np.cumsum(there) - 1, there.sum() + np.cumsum(~there) - 1)[wi]
-            order = np.lexsort((wi, hi))
-            data = risen(hs) + risen(at[there].astype(np.uint32)) + risen(ws[~there]) + planes(np.bincount(hi).astype(np.uint32)) + planes(wi[order].astype(np.uint32)) + planes(n[a:z][order])
+            data = risen(hs) + risen(at[there].astype(np.uint32)) + risen(ws[~there]) + planes(runs) + planes(wi.astype(np.uint32)) + planes(np.ascontiguousarray(n[a:z]))
             cols = [[int(bucket[a])], [len(hs)], [int(there.sum())], [int((~there).sum())], [z - a], [shrunk(data)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
@@ -299,9 +299,12 @@ class Found:
         if len(self.keys) < CACHED:
             i = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
             return np.where(self.keys[i] == asked, self.values[i], np.nan).astype(np.float64)
-        own, inv = np.unique(asked, return_inverse=True)  # sorted, the search stays in the cache
+        order = np.argsort(asked)  # sorted, the search stays in the cache
+        own = asked[order]
         i = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        return np.where(self.keys[i] == own, self.values[i], np.nan).astype(np.float64)[inv]
+        got = np.empty(len(asked))
+        got[order] = np.where(self.keys[i] == own, self.values[i], np.nan)
+        return got
 
 
 def _local(df: DataFrame, value: str) -> Found:
@@ -352,7 +355,7 @@ QUESTIONS = pa.struct([("bucket", pa.int64()), ("n", pa.int32()), ("m", pa.int32
 
 def questions(k: np.ndarray, text: np.ndarray, buckets: int) -> list[dict]:
     """Keys that the texts of a block ask for, by buckets: each key once, with the places of its texts in the block."""
-    order = np.lexsort((text, k))
+    order = np.argsort(k)
     k, text = k[order], text[order].astype(np.uint32)
     out = []
     for a, z in cuts(bucket_of(k, buckets)):
@@ -541,8 +544,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 told = np.where(np.isnan(base), 0.0, base)[sym]
                 more = told.copy()
                 asked, unknown, text = [], [], np.repeat(np.arange(len(at)), block.n)
-                for i, h in block.contexts(sifted(one, key(np.zeros(len(block.keys), np.uint64), block.keys)), two):
-                    back = contexts_.get(h)
+                single = key(np.zeros(len(block.keys), np.uint64), block.keys)
+                first = contexts_.get(single)
+                for level, (i, h) in enumerate(block.contexts(sifted(one, single) if beyond else ~np.isnan(first), two)):
+                    back = contexts_.get(h) if level else first[block.before[i]]
                     sparse = back < MARK / 2
                     back = np.where(sparse, back - MARK, back)
                     there = ~np.isnan(back)
