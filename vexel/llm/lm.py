@@ -26,8 +26,6 @@ SUCCESSOR_GAIN, GAIN = 1.0, 12.0
 HOT_CONTEXTS, HOT_ENTRIES, HOT_WORDS, SMALL = 4_000_000, 4_000_000, 1_000_000, 500_000
 #: Pairs that a task adds up before it sends them on, a few times so many.
 HELD = 400_000
-#: Added to a back-off (never above 0, nor below -9) where successors are missing in the tasks.
-MARK = -16.0
 #: Binary logarithm of the bits that sieve look-ups of successors missing in the tasks.
 SIEVE = 26
 #: Sorted keys up to this number are searched in any order.
@@ -522,8 +520,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         ready = table(tree.contexts.join(size, "h"), "lm-tree")
         t, least = threshold(ready, "n", HOT_ENTRIES, F.col("m")), threshold(ready, "n", HOT_CONTEXTS)
         t = max(t, least)
-        # contexts whose successors are not all in the tasks are marked there; those with fewer than `least` not even that
-        hot_contexts = _local(ready.where(F.col("n") >= least).withColumn("v", F.when(F.col("n") >= t, F.col("back")).otherwise(F.col("back") + MARK)), "v")
+        # contexts whose successors are not all in the tasks have back-offs (below 0) with the sign changed there; those with fewer than `least` not even that
+        hot_contexts = _local(ready.where(F.col("n") >= least).withColumn("v", F.when(F.col("n") >= t, F.col("back")).otherwise(-F.col("back"))), "v")
         hot_entries = _local(tree.entries.where(F.col("n") >= t), "d")
         rare, lost = ready.where(F.col("n") < t).select("h"), ready.where(F.col("n") < least).select("h", "back")
         cold, beyond = rare.limit(1).count() > 0, lost.limit(1).count() > 0
@@ -548,8 +546,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 first = contexts_.get(single)
                 for level, (i, h) in enumerate(block.contexts(sifted(one, single) if beyond else ~np.isnan(first), two)):
                     back = contexts_.get(h) if level else first[block.before[i]]
-                    sparse = back < MARK / 2
-                    back = np.where(sparse, back - MARK, back)
+                    sparse = back > 0
+                    back = -np.abs(back)
                     there = ~np.isnan(back)
                     if beyond:
                         maybe, full = np.zeros(size, bool), np.zeros(size, np.uint64)
