@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from vexel.llm import embeddings
+from vexel.llm import common, embeddings
 
 
 def brute(rows, least=0.98):
@@ -46,3 +46,44 @@ def test_equals_brute_force_over_cells_and_blocks(spark, monkeypatch, cell, full
 
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def without_structure(n, d=64, seed=2):
+    """Vectors that lie all over the sphere, and clumps of near copies about some of them."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, d))
+    for i in range(0, n // 4):
+        base[i] = base[i % 20] + rng.standard_normal(d) * rng.choice([0.02, 0.1, 0.14, 0.2])
+    return [(i, [float(x) for x in v.astype(np.float32)], int(i % 3 == 0)) for i, v in enumerate(base)]
+
+
+@pytest.mark.parametrize(("sketches", "block"), [(65_536, 16 << 20), (100, 16 << 20), (100, 20 * 64 * 8)])
+def test_vectors_without_structure_stay_in_place(spark, monkeypatch, sketches, block):
+    """Splits would enter each vector in nearly all children; they are given up before any vector moves."""
+    for name, value in (("CELL", 30), ("FULL", 20), ("SKETCHES", sketches), ("BLOCK_BYTES", block)):
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    rows, was = without_structure(800), common.made(spark)
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect())
+    assert got == brute(rows)
+    assert 300 < sum(r[1] for r in got)
+    cells = [at for at in common.made(spark) if at not in was and "/vector-cells" in at]
+    assert sum(spark.read.parquet(at).count() for at in cells) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("d", [3, 16, 17, 64, 130])
+def test_cosines_of_sketches_are_no_less(d):
+    rng = np.random.default_rng(d)
+    x = embeddings.unit(np.vstack([rng.standard_normal((60, d)), rng.standard_normal(d) + rng.standard_normal((60, d)) * 0.1, np.eye(d)[:3], -np.eye(d)[:3]]))
+    s = embeddings.sketch(x)
+    assert s.dtype == np.float16 and s.shape[1] <= max(17, d // 4 + 1)
+    assert (s.astype(np.float32) @ s.astype(np.float32).T >= x @ x.T - embeddings.SKETCH_SLACK).all()
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_components_of_any_type(spark, kind):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-90, 90, (40, 20))
+    rows = [(i, [int(x) for x in base[i % 40] + rng.integers(-12, 13, 20)], 0) for i in range(160)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA.replace("float", "int"))
+    got = embeddings.near_duplicates(df.withColumn("embedding", df.embedding.cast(f"array<{kind}>")))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
