@@ -62,12 +62,19 @@ def test_vectors_without_structure_stay_in_place(spark, monkeypatch, sketches, b
     """Splits would enter each vector in nearly all children; they are given up before any vector moves."""
     for name, value in (("CELL", 30), ("FULL", 20), ("SKETCHES", sketches), ("BLOCK_BYTES", block)):
         monkeypatch.setattr(embeddings, name, value, raising=False)
-    rows, was = without_structure(800), common.made(spark)
+    rows, placed = without_structure(800), []
+    monkeypatch.setattr(embeddings, "table", lambda df, label: [t := common.table(df, label), placed.append(t.count()) if label.startswith("vector-cells") else None][0])
     got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect())
     assert got == brute(rows)
     assert 300 < sum(r[1] for r in got)
-    cells = [at for at in common.made(spark) if at not in was and "/vector-cells" in at]
-    assert sum(spark.read.parquet(at).count() for at in cells) <= 2 * len(rows)
+    assert 0 < sum(placed) <= 2 * len(rows)
+
+
+def test_copies_of_vectors_go_once_they_are_compared(spark):
+    was = common.made(spark)
+    assert embeddings.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in without_structure(60)], SCHEMA)).count() == 60
+    left = [at.rpartition("/")[2] for at in common.made(spark) if at not in was]
+    assert sorted(x.rsplit("-", 1)[0] for x in left) == ["vector-classes", "vector-links"]
 
 
 @pytest.mark.parametrize("d", [3, 16, 17, 64, 130])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import arrow, components, cut, read, table
+from vexel.llm.common import arrow, components, cut, discard, made, read, release, table
 
 LEAST = 0.98
 #: Vectors a cell should hold, and vectors above which a cell is split again (or, where that is of no use, narrowed down
@@ -263,9 +263,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     by groups that no link leaves. What leaves a task is link counts and a spanning forest, never the pairs. Vectors that
     are null, zero, or hold null or non-finite components, and rows with a null label, have no links. Vectors of different
     length don't link. Repeated ids are separate rows. n_links counts other rows. kept: the id is its component's least.
-    An empty table gives an empty result; other columns are not read.
+    An empty table gives an empty result; other columns are not read. ``vectors`` is read twice.
     """
-    rows = table(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    spark, before = vectors.sparkSession, made(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
     kind = {"float": "f4", "double": "f8"}[component(rows)]
     cls = classes(rows).withColumn("g", F.concat_ws("/", F.size("v").cast("string"), F.length("label").cast("string"), "label"))
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
@@ -281,7 +282,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         lesser of their homes."""
         return _compare(t.column("cell")[0].as_py(), t, least, kind)
 
+    release(spark)
     found = table(taken.groupBy("cell", "part", "lo", "hi").applyInArrow(compare, "cls long, links long, root long"), "vector-links")
+    for at in made(spark):  # of the vectors' copies only the classes are read again
+        if at not in before and "/vector-classes-" not in at and "/vector-links-" not in at:
+            discard(spark, at)
+    release(spark)
     tree = components(found.where("root <> cls").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     known = cls.select("cls", "low", "n").join(links, "cls", "left").where("n > 1 or links > 0").join(tree, F.col("cls") == tree.node, "left").select("cls", "low", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
